@@ -163,9 +163,9 @@ class Hashes:
         return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(U64))
 
 
-def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words of a block, and the number of words before each row."""
-    solid = ~SPACE[data]
+def words(data: np.ndarray, at: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of a block, which bytes in `gap` part, and the number of words before each row."""
+    solid = ~gap[data]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     last = solid.copy()

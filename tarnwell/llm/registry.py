@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import ngram_join
+from . import language, ngram_join, packing, suffix_dedup, toxicity
 
 
 def queries() -> dict:
     return {
+        "op2_packing": packing.query,
+        "op5_suffix_dedup": suffix_dedup.query,
+        "op6_toxicity": toxicity.query,
+        "op7_language_id": language.query,
         "op9_ngram_join": ngram_join.query,
     }
 
