@@ -29,7 +29,7 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 
 def ready(spark: SparkSession) -> SparkSession:
     """Bounds the Arrow batches that Python gets and gives the executors this package."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
     sc = spark.sparkContext
     if not getattr(sc, "_tarnwell_sent", False):
@@ -54,10 +54,15 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Spark's own setting that removes an execution's shuffle files at its end.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables written to spark.checkpoint.dir, where every executor can read them again after a loss.
 
-    They cut the lineage. `drop` removes one that nothing reads any more; the rest go when Python ends.
+    They cut the lineage, and the shuffle files behind a table go once it is written. `drop` removes a table that
+    nothing reads any more; the rest go when Python ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -72,7 +77,12 @@ class Scratch:
     def table(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.top}/{self.n}"
-        df.write.option("compression", "zstd").parquet(path)
+        conf, old = self.spark.conf, self.spark.conf.get(_CLEAN, "false")
+        conf.set(_CLEAN, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            conf.set(_CLEAN, old)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         out._kept_path = path

@@ -28,34 +28,39 @@ FORMS = 8
 
 
 def features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a block: feature numbers, where each row's begin, words of each row, and the measures of form."""
+    """Of a block: feature numbers, where each row's begin, words of each row, and the measures of form.
+
+    A word that repeats the one before it gives no features; how many do is a measure of form.
+    """
     low = C.LOWER[data]
     start, end, first = C.words(low, at)
     h = C.Hashes(low)
+    lens, total = np.diff(at), np.diff(first)
+    sums = lambda x: np.diff(np.concatenate(([0], np.cumsum(x)))[at]) if len(x) else np.zeros(len(at) - 1)
+    by_word = lambda x: np.diff(np.concatenate(([0], np.cumsum(x)))[first]) if len(x) else np.zeros(len(at) - 1)
+    over = lambda x, y: x / np.maximum(y, 1)
+    full = h.spans(start, end)
+    again = np.zeros(len(full), bool)
+    if len(full) > 1:
+        again[1:] = full[1:] == full[:-1]
+        edge = first[1:-1]
+        again[edge[edge < len(full)]] = False
+    size = end - start
+    form = np.stack((over(sums(_UPPER[data]), lens), over(sums(_DIGIT[data]), lens), over(sums(_SIGN[data]), lens), over(by_word(again), total), over(by_word(np.minimum(size, 40)), total) / 10, np.log1p(total) / 10, np.minimum(total, 20) / 20, over(sums(data == 10), total)), 1)
+    keep = ~again
+    start, end, size = start[keep], end[keep], size[keep]
+    first = np.concatenate(([0], np.cumsum(keep)))[first]
     bare = end.copy()
     for _ in range(3):
         bare -= (bare > start + 1) & _END[low[bare - 1]] if len(low) else 0
-    size = end - start
     cols = [h.spans(start, bare)]
     for n in PREFIXES:
         x = C.mix(h.spans(start, np.minimum(start + n, end)) + C.U64(n))
         x[size < n] = C.U64(0)
         cols.append(x)
     cols.append(C.mix(h.spans(np.maximum(end - 3, start), end) + C.U64(99)))
-    per = len(cols)
     ids = (np.stack(cols, 1).ravel() >> C.U64(64 - BITS)).astype(np.int32)
-    n = np.diff(first)
-    sums = lambda x: np.diff(np.concatenate(([0], np.cumsum(x)))[at]) if len(x) else np.zeros(len(at) - 1)
-    by_word = lambda x: np.diff(np.concatenate(([0], np.cumsum(x)))[first]) if len(x) else np.zeros(len(at) - 1)
-    whole = cols[0]
-    again = np.zeros(len(whole), bool)
-    if len(whole) > 1:
-        again[1:] = whole[1:] == whole[:-1]
-        again[first[1:-1][first[1:-1] < len(whole)]] = False
-    lens = np.diff(at)
-    over = lambda x, y: x / np.maximum(y, 1)
-    form = np.stack((over(sums(_UPPER[data]), lens), over(sums(_DIGIT[data]), lens), over(sums(_SIGN[data]), lens), over(by_word(again), n), over(by_word(np.minimum(size, 40)), n) / 10, np.log1p(n) / 10, np.minimum(n, 20) / 20, over(sums(data == 10), n)), 1)
-    return ids, first * per, n, form
+    return ids, first * len(cols), np.diff(first), form
 
 
 @dataclass

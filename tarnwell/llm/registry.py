@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from . import language, ngram_join, packing, suffix_dedup, toxicity
+from . import embedding_dedup, language, mixing, mpeg_audio, ngram_join, packing, quality, suffix_dedup, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_url_filter": url_filter.query,
         "op2_packing": packing.query,
+        "op3_mpeg_audio": mpeg_audio.query,
+        "op4_mixing": mixing.query,
         "op5_suffix_dedup": suffix_dedup.query,
         "op6_toxicity": toxicity.query,
         "op7_language_id": language.query,
+        "op8_embedding_dedup": embedding_dedup.query,
         "op9_ngram_join": ngram_join.query,
+        "op10_quality": quality.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_url_filter": url_filter.sql()}

@@ -44,7 +44,7 @@ FLUSH_ANCHORS, FLUSH_BYTES = 1 << 19, 1 << 24
 #: Occurrences beyond which an anchor's windows are dealt one by one.
 WIDE = 50_000
 #: Bytes of contexts that are sorted at once, unless one bucket has more.
-SORT_BYTES = 1 << 21
+SORT_BYTES = 1 << 19
 
 
 def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -220,8 +220,10 @@ def suffix_array(s: np.ndarray, need: int, unit: int = 1) -> np.ndarray:
         differ = (t[x[1:]] != t[x[:-1]]) | (t[x[1:] + 1] != t[x[:-1] + 1]) | (t[x[1:] + 2] != t[x[:-1] + 2])
     names = np.empty(len(p12), np.int64)
     names[order] = np.concatenate(([1], 1 + np.cumsum(differ)))
+    key = sorted_key = x = None  # not held while the names are sorted
     if not differ.all() and unit * 3 < need:
         order = suffix_array(names, need, unit * 3)
+    names = differ = None
     rank = np.zeros(n + 4, np.int64)
     rank[p12[order]] = np.arange(1, len(p12) + 1)
     sample = p12[order]
@@ -355,10 +357,10 @@ def _sorted(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
     n = size[keep]
     start = np.concatenate(([0], np.cumsum(n + 1)[:-1]))
     s = np.zeros(int((n + 1).sum()), np.int16)
-    src = np.repeat(begin[keep] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))
-    dst = np.repeat(start - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))
-    s[dst] = text[src].astype(np.int16) + 1
-    owner = np.repeat(np.arange(len(keep)), n + 1)
+    for a, b, size in zip(start.tolist(), begin[keep].tolist(), n.tolist(), strict=True):
+        s[a : a + size] = text[b : b + size]
+        s[a : a + size] += 1
+    owner = np.repeat(np.arange(len(keep), dtype=np.int32), n + 1)
     windows = np.arange(len(s)) - start[owner] <= more[keep][owner]
     sa, group = repeats(s, windows)
     if not len(sa):
@@ -457,7 +459,7 @@ def repeated(docs: DataFrame, *, whole_chars: bool = False) -> tuple[DataFrame,
     places = hot.groupBy("cls").agg(F.collect_set(F.struct("hash", "q", "back", "more", "wide")).alias("places"))
     first = classes.join(places, "cls").withColumnRenamed("cls", "c")
     texts = docs.join(first, (F.col("cls") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).select("cls", "doc_id", "text", "places")
-    contexts = texts.mapInArrow(_contexts(buckets), "bucket int, kind byte, key binary, id binary, cls binary, lo binary, more binary, text binary")
+    contexts = texts.mapInArrow(_contexts(4 * buckets), "bucket int, kind byte, key binary, id binary, cls binary, lo binary, more binary, text binary")
     spans = scratch.table(contexts.repartition(p, "bucket").mapInArrow(_sort, "cls long, start int, end int"))
     C.tidy(spark)
     spans = spans.groupBy("cls").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
