@@ -1,14 +1,21 @@
-"""Relational queries on the star schema."""
+"""Relational queries on the star schema: filters, joins, aggregates, windows, sets, order."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import load
+from ..operators import joins
+from ..sources.tables import load, register
 from .registry import query
 
 
+def _sql(spark: SparkSession, sf_dir: str, text: str, *names: str) -> DataFrame:
+    """A query by Spark SQL over temporary views."""
+    register(spark, sf_dir, *names)
+    return spark.sql(text)
+
+
 @query("""
 SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base,
        round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, round(avg(l_discount), 6) AS avg_disc, count(*) AS n
@@ -27,3 +34,232 @@ def q01_pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.count("*").alias("n"),
         )
     )
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, l_extendedprice, CASE WHEN l_quantity < 10 THEN 'small' WHEN l_quantity < 30 THEN 'middle' ELSE 'large' END AS size_class,
+       round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 6) AS charge
+FROM lineitem WHERE l_discount BETWEEN 0.05 AND 0.07 AND l_returnflag IN ('A', 'R') AND l_quantity < 24
+""")
+def q02_filter_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = F.col("l_quantity")
+    rows = load(spark, sf_dir, "lineitem").where(F.col("l_discount").between(0.05, 0.07) & F.col("l_returnflag").isin("A", "R") & (q < 24))
+    return rows.select("l_orderkey", "l_linenumber", "l_extendedprice", F.when(q < 10, "small").when(q < 30, "middle").otherwise("large").alias("size_class"), F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax")), 6).alias("charge"))
+
+
+@query("""
+SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n
+FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey
+     JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+WHERE r_name = 'ASIA' GROUP BY n_name
+""")
+def q03_local_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lambda n: load(spark, sf_dir, n)
+    nations = t("nation").join(t("region").where("r_name = 'ASIA'"), F.col("n_regionkey") == F.col("r_regionkey"))
+    suppliers = t("supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_nationkey", "n_name")
+    lines = t("lineitem").join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
+    buyers = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
+    rows = lines.join(buyers, (F.col("l_orderkey") == F.col("o_orderkey")) & (F.col("s_nationkey") == F.col("c_nationkey")))
+    return rows.groupBy("n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey, o_orderpriority FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45)")
+def q04_left_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    big = load(spark, sf_dir, "lineitem").where("l_quantity > 45").select("l_orderkey")
+    return load(spark, sf_dir, "orders").join(big, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select("o_orderkey", "o_orderpriority")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+def q05_left_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "orders").join(load(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey", "o_custkey")
+
+
+@query("""
+SELECT c_custkey, o_orderkey FROM (SELECT * FROM customer WHERE c_acctbal > 5000) c
+FULL JOIN (SELECT * FROM orders WHERE o_totalprice > 100000) o ON c_custkey = o_custkey
+""")
+def q06_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = load(spark, sf_dir, "customer").where("c_acctbal > 5000"), load(spark, sf_dir, "orders").where("o_totalprice > 100000")
+    return a.join(b, F.col("c_custkey") == F.col("o_custkey"), "full").select("c_custkey", "o_orderkey")
+
+
+@query("SELECT c_custkey, count(o_orderkey) AS n_orders FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderpriority = '1-URGENT' GROUP BY c_custkey")
+def q07_left_outer_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    urgent = load(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").groupBy("o_custkey").agg(F.count("*").alias("n"))  # counted before the join
+    return load(spark, sf_dir, "customer").join(urgent, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n_orders"))
+
+
+@query("SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON c_acctbal BETWEEN s_acctbal AND s_acctbal + 50")
+def q08_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = load(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_acctbal").alias("lo"), (F.col("s_acctbal") + 50).alias("hi"))
+    return joins.range_join(load(spark, sf_dir, "customer"), spans, value="c_acctbal", low="lo", high="hi", width=50).select("s_suppkey", "c_custkey")
+
+
+@query("""
+SELECT p.event_id, p.user_id, v.event_id AS view_id, v.value AS view_value
+FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON p.user_id = v.user_id AND p.ts >= v.ts
+""")
+def q09_asof_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = load(spark, sf_dir, "events")
+    views = e.where("event_type = 'view'").select("user_id", "ts", F.col("event_id").alias("view_id"), F.col("value").alias("view_value"))
+    found = joins.asof_join(e.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), views, by=["user_id"], left_time="ts", right_time="ts", values=["view_id", "view_value"])
+    return found.select("event_id", "user_id", "view_id", "view_value")
+
+
+@query("""
+SELECT a.event_id AS click_id, b.event_id AS purchase_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 2 HOURS
+WHERE a.event_type = 'click' AND b.event_type = 'purchase'
+""")
+def q10_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = load(spark, sf_dir, "events")
+    a = e.where("event_type = 'click'").select("user_id", F.col("ts").alias("click_ts"), F.col("event_id").alias("click_id"))
+    b = e.where("event_type = 'purchase'").select("user_id", F.col("ts").alias("purchase_ts"), F.col("event_id").alias("purchase_id"))
+    return joins.interval_join(a, b, by="user_id", left_time="click_ts", right_time="purchase_ts", within="2 HOURS").select("click_id", "purchase_id")
+
+
+@query("SELECT n_name, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
+def q11_salted_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations = load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    rows = joins.salted_join(load(spark, sf_dir, "customer"), nations, "c_nationkey", 4)
+    return rows.groupBy("n_name").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total"))
+
+
+@query("SELECT p_partkey, p_retailprice FROM part p WHERE p_retailprice > (SELECT avg(p_retailprice) FROM part q WHERE q.p_brand = p.p_brand)")
+def q12_correlated_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sql(spark, sf_dir, "SELECT p_partkey, p_retailprice FROM part p WHERE p_retailprice > (SELECT avg(p_retailprice) FROM part q WHERE q.p_brand = p.p_brand)", "part")
+
+
+@query("SELECT c_custkey, o_orderkey, o_totalprice FROM customer, LATERAL (SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) t")
+def q13_lateral_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "customer").join(load(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"))
+    return joins.top_per_group(rows, ["c_custkey"], [F.desc("o_totalprice"), F.asc("o_orderkey")], 2).select("c_custkey", "o_orderkey", "o_totalprice")
+
+
+@query("SELECT event_type, count(DISTINCT user_id) AS users, count(*) FILTER (WHERE value > 100) AS large, count(DISTINCT props) AS props FROM events GROUP BY event_type")
+def q14_distinct_and_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "events").groupBy("event_type").agg(F.countDistinct("user_id").alias("users"), F.count_if(F.col("value") > 100).alias("large"), F.countDistinct("props").alias("props"))
+
+
+@query("""
+SELECT event_type, round(stddev_samp(value), 6) AS sd, round(var_pop(value), 4) AS vp, round(corr(value, user_id), 6) AS cr, round(median(value), 6) AS med,
+       round(percentile_cont(0.9) WITHIN GROUP (ORDER BY value), 6) AS p90, max_by(event_id, struct_pack(a := value, b := event_id)) AS top_id
+FROM events GROUP BY event_type
+""")
+def q15_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("value")
+    return load(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.stddev_samp(v), 6).alias("sd"), F.round(F.var_pop(v), 4).alias("vp"), F.round(F.corr(v, "user_id"), 6).alias("cr"), F.round(F.median(v), 6).alias("med"), F.round(F.expr("percentile_cont(0.9) WITHIN GROUP (ORDER BY value)"), 6).alias("p90"), F.max_by("event_id", F.struct("value", "event_id")).alias("top_id"))
+
+
+_MOMENTS = "SELECT event_type, count(*) AS n, avg(value) AS m FROM events GROUP BY event_type"
+
+
+@query(f"""
+SELECT event_type, round(avg(power(value - m, 3)) / power(sqrt(avg(power(value - m, 2))), 3), 6) AS skew, round(avg(power(value - m, 4)) / power(avg(power(value - m, 2)), 2) - 3, 6) AS kurt
+FROM events JOIN ({_MOMENTS}) USING (event_type) GROUP BY event_type
+""")
+def q16_skewness_kurtosis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.skewness("value"), 6).alias("skew"), F.round(F.kurtosis("value"), 6).alias("kurt"))
+
+
+@query("SELECT l_returnflag, l_linestatus, CAST(grouping(l_returnflag) AS INT) AS g1, CAST(grouping(l_linestatus) AS INT) AS g2, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+def q17_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.grouping("l_returnflag").cast("int").alias("g1"), F.grouping("l_linestatus").cast("int").alias("g2"), F.count("*").alias("n"))
+
+
+@query("SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS qty FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+def q18_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("qty"))
+
+
+_SETS = "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())"
+
+
+@query(_SETS)
+def q19_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sql(spark, sf_dir, _SETS, "lineitem")
+
+
+@query("""
+SELECT user_id, round(sum(value) FILTER (WHERE event_type = 'click'), 4) AS click, round(sum(value) FILTER (WHERE event_type = 'view'), 4) AS view,
+       round(sum(value) FILTER (WHERE event_type = 'purchase'), 4) AS purchase FROM events GROUP BY user_id
+""")
+def q20_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = ["click", "view", "purchase"]
+    rows = load(spark, sf_dir, "events").groupBy("user_id").pivot("event_type", kinds).agg(F.sum("value"))
+    return rows.select("user_id", *(F.round(k, 4).alias(k) for k in kinds))
+
+
+@query("SELECT o_orderkey, 'status' AS field, o_orderstatus AS content FROM orders UNION ALL SELECT o_orderkey, 'priority', o_orderpriority FROM orders")
+def q21_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))
+    return rows.unpivot("o_orderkey", ["status", "priority"], "field", "content")
+
+
+@query("""
+SELECT event_id, CAST(row_number() OVER w AS INT) AS rn, CAST(rank() OVER v AS INT) AS rk, CAST(dense_rank() OVER v AS INT) AS dr, CAST(ntile(4) OVER w AS INT) AS quarter,
+       round(percent_rank() OVER v, 6) AS pr, round(cume_dist() OVER v, 6) AS cd
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id), v AS (PARTITION BY user_id ORDER BY event_type)
+""")
+def q22_window_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w, v = Window.partitionBy("user_id").orderBy("ts", "event_id"), Window.partitionBy("user_id").orderBy("event_type")
+    return load(spark, sf_dir, "events").select("event_id", F.row_number().over(w).alias("rn"), F.rank().over(v).alias("rk"), F.dense_rank().over(v).alias("dr"), F.ntile(4).over(w).alias("quarter"), F.round(F.percent_rank().over(v), 6).alias("pr"), F.round(F.cume_dist().over(v), 6).alias("cd"))
+
+
+@query("""
+SELECT event_id, lag(value) OVER w AS before, lead(value, 2) OVER w AS after, first_value(event_type) OVER w AS first_type, nth_value(event_type, 2) OVER w AS second_type,
+       last_value(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_type
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
+""")
+def q23_window_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return load(spark, sf_dir, "events").select("event_id", F.lag("value").over(w).alias("before"), F.lead("value", 2).over(w).alias("after"), F.first("event_type").over(w).alias("first_type"), F.nth_value("event_type", 2).over(w).alias("second_type"), F.last("event_type").over(whole).alias("last_type"))
+
+
+@query("""
+SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 4) AS last_four,
+       count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS in_day FROM events
+""")
+def q24_window_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = """SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 4) AS last_four,
+       count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS in_day FROM events"""
+    return _sql(spark, sf_dir, text, "events")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 5")
+def q25_top_k_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").offset(5).limit(20).select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 9000 UNION SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000")
+def q26_union_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = load(spark, sf_dir, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("k"))
+    return a.union(load(spark, sf_dir, "supplier").where("s_acctbal > 5000").select("s_nationkey")).distinct()
+
+
+@query("SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier")
+def q27_intersect_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")).intersectAll(load(spark, sf_dir, "supplier").select("s_nationkey"))
+
+
+@query("SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier")
+def q28_except_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")).exceptAll(load(spark, sf_dir, "supplier").select("s_nationkey"))
+
+
+_TREE = "WITH RECURSIVE t(n, f) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 12) SELECT n, f FROM t"
+
+
+@query(_TREE)
+def q29_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_TREE)
+
+
+@query("""
+SELECT r_name, n_name, n_cust, round(bal, 2) AS bal FROM region JOIN nation ON r_regionkey = n_regionkey
+JOIN (SELECT c_nationkey, count(*) AS n_cust, sum(c_acctbal) AS bal FROM customer GROUP BY c_nationkey HAVING count(*) > 1) c ON c_nationkey = n_nationkey
+""")
+def q30_having_broadcast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sums = load(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n_cust"), F.sum("c_acctbal").alias("bal")).where("n_cust > 1")
+    nations = load(spark, sf_dir, "nation").join(load(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))  # 25 rows: Spark broadcasts them by size
+    return sums.join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select("r_name", "n_name", "n_cust", F.round("bal", 2).alias("bal"))
