@@ -194,7 +194,7 @@ def shingles(data: np.ndarray, at: np.ndarray, k: int) -> list[np.ndarray]:
     start, end, first = words(data, at)
     h = Hashes(data).spans(start, end)
     joined = np.zeros(len(h), U64)
-    for j in range(k):
+    for j in range(min(k, len(h))):
         joined[: len(h) - j] += h[j:] * powers(1 << 20)[0][j + 1]
     joined = mix(joined + U64(k))
     out = []
@@ -285,6 +285,19 @@ def crc_mod(column: str, n: int) -> "F.Column":
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have yet."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def own(df: DataFrame) -> list:
+    """The table's columns, whatever characters their names have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def unique(df: DataFrame, column: str) -> bool:
     """Whether no value repeats or is null."""
     return df.groupBy(column).count().where(F.col(column).isNull() | (F.col("count") > 1)).isEmpty()

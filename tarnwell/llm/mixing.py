@@ -172,4 +172,4 @@ def repeated(docs: DataFrame, model: L.Model, names: list[str], steps: list[np.n
             for a in range(0, len(copies), 64):
                 yield rows.slice(a, 64).take(pa.array(np.repeat(np.arange(len(copies[a : a + 64])), copies[a : a + 64])))
 
-    return docs.withColumn("_chance", chance()).mapInArrow(run, docs.schema)
+    return docs.withColumn(C.fresh(docs, "_chance"), chance()).mapInArrow(run, docs.schema)

@@ -195,9 +195,8 @@ def search(sets: list[np.ndarray], against: list[np.ndarray] | None, num: int, d
         n = len(s)
         if not n:
             continue
-        at = np.searchsorted(names, s)
-        at = at[(at < len(names))]
-        at = at[np.isin(names[at], s, assume_unique=True)]
+        at = np.minimum(np.searchsorted(names, s), len(names) - 1)
+        at = at[names[at] == s] if len(names) else at[:0]
         low, high = ceil_div(n * num, den), n * den // num
         need = int(required(n, low, num, den))  # the least overlap with any set of a fitting size
         if len(at) < need:
@@ -344,7 +343,8 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     if C.unique(docs, "doc_id"):
         found = near_groups(docs, k=5, num=80, den=100).where("doc_id = component_id").select("doc_id")
-        return docs.join(found, "doc_id", "left_semi").select(docs.columns)
-    numbered = C.Scratch(spark, "near-stage").table(docs.withColumn("_row", F.monotonically_increasing_id()))
-    found = near_groups(numbered, k=5, num=80, den=100, id_col="_row").where("doc_id = component_id").select(F.col("doc_id").alias("_row"))
-    return numbered.join(found, "_row", "left_semi").select(docs.columns)
+        return docs.join(found, "doc_id", "left_semi").select(C.own(docs))
+    row = C.fresh(docs, "_row")
+    numbered = C.Scratch(spark, "near-stage").table(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = near_groups(numbered, k=5, num=80, den=100, id_col=row).where("doc_id = component_id").select(F.col("doc_id").alias(row))
+    return numbered.join(found, row, "left_semi").select(C.own(docs))

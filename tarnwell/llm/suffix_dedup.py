@@ -493,11 +493,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cut_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: each document's text without its repeats, in whole characters; n_chars follows. All documents stay."""
     classes, cut = repeated(docs, whole_chars=True)
-    cut = cut.select(F.col("cls").alias("_cls"), F.col("kept").cast("string").alias("_kept")).dropDuplicates(["_cls"])
-    classes = classes.select(F.col("cls").alias("_c"), F.col("first_id").alias("_first"))
+    key, named, first, cut_key, kept = (C.fresh(docs, n) for n in ("_key", "_class", "_first", "_cut", "_kept"))
+    cut = cut.select(F.col("cls").alias(cut_key), F.col("kept").cast("string").alias(kept)).dropDuplicates([cut_key])
+    classes = classes.select(F.col("cls").alias(named), F.col("first_id").alias(first))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.withColumn("_key", F.xxhash64(text)).join(classes, F.col("_key") == F.col("_c")).join(cut, F.col("_key") == F.col("_cls"), "left")
-    copy = ~F.col("doc_id").eqNullSafe(F.col("_first")) & (F.octet_length(text) >= LENGTH)
-    new = F.when(copy, F.lit("")).otherwise(F.coalesce("_kept", "text"))
-    out = [new.alias(c) if c == "text" else F.length(new).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return rows.select(*out)
+    rows = docs.withColumn(key, F.xxhash64(text)).join(classes, F.col(key) == F.col(named)).join(cut, F.col(key) == F.col(cut_key), "left")
+    copy = ~F.col("doc_id").eqNullSafe(F.col(first)) & (F.octet_length(text) >= LENGTH)
+    new = F.when(copy, F.lit("")).otherwise(F.coalesce(kept, "text"))
+    return rows.select(*(new.alias(c) if c == "text" else F.length(new).cast("long").alias(c) if c == "n_chars" else x for c, x in zip(docs.columns, C.own(docs), strict=True)))
