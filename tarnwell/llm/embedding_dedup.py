@@ -233,3 +233,14 @@ def _result(rows: DataFrame, links: DataFrame | None, root: DataFrame | None, cl
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op8: all rows of embeddings at cosine 0.9."""
     return near_vectors(C.load(spark, sf_dir, "embeddings"))
+
+
+def sql() -> str:
+    """The same for DuckDB: all pairs by cosine, and all that each vector reaches."""
+    return f"""
+WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= {THRESHOLD}),
+r(v, c) AS (SELECT vec_id, vec_id FROM e UNION SELECT l.b, r.c FROM r JOIN l ON r.v = l.a),
+m AS (SELECT v AS k, min(c) AS component_id FROM r GROUP BY v), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept FROM e JOIN m ON k = vec_id LEFT JOIN n ON a = vec_id
+"""

@@ -335,6 +335,20 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(C.load(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
+def sql(k: int = 4, num: int = 85, den: int = 100) -> str:
+    """The same for DuckDB: every pair that shares a shingle, and all that each document reaches."""
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) >= {k} THEN list_transform(range(1, len(words) - {k} + 2), lambda i: list_slice(words, i, i + {k - 1})) WHEN len(words) > 0 THEN [words] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+h AS (SELECT doc_id, hash(g) AS h, g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM h a JOIN h b ON a.h = b.h AND a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE {den} * c >= {num} * (x.n + y.n - c)),
+r(v, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.c FROM r JOIN l ON r.v = l.a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT v, min(c) AS component_id FROM r GROUP BY v) m ON m.v = d.doc_id
+"""
+
+
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: of each group of near duplicates (5 words, 0.8) the document with the smallest id stays.
 

@@ -21,4 +21,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": url_filter.sql()}
+    """For those that SQL can express over whole tables; the others are tested against plain versions in tests/llm."""
+    return {"op1_url_filter": url_filter.sql(), "op8_embedding_dedup": embedding_dedup.sql(), "op9_ngram_join": ngram_join.sql()}
