@@ -23,6 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common as C
 
@@ -194,6 +195,7 @@ def near_vectors(rows: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each row of (vec_id, embedding): vec_id, n_links, component_id, kept."""
     spark = C.ready(rows.sparkSession)
     scratch = C.Scratch(spark, "embedding-dedup")
+    kind = "float" if rows.schema["embedding"].dataType == T.ArrayType(T.FloatType(), rows.schema["embedding"].dataType.containsNull) else "double"  # as they are stored; compared as doubles
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     good = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     fine = F.col("v").isNotNull() & F.forall("v", good) & F.exists("v", lambda x: x != 0)
@@ -202,14 +204,14 @@ def near_vectors(rows: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     width = next(iter(widths), 0)
     usable = F.col("ok") & (F.size("v") == width)
     # A class for equal vectors, named by two hashes of their components; its rows are counted before any shuffle.
-    rows = rows.withColumn("ok", usable).withColumn("v", F.transform("v", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x))).withColumn("key", F.when(F.col("ok"), F.xxhash64("v")))
+    rows = rows.withColumn("ok", usable).withColumn("v", F.transform("v", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x)).cast(f"array<{kind}>")).withColumn("key", F.when(F.col("ok"), F.xxhash64("v")))
     classes = scratch.table(rows.where("ok").groupBy("key").agg(F.count("*").alias("size"), F.min("vec_id").alias("least"), F.first("v").alias("v")))
     n = classes.count()
     if not n:
         return _result(rows, None, None, classes)
     sample = np.array([r[0] for r in classes.orderBy(F.xxhash64("key", F.lit(3)), "key").limit(SAMPLE).select("v").collect()], np.float64)
     trees = forest(unit(sample), n)
-    placed = classes.select(F.col("key").alias("cls"), "v", "size").mapInArrow(_place(trees), "leaf int, cls long, size long, v array<double>, leaves binary")
+    placed = classes.select(F.col("key").alias("cls"), "v", "size").mapInArrow(C.lean(_place(trees)), f"leaf int, cls long, size long, v array<{kind}>, leaves binary")
     found = scratch.table(placed.groupBy("leaf").applyInPandas(_compare(threshold), "kind byte, a long, b long"))
     C.tidy(spark)
     links = found.where("kind = 0").groupBy("a").agg(F.sum("b").alias("links"))
