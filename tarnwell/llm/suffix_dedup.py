@@ -441,32 +441,34 @@ def _cut(whole_chars: bool):
     return run
 
 
-def repeated(docs: DataFrame, *, whole_chars: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Two tables: the classes (cls, first_id) of equal texts, and (cls, n_removed, n_spans, kept bytes) of those cut in part.
+def repeated(docs: DataFrame, *, whole_chars: bool = False) -> DataFrame:
+    """Each class of equal texts: cls, first_id, and where it is cut in part n_removed, n_spans and the kept bytes, else nulls.
 
-    cls is xxhash64 of the text. Copies beyond the first document of a class are for the caller to remove.
+    cls is xxhash64 of the text. Copies beyond the first document of a class are for the caller to remove. The table is
+    written, so that the join of all documents with it has a shuffle of its own on either side, which Spark can split
+    where a class has very many copies.
     """
     spark = C.ready(docs.sparkSession)
     scratch, p = C.Scratch(spark, "suffix-dedup"), C.partitions(spark)
     buckets = 16 * p
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("cls", F.xxhash64("text"))
-    classes = docs.groupBy("cls").agg(F.expr("min_by(doc_id, struct(doc_id is not null, doc_id))").alias("first_id"))
-    asked = docs.where(F.octet_length("text") >= LENGTH).select("cls", "text").mapInArrow(_ask(buckets), "bucket int, kind byte, hash binary, cls binary, q binary, back binary, more binary, count binary")
-    hot = scratch.table(asked.repartition(p, "bucket").mapInArrow(_hot, "hash long, cls long, q int, back short, more short, wide boolean"))
+    classes = scratch.table(docs.groupBy("cls").agg(F.expr("min_by(doc_id, struct(doc_id is not null, doc_id))").alias("first_id")))
+    asked = docs.where(F.octet_length("text") >= LENGTH).select("cls", "text").mapInArrow(C.lean(_ask(buckets)), "bucket int, kind byte, hash binary, cls binary, q binary, back binary, more binary, count binary")
+    hot = scratch.table(asked.repartition(p, "bucket").mapInArrow(C.lean(_hot), "hash long, cls long, q int, back short, more short, wide boolean"))
     C.tidy(spark)
     wide = hot.where("wide").select("hash", F.lit(True).alias("is_wide"))
     hot = hot.drop("wide").join(C.bounded(spark, wide, 100_000), "hash", "left").withColumn("wide", F.coalesce("is_wide", F.lit(False)))
     places = hot.groupBy("cls").agg(F.collect_set(F.struct("hash", "q", "back", "more", "wide")).alias("places"))
     first = classes.join(places, "cls").withColumnRenamed("cls", "c")
     texts = docs.join(first, (F.col("cls") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).select("cls", "doc_id", "text", "places")
-    contexts = texts.mapInArrow(_contexts(4 * buckets), "bucket int, kind byte, key binary, id binary, cls binary, lo binary, more binary, text binary")
-    spans = scratch.table(contexts.repartition(p, "bucket").mapInArrow(_sort, "cls long, start int, end int"))
+    contexts = texts.mapInArrow(C.lean(_contexts(4 * buckets)), "bucket int, kind byte, key binary, id binary, cls binary, lo binary, more binary, text binary")
+    spans = scratch.table(contexts.repartition(p, "bucket").mapInArrow(C.lean(_sort), "cls long, start int, end int"))
     C.tidy(spark)
     spans = spans.groupBy("cls").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     first = classes.join(spans, "cls").withColumnRenamed("cls", "c")
     texts = docs.join(first, (F.col("cls") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).select("cls", "text", "spans")
-    cut = texts.mapInArrow(_cut(whole_chars), "cls long, n_removed long, n_spans long, kept binary")
-    return classes, cut
+    cut = texts.mapInArrow(C.lean(_cut(whole_chars)), "cls long, n_removed long, n_spans long, kept binary").dropDuplicates(["cls"])
+    return scratch.table(classes.join(cut, "cls", "left"))
 
 
 EMPTY_SHA256 = hashlib.sha256(b"").hexdigest()
@@ -475,11 +477,10 @@ EMPTY_SHA256 = hashlib.sha256(b"").hexdigest()
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op5: per document n_bytes, n_removed, n_spans and the SHA-256 of the kept bytes."""
     docs = C.load(spark, sf_dir, "documents").select("doc_id", "text")
-    classes, cut = repeated(docs)
-    cut = cut.select("cls", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")).dropDuplicates(["cls"])
+    classes = repeated(docs).select("cls", "first_id", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.xxhash64(text).alias("cls"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("whole"))
-    rows = rows.join(classes, "cls").join(cut, "cls", "left")
+    rows = rows.join(classes, "cls")
     copy = ~F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("n_bytes") >= LENGTH)
     return rows.select(
         "doc_id",
@@ -492,12 +493,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cut_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: each document's text without its repeats, in whole characters; n_chars follows. All documents stay."""
-    classes, cut = repeated(docs, whole_chars=True)
-    key, named, first, cut_key, kept = (C.fresh(docs, n) for n in ("_key", "_class", "_first", "_cut", "_kept"))
-    cut = cut.select(F.col("cls").alias(cut_key), F.col("kept").cast("string").alias(kept)).dropDuplicates([cut_key])
-    classes = classes.select(F.col("cls").alias(named), F.col("first_id").alias(first))
+    key, named, first, kept = (C.fresh(docs, n) for n in ("_key", "_class", "_first", "_kept"))
+    classes = repeated(docs, whole_chars=True).select(F.col("cls").alias(named), F.col("first_id").alias(first), F.col("kept").cast("string").alias(kept))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.withColumn(key, F.xxhash64(text)).join(classes, F.col(key) == F.col(named)).join(cut, F.col(key) == F.col(cut_key), "left")
+    rows = docs.withColumn(key, F.xxhash64(text)).join(classes, F.col(key) == F.col(named))
     copy = ~F.col("doc_id").eqNullSafe(F.col(first)) & (F.octet_length(text) >= LENGTH)
     new = F.when(copy, F.lit("")).otherwise(F.coalesce(kept, "text"))
     return rows.select(*(new.alias(c) if c == "text" else F.length(new).cast("long").alias(c) if c == "n_chars" else x for c, x in zip(docs.columns, C.own(docs), strict=True)))
