@@ -13,7 +13,6 @@ Null and empty texts have the END token alone. Repeated rows are packed each for
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -26,8 +25,8 @@ from . import common as C
 LENGTH, END = 4096, 2
 VOCABULARY = "word_bpe_49k.json"
 #: Documents, and bytes of text, in a group, about: what one task holds.
-GROUP, GROUP_BYTES = 10_000, 32 << 20
-#: Distinct chunks of text whose ids a Python worker remembers.
+GROUP, GROUP_BYTES = 4_000, 8 << 20
+#: Distinct chunks of text whose ids a task remembers.
 CACHE = 600_000
 #: A last sequence of no more tokens is padded rather than cut further.
 MIN_TAIL = 64
@@ -126,13 +125,6 @@ def cut_tail(pieces: list[tuple[int, int, int, int, int]], capacity: int = LENGT
     return out
 
 
-@lru_cache(1)
-def tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
-
-
 class Ids:
     """Ids of texts by the vocabulary, remembered for chunks between ASCII white space.
 
@@ -141,7 +133,9 @@ class Ids:
     """
 
     def __init__(self, path: str):
-        self.path = path
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
         self.clear()
 
     def clear(self) -> None:
@@ -153,7 +147,7 @@ class Ids:
         """Adds new chunks; keys is sorted."""
         if len(self.keys) + len(keys) > CACHE and len(self.keys):
             self.clear()
-        found = tokenizer(self.path).encode_batch_fast(chunks, add_special_tokens=False)
+        found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
         ids = [e.ids for e in found]
         size = np.array([len(x) for x in ids], np.int64)
         new = np.fromiter((i for x in ids for i in x), np.uint16, int(size.sum()))
@@ -190,11 +184,6 @@ class Ids:
         return self.ids[where], total[first]
 
 
-@lru_cache(1)
-def _ids(path: str) -> Ids:
-    return Ids(path)
-
-
 def vocabulary(path: str | None = None) -> str:
     """The place of the tokenizer's file: as given, or that of the installed public one."""
     if path:
@@ -211,7 +200,7 @@ def _pieces(path: str | None, length: int, end: int):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        know = _ids(vocabulary(path))
+        know = Ids(vocabulary(path))
         for batch in batches:
             data, at = C.text_bytes(batch.column(1))
             for lo, hi, part, starts in C.blocks(data, at):
@@ -266,7 +255,7 @@ def pack_documents(docs: DataFrame, *, length: int = LENGTH, end: int = END, gro
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("grp", F.pmod(F.xxhash64(F.lit(seed), "doc_id", F.crc32(F.col("text").cast("binary"))), F.lit(groups)))
     docs = docs.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "text", "grp", F.col("doc_id").isNull().alias("no_id"))
-    pieces = docs.mapInArrow(_pieces(vocabulary_path, length, end), "doc_id long, grp long, no_id boolean, start long, length long, doc_tokens long, ids binary")
+    pieces = docs.mapInArrow(C.lean(_pieces(vocabulary_path, length, end)), "doc_id long, grp long, no_id boolean, start long, length long, doc_tokens long, ids binary")
     packed = pieces.groupBy("grp").applyInPandas(_place(length), SCHEMA)
     return packed.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")
 
