@@ -209,10 +209,30 @@ def shingles(data: np.ndarray, at: np.ndarray, k: int) -> list[np.ndarray]:
     return out
 
 
-def gathered(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
-    """A whole partition that was dealt by a hash of its keys."""
-    held = [b for b in batches if b.num_rows]
-    return pa.Table.from_batches(held).combine_chunks() if held else None
+def released() -> None:
+    """Gives memory back to the system: workers are used again by later tasks, whose executor shares what they hold."""
+    import ctypes
+    import gc
+
+    powers.cache_clear()
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        pass
+
+
+def lean(run):
+    """A function on a partition's batches that leaves nothing behind in its worker."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from run(batches)
+        finally:
+            released()
+
+    return whole
 
 
 # --- components -----------------------------------------------------------------------------------------------------
@@ -261,7 +281,7 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     Every step is a minimum for each node and a join, so no node's neighbours are gathered, and every round is
     written to the shared folder. It ends when all links are stars: each leaf has one centre, and no centre is a leaf.
     """
-    pairs = links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").mapInArrow(_forest, "a long, b long")
+    pairs = links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").mapInArrow(lean(_forest), "a long, b long")
     table = scratch.table(pairs)
     while True:
         # Large star: greater neighbours go to the smallest one of each node's neighbourhood.

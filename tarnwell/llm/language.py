@@ -94,7 +94,7 @@ def _bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def prototypes(docs: DataFrame, lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
     """The languages in order and their centred, normed prototypes, from all rows with a language."""
     C.ready(docs.sparkSession)
-    parts = docs.where(F.col(lang_col).isNotNull()).select(F.col("text").cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).mapInArrow(_bundle, "lang string, v array<double>")
+    parts = docs.where(F.col(lang_col).isNotNull()).select(F.col("text").cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).mapInArrow(C.lean(_bundle), "lang string, v array<double>")
     sums = parts.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x")).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("v"))
     rows = sorted(sums.limit(MOST_LANGUAGES + 1).collect(), key=lambda r: r[0])
     if len(rows) > MOST_LANGUAGES:
@@ -127,7 +127,7 @@ def predict(docs: DataFrame, languages: list[str], profile: np.ndarray) -> DataF
                     score.append(float(min(1.0, max(0.0, (1 + cosine[best]) / 2))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(C.lean(run), "doc_id long, lang_pred string, score double")
 
 
 def held_out() -> "F.Column":

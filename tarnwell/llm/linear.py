@@ -214,7 +214,7 @@ def fitted(sample, fit, columns: list[str]) -> Model:
         model = fit([texts[i] for i in order], *(np.array([x[i] for i in order]) for x in labels))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
-    rows = sample.select("text", *columns).repartition(1).mapInArrow(run, "model binary").collect()
+    rows = sample.select("text", *columns).repartition(1).mapInArrow(C.lean(run), "model binary").collect()
     return pickle.loads(rows[0][0]) if rows else fit([], *(np.zeros(0, int) for _ in columns))
 
 

@@ -79,7 +79,7 @@ def tabled(docs: DataFrame, model: L.Model) -> DataFrame:
             n, p = posteriors(model, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(p.tolist(), pa.list_(pa.float64()))], names=["doc_id", "tokens", "p"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, tokens long, p array<double>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(C.lean(run), "doc_id long, tokens long, p array<double>")
 
 
 Step = tuple[np.ndarray, float]
@@ -196,4 +196,4 @@ def repeated(docs: DataFrame, model: L.Model, names: list[str], steps: list[Step
             for a in range(0, len(copies), 64):
                 yield rows.slice(a, 64).take(pa.array(np.repeat(np.arange(len(copies[a : a + 64])), copies[a : a + 64])))
 
-    return docs.withColumn(C.fresh(docs, "_chance"), chance()).mapInArrow(run, docs.schema)
+    return docs.withColumn(C.fresh(docs, "_chance"), chance()).mapInArrow(C.lean(run), docs.schema)

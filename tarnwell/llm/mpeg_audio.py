@@ -350,13 +350,13 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def encoded(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media: each row's whole text as a stream."""
     C.ready(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_encode, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(C.lean(_encode), "doc_id long, n_bytes long, media binary")
 
 
 def decoded(media: DataFrame) -> DataFrame:
     """Adds the payload and `meta`, a struct of what the stream says, to (doc_id, n_bytes, media)."""
     C.ready(media.sparkSession)
-    return media.mapInArrow(_decode, f"doc_id long, n_bytes long, media binary, payload binary, meta struct<{', '.join(x.replace(' ', ': ', 1) for x in META.split(', '))}>")
+    return media.mapInArrow(C.lean(_decode), f"doc_id long, n_bytes long, media binary, payload binary, meta struct<{', '.join(x.replace(' ', ': ', 1) for x in META.split(', '))}>")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

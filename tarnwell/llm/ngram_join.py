@@ -276,8 +276,8 @@ def near_groups(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, i
     scratch, p = C.Scratch(spark, "ngram-join"), C.partitions(spark)
     buckets = 16 * p
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    packed = docs.mapInArrow(_parts(k, num, den, buckets), "bucket int, ids binary, sizes binary, keys binary, tokens binary, lens binary")
-    found = scratch.table(packed.repartition(p, "bucket").mapInArrow(_shared(num, den), "kind byte, id long, n int, cls long, token long, df int"))
+    packed = docs.mapInArrow(C.lean(_parts(k, num, den, buckets)), "bucket int, ids binary, sizes binary, keys binary, tokens binary, lens binary")
+    found = scratch.table(packed.repartition(p, "bucket").mapInArrow(C.lean(_shared(num, den)), "kind byte, id long, n int, cls long, token long, df int"))
     C.tidy(spark)
     rows = found.where("kind = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "cls")
 
@@ -326,7 +326,7 @@ def _texts_by_class(docs: DataFrame, jobs: DataFrame, k: int) -> DataFrame:
             keys = [class_key(s) if len(s) else 0 for _, _, part, starts in C.blocks(data, at) for s in C.shingles(part, starts, k)]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column(1)], names=["cls", "text"])
 
-    texts = docs.select("doc_id", "text").mapInArrow(run, "cls long, text string")
+    texts = docs.select("doc_id", "text").mapInArrow(C.lean(run), "cls long, text string")
     return texts.join(jobs.select("cls").distinct(), "cls").groupBy("cls").agg(F.min("text").alias("text"))
 
 

@@ -83,7 +83,7 @@ def grade_documents(docs: DataFrame, model: L.Model, grades: np.ndarray, *, leve
                 expected, p = np.full(n, only), np.full(n, float(len(grades) > 0 and only >= level))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(expected), pa.array(p), pa.array(p >= 0.5)], names=["doc_id", "expected_grade", "tail_prob", "kept"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, expected_grade double, tail_prob double, kept boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(C.lean(run), "doc_id long, expected_grade double, tail_prob double, kept boolean")
 
 
 def ratings(labels: DataFrame) -> DataFrame:

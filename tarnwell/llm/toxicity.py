@@ -90,7 +90,7 @@ def score(docs: DataFrame, model: L.Model) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigmoid(L.scored(model, batch.column(1))[:, 0]))], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(C.lean(run), "doc_id long, score double")
 
 
 def held_out() -> "F.Column":
@@ -119,4 +119,4 @@ def kept(docs: DataFrame, model: L.Model) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(sigmoid(L.scored(model, batch.column(at))[:, 0]) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(C.lean(run), docs.schema)
