@@ -40,7 +40,7 @@ PIECE = 1 << 22
 #: Bits of a position inside a block, below the bits of a hash.
 LOW = np.uint64((1 << 24) - 1)
 #: Anchors, and bytes of contexts, that a task holds before it passes them on.
-FLUSH_ANCHORS, FLUSH_BYTES = 1 << 19, 1 << 24
+FLUSH_ANCHORS, FLUSH_BYTES = 1 << 18, 1 << 23
 #: Occurrences beyond which an anchor's windows are dealt one by one.
 WIDE = 50_000
 #: Bytes of contexts that are sorted at once, unless one bucket has more.
