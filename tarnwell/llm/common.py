@@ -7,7 +7,7 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -222,11 +222,18 @@ def released() -> None:
         pass
 
 
-def lean(run):
-    """A function on a partition's batches that leaves nothing behind in its worker."""
+#: What a worker may keep from task to task of one operator, by name: how to drop it.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def lean(run, keep: str = ""):
+    """A function on a partition's batches that leaves nothing behind in its worker but what `keep` names."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.set_memory_pool(pa.system_memory_pool())
+        for name, drop in KEPT.items():
+            if name != keep:
+                drop()
         try:
             yield from run(batches)
         finally:

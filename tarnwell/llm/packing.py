@@ -13,6 +13,7 @@ Null and empty texts have the END token alone. Repeated rows are packed each for
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -26,7 +27,7 @@ LENGTH, END = 4096, 2
 VOCABULARY = "word_bpe_49k.json"
 #: Documents, and bytes of text, in a group, about: what one task holds.
 GROUP, GROUP_BYTES = 4_000, 8 << 20
-#: Distinct chunks of text whose ids a task remembers.
+#: Distinct chunks of text whose ids a worker remembers.
 CACHE = 600_000
 #: A last sequence of no more tokens is padded rather than cut further.
 MIN_TAIL = 64
@@ -125,11 +126,17 @@ def cut_tail(pieces: list[tuple[int, int, int, int, int]], capacity: int = LENGT
     return out
 
 
+_SIGN, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_SIGN[list(b".,;:!?")] = True
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+
+
 class Ids:
     """Ids of texts by the vocabulary, remembered for chunks between ASCII white space.
 
-    The vocabulary's own rules part all text at white space, so a text's ids are those of its chunks in order; each
-    distinct chunk goes through the tokenizer itself. Ids are held as 16-bit numbers, which the vocabulary allows.
+    The vocabulary's own rules part all text at white space, and between a letter of A-Z and a sign such as a full stop,
+    so a text's ids are those of its chunks in order; each distinct chunk goes through the tokenizer itself. Ids are held
+    as 16-bit numbers, which the vocabulary allows.
     """
 
     def __init__(self, path: str):
@@ -140,7 +147,7 @@ class Ids:
 
     def clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)
-        self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.at, self.size = np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.ids, self.n_ids = np.zeros(1 << 16, np.uint16), 0
 
     def learn(self, keys: np.ndarray, chunks: list[str]) -> None:
@@ -149,9 +156,9 @@ class Ids:
             self.clear()
         found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
         ids = [e.ids for e in found]
-        size = np.array([len(x) for x in ids], np.int64)
+        size = np.array([len(x) for x in ids], np.int32)
         new = np.fromiter((i for x in ids for i in x), np.uint16, int(size.sum()))
-        at = self.n_ids + np.concatenate(([0], np.cumsum(size)[:-1])).astype(np.int64)
+        at = (self.n_ids + np.concatenate(([0], np.cumsum(size)[:-1]))).astype(np.int32)
         if self.n_ids + len(new) > len(self.ids):
             self.ids = np.concatenate((self.ids[: self.n_ids], np.zeros(max(len(new), self.n_ids) + (1 << 16), np.uint16)))
         self.ids[self.n_ids : self.n_ids + len(new)] = new
@@ -163,9 +170,21 @@ class Ids:
         """All ids of a block, and where each row's begin."""
         raw = data.tobytes()
         low = data if b"<|" in raw else C.LOWER[data]  # special tokens are told by their case
-        start, end, first = C.words(low, at)
+        start, end, _ = C.words(low, at)
+        sign = np.flatnonzero(_SIGN[low[1:]] & _LETTER[low[:-1]]) + 1
+        mark = np.zeros((2, len(low) + 1), bool)
+        mark[0, start] = mark[1, end] = True
+        mark[:, sign] = True
+        start, end = np.flatnonzero(mark[0]), np.flatnonzero(mark[1])
+        first = np.searchsorted(start, at)
         h = C.Hashes(low).spans(start, end)
-        keys, one, inv = np.unique(h, return_index=True, return_inverse=True)
+        order = np.argsort(h)
+        ordered = h[order]
+        new = np.ones(len(h), bool)
+        new[1:] = ordered[1:] != ordered[:-1]
+        keys, one = ordered[new], order[new]
+        inv = np.empty(len(h), np.int32)
+        inv[order] = np.cumsum(new, dtype=np.int32) - 1
         slot = np.searchsorted(self.keys, keys)
         slot[slot == len(self.keys)] = 0
         miss = self.keys[slot] != keys if len(self.keys) else np.ones(len(keys), bool)
@@ -184,6 +203,15 @@ class Ids:
         return self.ids[where], total[first]
 
 
+@lru_cache(1)
+def known(path: str) -> Ids:
+    """What a worker knows of a vocabulary, kept between its tasks."""
+    return Ids(path)
+
+
+C.KEPT["ids"] = known.cache_clear
+
+
 def vocabulary(path: str | None = None) -> str:
     """The place of the tokenizer's file: as given, or that of the installed public one."""
     if path:
@@ -200,7 +228,7 @@ def _pieces(path: str | None, length: int, end: int):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        know = Ids(vocabulary(path))
+        know = known(vocabulary(path))
         for batch in batches:
             data, at = C.text_bytes(batch.column(1))
             for lo, hi, part, starts in C.blocks(data, at):
@@ -255,7 +283,7 @@ def pack_documents(docs: DataFrame, *, length: int = LENGTH, end: int = END, gro
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("grp", F.pmod(F.xxhash64(F.lit(seed), "doc_id", F.crc32(F.col("text").cast("binary"))), F.lit(groups)))
     docs = docs.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "text", "grp", F.col("doc_id").isNull().alias("no_id"))
-    pieces = docs.mapInArrow(C.lean(_pieces(vocabulary_path, length, end)), "doc_id long, grp long, no_id boolean, start long, length long, doc_tokens long, ids binary")
+    pieces = docs.mapInArrow(C.lean(_pieces(vocabulary_path, length, end), "ids"), "doc_id long, grp long, no_id boolean, start long, length long, doc_tokens long, ids binary")
     packed = pieces.groupBy("grp").applyInPandas(_place(length), SCHEMA)
     return packed.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")
 
