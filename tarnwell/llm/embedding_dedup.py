@@ -11,6 +11,10 @@ pairs. A leaf that holds more than LEAF vectors is split on by further random di
 that size: the sample only bounds the depth of what is dealt over the cluster. (A pair that such a split parts in its
 first leaf and that a later leaf finds still joins the component, but is not counted in n_links.)
 
+A group that links with itself would be halved by each split that its median falls into. So dense places are found in
+the sample first (see Crowds), and the links of the vectors in them are all found, by comparing blocks in pairs over
+tasks; the work grows with the square of such a group. Only the other vectors are left to the trees.
+
 Null vectors, zero vectors, those with null or non-finite components, and those of another length than the most
 frequent one link with nothing and are their own component. Rows with a repeated vec_id count as vectors each. Labels and
 other columns are ignored.
@@ -32,6 +36,8 @@ TREES, SPILL, SAMPLE, LEAF = 10, 0.12, 20_000, 20_000
 #: Vectors for each leaf of the trees that deal them over the cluster.
 DEAL = 600
 MAX_DEPTH = 10
+#: A vector with about so many links, and at least so many of them in the sample, makes a crowd.
+CROWD, CROWD_SAMPLE = 150, 8
 SEED = 11
 
 
@@ -71,28 +77,127 @@ class Tree:
 def forest(sample: np.ndarray, n: int) -> list[Tree]:
     """Trees whose leaves hold about DEAL of n vectors, as far as the sample tells medians apart."""
     depth = 0
-    while n / 2**depth * (1 + SPILL) ** depth > DEAL and depth < MAX_DEPTH and len(sample) / 2**depth >= 32:
+    while len(sample) and n / 2**depth * (1 + SPILL) ** depth > DEAL and depth < MAX_DEPTH and len(sample) / 2**depth >= 32:
         depth += 1
-    return [Tree(sample, depth, SEED + t) for t in range(TREES)]
-
-
-def _place(trees: list[Tree]):
-    """(cls, v) to (leaf, cls, v, leaves): a row for each leaf, with all leaves of the vector by number."""
-    per = 2 ** trees[0].depth
-
-    def run(batches):
+    return [Tree(sample, depth, SEED + t) for t in range(TREES if depth else 1)]
+
+
+class Crowds:
+    """Places where vectors have many links, found in the sample; all links of the vectors at their cores are found.
+
+    A vector within the threshold of a centre is a core vector of the nearest centre's region. Whatever links with it is
+    within twice the threshold's angle of that centre: such vectors are the region's members, and core vectors are
+    compared with all of them. Centres within that angle of a region's first one belong to it.
+    """
+
+    def __init__(self, sample: np.ndarray, n: int, threshold: float):
+        self.threshold, self.wide = threshold, (2 * threshold**2 - 1 if threshold > 0 else -1) - 1e-6
+        least = max(CROWD_SAMPLE, CROWD * len(sample) / n)
+        near = lambda rows: (sample[rows] @ sample.T) >= threshold
+        blocks = lambda rows: (rows[a : a + 256] for a in range(0, len(rows), 256))
+        count = np.concatenate([near(rows).sum(1) for rows in blocks(np.arange(len(sample)))])
+        left, centres = np.ones(len(sample), bool), []
+        while count[best := int(np.where(left, count, 0).argmax())] > least and left[best]:
+            new = left & near([best])[0]
+            new[best] = True
+            left &= ~new
+            centres.append(best)
+            for rows in blocks(np.flatnonzero(new)):
+                count -= near(rows).sum(0)
+        self.rest = left
+        heads, region = [], []
+        for c in centres:
+            like = sample[heads] @ sample[c] if heads else np.zeros(0)
+            if not len(like) or like.max() < self.wide:
+                heads.append(c)
+                like = np.append(like, 1.0)
+            region.append(int(like.argmax()))
+        order = np.argsort(region, kind="stable")
+        self.region = np.array(region, np.int64)[order]
+        self.centre = sample[np.array(centres, np.int64)[order]]
+        self.first = np.searchsorted(self.region, np.arange(len(heads)))
+
+    def members(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, region) of all regions of each row, and the region in whose core each row is, or -1."""
+        if not len(self.region):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.full(len(x), -1)
+        like = x @ self.centre.T
+        best = like.argmax(1)
+        own = np.where(like[np.arange(len(x)), best] >= self.threshold, self.region[best], -1)
+        row, region = np.nonzero(np.maximum.reduceat(like, self.first, axis=1) >= self.wide)
+        return row, region, own
+
+
+class Deal:
+    """Where vectors are compared: core vectors of crowds in regions, the others among themselves in the leaves of trees.
+
+    Regions are numbered on from the leaves. `plan` has, for what is dealt in blocks, the blocks of core vectors and of
+    the others: each block of core vectors meets itself and each other block in a task.
+    """
+
+    def __init__(self, sample: np.ndarray, n: int, threshold: float):
+        self.crowds = Crowds(sample, n, threshold)
+        rest = sample[self.crowds.rest]
+        self.trees = forest(rest, n * len(rest) // len(sample))
+        self.per = 2 ** self.trees[0].depth
+        self.regions = self.per * len(self.trees)
+        self.plan: dict[int, tuple[int, int]] = {}
+
+    def places(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+        """(row, leaf or region, whether core there), and for each row all its leaves, or the region it is core of or -1."""
+        at, region, own = self.crowds.members(x)
+        rest = np.flatnonzero(own < 0)
+        row, leaf = (np.concatenate(y) for y in zip(*((rest[r], leaf + t * self.per) for t, (r, leaf) in enumerate(tree.leaves(x[rest]) for tree in self.trees)), strict=True))
+        order = np.lexsort((leaf, row))
+        row, leaf = row[order], leaf[order].astype(np.int32)
+        edge = np.searchsorted(row, np.arange(len(x) + 1))
+        mine = own.astype(np.int32)
+        notes = [leaf[edge[i] : edge[i + 1]].tobytes() for i in row] + [mine[i].tobytes() for i in at]
+        return np.concatenate((row, at)), np.concatenate((leaf, region + self.regions)), np.concatenate((np.ones(len(row), bool), own[at] == region)), notes
+
+    def sizes(self, batches):
+        """(cls, v) to (leaf, core, n)."""
+        total = np.zeros(2 * (self.regions + len(self.crowds.first)), np.int64)
         for batch in batches:
-            n = batch.num_rows
-            x = unit(_matrix(batch.column(1)))
-            row, leaf = (np.concatenate(y) for y in zip(*((r, leaf + t * per) for t, (r, leaf) in enumerate(tree.leaves(x) for tree in trees)), strict=True))
-            order = np.lexsort((leaf, row))
-            row, leaf = row[order], leaf[order]
-            edge = np.searchsorted(row, np.arange(n + 1))
-            own = [leaf[edge[i] : edge[i + 1]].astype(np.int32).tobytes() for i in range(n)]
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(leaf.astype(np.int32)), batch.column(0).take(take), batch.column(2).take(take), batch.column(1).take(take), pa.array(own, pa.binary()).take(take)], names=["leaf", "cls", "size", "v", "leaves"])
-
-    return run
+            _, leaf, core, _ = self.places(unit(_matrix(batch.column(1))))
+            total += np.bincount(2 * leaf + core, minlength=len(total))
+        live = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array((live // 2).astype(np.int32)), pa.array(live % 2 == 1), pa.array(total[live])], names=["leaf", "core", "n"])
+
+    def divide(self, sizes: list, most: int) -> None:
+        """Plans blocks for regions of more than `most` vectors."""
+        by: dict[int, list[int]] = {}
+        for leaf, core, n in sizes:
+            by.setdefault(leaf, [0, 0])[not core] += n
+        half = max(1, most // 2)
+        self.plan = {leaf: (-(-core // half), -(-other // half)) for leaf, (core, other) in by.items() if leaf >= self.regions and core + other > most}
+
+    def tasks(self, leaf: np.ndarray, core: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(which, one, two, block): the pairs of blocks that each placed vector is needed for, and its own block."""
+        if not self.plan:
+            z = np.zeros(len(leaf), np.int32)
+            return np.arange(len(leaf)), z, z, z
+        inner, outer = (np.array([self.plan.get(x, (1, 0))[k] for x in range(self.regions + len(self.crowds.first))]) for k in (0, 1))
+        k, o = inner[leaf], outer[leaf]
+        apart = ~core & (o > 0)
+        h = C.mix(cls.view(C.U64))
+        block = np.where(apart, k, 0) + (h % np.where(apart, o, k).astype(C.U64)).astype(np.int64)
+        each = np.where(apart, k, k + o)
+        which = np.repeat(np.arange(len(leaf)), each)
+        other = np.arange(len(which)) - np.repeat(np.cumsum(each) - each, each)
+        block = block[which]
+        return which, np.minimum(block, other).astype(np.int32), np.maximum(block, other).astype(np.int32), block.astype(np.int32)
+
+    def place(self, batches):
+        """(cls, v, size) to a row for each task that the vector is compared in."""
+        for batch in batches:
+            row, leaf, core, notes = self.places(unit(_matrix(batch.column(1))))
+            which, one, two, block = self.tasks(leaf, core, batch.column(0).to_numpy(zero_copy_only=False)[row])
+            notes = pa.array(notes, pa.binary())
+            for a in range(0, max(1, len(which)), 1 << 14):  # a vector may be needed in many tasks
+                s = slice(a, a + (1 << 14))
+                take = pa.array(row[which[s]])
+                yield pa.RecordBatch.from_arrays([pa.array(leaf[which[s]].astype(np.int32)), pa.array(one[s]), pa.array(two[s]), pa.array(block[s]), *(batch.column(c).take(take) for c in (0, 2, 1)), notes.take(pa.array(which[s]))], names=["leaf", "one", "two", "block", "cls", "size", "v", "leaves"])
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -142,12 +247,15 @@ def first_shared(table: np.ndarray, a: np.ndarray, b: np.ndarray, here: int) ->
     return out
 
 
-def _compare(threshold: float):
+def _compare(threshold: float, regions: int):
     """One leaf to rows: kind 0 (cls, links found first here), kind 1 (cls, root in this leaf)."""
+    crowd = _compare_crowd(threshold, regions)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("cls", ignore_index=True)
         leaf = int(pdf["leaf"].iloc[0])
+        if leaf >= regions:
+            return crowd(pdf)
+        pdf = pdf.sort_values("cls", ignore_index=True)
         cls, size = pdf["cls"].to_numpy(), pdf["size"].to_numpy()
         raw = np.stack(pdf["v"].to_numpy()).astype(np.float64)
         x = unit(raw)
@@ -185,6 +293,57 @@ def _compare(threshold: float):
     return run
 
 
+def united(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Roots of all rows after a and b are linked."""
+    a, b = root[a], root[b]
+    live = a != b
+    if not live.any():
+        return root
+    node, low = C.merged(a[live], b[live])
+    to = np.arange(len(root))
+    to[node] = low
+    return to[root]
+
+
+def _compare_crowd(threshold: float, regions: int):
+    """Two blocks of a region to rows as those of `_compare`: all pairs with a core vector, counted in the first region that has one."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("cls", ignore_index=True)
+        here = int(pdf["leaf"].iloc[0]) - regions
+        cls, size, block = pdf["cls"].to_numpy(), pdf["size"].to_numpy().astype(np.float64), pdf["block"].to_numpy()
+        raw = np.stack(pdf["v"].to_numpy()).astype(np.float64)
+        own = np.array([np.frombuffer(b, np.int32)[0] for b in pdf["leaves"]])
+        x = unit(raw)
+        core, first = own == here, (own < 0) | (own >= here)
+        same = bool(pdf["one"].iloc[0] == pdf["two"].iloc[0])
+        left, right = (np.flatnonzero(block == pdf[c].iloc[0]) for c in ("one", "two"))
+        count, root, y = np.zeros(len(cls)), np.arange(len(cls)), x[right]
+        for s in range(0, len(left), 256):
+            i, j = left[s : s + 256], right[s if same else 0 :]
+            like = x[i] @ y[s if same else 0 :].T
+            hit = like >= threshold - 1e-9
+            if same:
+                hit[:, : len(i)] &= np.triu(np.ones((len(i), len(i)), bool), 1)
+            p, q = np.nonzero(hit & (like < threshold + 1e-9))
+            hit[p, q] = exact_cosine(raw[i[p]], raw[j[q]]) >= threshold
+            del like
+            rows, columns = np.flatnonzero(hit.any(1)), np.flatnonzero(hit.any(0))
+            if not len(rows):
+                continue
+            root = united(root, np.concatenate((i[rows], i[hit[:, columns].argmax(0)])), np.concatenate((j[hit[rows].argmax(1)], j[columns])))
+            p, q = np.nonzero(hit & (root[i][:, None] != root[j]))
+            root = united(root, i[p], j[q])
+            hit &= (core[i][:, None] & first[j]) | (first[i][:, None] & core[j])
+            weight = hit.astype(np.float64)
+            count[i] += weight @ size[j]
+            count[j] += size[i] @ weight
+        live, own = np.flatnonzero(count), root != np.arange(len(root))
+        return pd.DataFrame({"kind": np.repeat(np.array([0, 1], np.int8), (len(live), own.sum())), "a": np.concatenate((cls[live], cls[own])), "b": np.concatenate((count[live].astype(np.int64), cls[root[own]]))})
+
+    return run
+
+
 def exact_cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Cosines of rows in double precision."""
     a, b = (x / np.maximum(np.abs(x).max(1, keepdims=True), 1e-300) if np.abs(x).max(initial=0) > 1e100 or 0 < np.abs(x).min(initial=1) < 1e-100 else x for x in (a, b))
@@ -210,9 +369,11 @@ def near_vectors(rows: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     if not n:
         return _result(rows, None, None, classes)
     sample = np.array([r[0] for r in classes.orderBy(F.xxhash64("key", F.lit(3)), "key").limit(SAMPLE).select("v").collect()], np.float64)
-    trees = forest(unit(sample), n)
-    placed = classes.select(F.col("key").alias("cls"), "v", "size").mapInArrow(C.lean(_place(trees)), f"leaf int, cls long, size long, v array<{kind}>, leaves binary")
-    found = scratch.table(placed.groupBy("leaf").applyInPandas(_compare(threshold), "kind byte, a long, b long"))
+    deal = Deal(unit(sample), n, threshold)
+    vectors = classes.select(F.col("key").alias("cls"), "v", "size")
+    deal.divide(vectors.mapInArrow(C.lean(deal.sizes), "leaf int, core boolean, n long").groupBy("leaf", "core").agg(F.sum("n")).collect(), LEAF)
+    placed = vectors.mapInArrow(C.lean(deal.place), f"leaf int, one int, two int, block int, cls long, size long, v array<{kind}>, leaves binary")
+    found = scratch.table(placed.groupBy("leaf", "one", "two").applyInPandas(_compare(threshold, deal.regions), "kind byte, a long, b long"))
     C.tidy(spark)
     links = found.where("kind = 0").groupBy("a").agg(F.sum("b").alias("links"))
     root = C.components(found.where("kind = 1").select("a", "b"), scratch)

@@ -233,6 +233,30 @@ def test_embeddings(spark, monkeypatch, small_leaves):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
 
 
+def crowded(seed=3, d=32):
+    """Distinct vectors: a hot group of a third of them, which all link, another that half links with it, and others near and far."""
+    rng = np.random.default_rng(seed)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    noise = lambda n: unit(rng.normal(size=(n, d)))
+    a = noise(1)
+    b = unit(a + 0.6 * noise(1))
+    x = [0.97 * a + 0.24 * noise(1000), 0.96 * b + 0.28 * noise(400), a + 0.9 * noise(400), noise(1200)]
+    return np.concatenate(x).astype(np.float32), 1400
+
+
+@pytest.mark.parametrize("leaf", [20_000, 300])
+def test_embeddings_hot_group(spark, monkeypatch, leaf):
+    monkeypatch.setattr(embedding_dedup, "LEAF", leaf)
+    x, hot = crowded()
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = sorted(embedding_dedup.near_vectors(rows).collect())
+    n, comp = brute(x)
+    links = np.array([r.n_links for r in got])
+    assert n[:1000].min() > 900
+    assert (links[:hot] == n[:hot]).all() and (links <= n).all() and links.sum() >= 0.999 * n.sum()
+    assert [r.component_id for r in got] == comp.tolist()
+
+
 def test_embeddings_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [1.0, None]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [1.0]), (9, []), (10, [0.0, 1.0]), (None, [1.0, 0.1]), (11, [1e-30, 0.0])]
