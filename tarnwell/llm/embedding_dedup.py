@@ -7,9 +7,9 @@ sample (SAMPLE vectors, by hash; all vectors are then placed in them), and their
 
 Equal vectors form a class and are compared once: copies count in n_links and share the component. A pair is counted
 in the first leaf that it shares, so a leaf gives only sums for each vector and a star for each component, never its
-pairs. A leaf that holds more than LEAF vectors is split on by further random directions with spill, down to leaves of
-that size: the sample only bounds the depth of what is dealt over the cluster. (A pair that such a split parts in its
-first leaf and that a later leaf finds still joins the component, but is not counted in n_links.)
+pairs. A leaf that holds more than LEAF vectors is dealt in blocks of half of that, and each two blocks are compared in
+a task of their own, so no pair in it is missed: the sample bounds the depth of the trees, and so the work grows with
+the square of such leaves.
 
 A group that links with itself would be halved by each split that its median falls into. So dense places are found in
 the sample first (see Crowds), and the links of the vectors in them are all found, by comparing blocks in pairs over
@@ -165,12 +165,12 @@ class Deal:
         yield pa.RecordBatch.from_arrays([pa.array((live // 2).astype(np.int32)), pa.array(live % 2 == 1), pa.array(total[live])], names=["leaf", "core", "n"])
 
     def divide(self, sizes: list, most: int) -> None:
-        """Plans blocks for regions of more than `most` vectors."""
+        """Plans blocks for leaves and regions of more than `most` vectors."""
         by: dict[int, list[int]] = {}
         for leaf, core, n in sizes:
             by.setdefault(leaf, [0, 0])[not core] += n
         half = max(1, most // 2)
-        self.plan = {leaf: (-(-core // half), -(-other // half)) for leaf, (core, other) in by.items() if leaf >= self.regions and core + other > most}
+        self.plan = {leaf: (-(-core // half), -(-other // half)) for leaf, (core, other) in by.items() if core + other > most}
 
     def tasks(self, leaf: np.ndarray, core: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(which, one, two, block): the pairs of blocks that each placed vector is needed for, and its own block."""
@@ -210,25 +210,6 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def parts(x: np.ndarray, rng: np.random.Generator, most: int = LEAF) -> list[np.ndarray]:
-    """Rows in leaves of at most `most`, by random splits at the median with spill; where a split fails, blocks in pairs."""
-    todo, out = [np.arange(len(x))], []
-    while todo:
-        rows = todo.pop()
-        if len(rows) <= most:
-            out.append(rows)
-            continue
-        p = x[rows] @ rng.standard_normal(x.shape[1])
-        low, high = np.quantile(p, (0.5 - SPILL, 0.5 + SPILL))
-        a, b = rows[p <= high], rows[p >= low]
-        if max(len(a), len(b)) > 0.9 * len(rows):  # too alike to part: all with all, in blocks
-            half = [rows[i : i + most // 2] for i in range(0, len(rows), most // 2)]
-            out += [np.concatenate((half[i], half[j])) for i in range(len(half)) for j in range(i + 1, len(half))]
-        else:
-            todo += [a, b]
-    return out
-
-
 def padded(owns: list[np.ndarray]) -> np.ndarray:
     """Lists of numbers as rows, filled up with -1."""
     table = np.full((len(owns), max(len(o) for o in owns)), -1, np.int32)
@@ -247,52 +228,6 @@ def first_shared(table: np.ndarray, a: np.ndarray, b: np.ndarray, here: int) ->
     return out
 
 
-def _compare(threshold: float, regions: int):
-    """One leaf to rows: kind 0 (cls, links found first here), kind 1 (cls, root in this leaf)."""
-    crowd = _compare_crowd(threshold, regions)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        leaf = int(pdf["leaf"].iloc[0])
-        if leaf >= regions:
-            return crowd(pdf)
-        pdf = pdf.sort_values("cls", ignore_index=True)
-        cls, size = pdf["cls"].to_numpy(), pdf["size"].to_numpy()
-        raw = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-        x = unit(raw)
-        table = padded([np.frombuffer(b, np.int32) for b in pdf["leaves"]])
-        split = parts(x, np.random.default_rng(leaf))
-        within = None
-        if len(split) > 1:
-            member: list[list[int]] = [[] for _ in cls]
-            for k, rows in enumerate(split):
-                for r in rows.tolist():
-                    member[r].append(k)
-            within = padded([np.array(m, np.int32) for m in member])
-        count, a, b = np.zeros(len(cls)), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for k, rows in enumerate(split):
-            rows = np.sort(rows)
-            y = x[rows]
-            for s in range(0, len(rows), 256):
-                i, j = np.nonzero(y[s : s + 256] @ y[s:].T >= threshold - 1e-9)
-                live = i < j
-                i, j = rows[i[live] + s], rows[j[live] + s]
-                if within is not None and len(i):
-                    live = first_shared(within, i, j, k)
-                    i, j = i[live], j[live]
-                if not len(i):
-                    continue
-                ok = exact_cosine(raw[i], raw[j]) >= threshold
-                i, j = i[ok], j[ok]
-                new = first_shared(table, i, j, leaf)
-                count += np.bincount(i[new], size[j[new]], len(cls)) + np.bincount(j[new], size[i[new]], len(cls))
-                a, b = C.merged(np.concatenate((a, cls[i])), np.concatenate((b, cls[j])))
-        live = np.flatnonzero(count)
-        own = a != b
-        return pd.DataFrame({"kind": np.repeat(np.array([0, 1], np.int8), (len(live), own.sum())), "a": np.concatenate((cls[live], a[own])), "b": np.concatenate((count[live].astype(np.int64), b[own]))})
-
-    return run
-
-
 def united(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Roots of all rows after a and b are linked."""
     a, b = root[a], root[b]
@@ -305,16 +240,21 @@ def united(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return to[root]
 
 
-def _compare_crowd(threshold: float, regions: int):
-    """Two blocks of a region to rows as those of `_compare`: all pairs with a core vector, counted in the first region that has one."""
+def _compare(threshold: float, regions: int):
+    """Two blocks of a leaf or region to rows: kind 0 (cls, links counted here), kind 1 (cls, root in these blocks).
+
+    A leaf counts the links that it is the first to share. A region counts those of its core vectors, if none is a core
+    vector of an earlier one.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("cls", ignore_index=True)
-        here = int(pdf["leaf"].iloc[0]) - regions
+        leaf = int(pdf["leaf"].iloc[0])
         cls, size, block = pdf["cls"].to_numpy(), pdf["size"].to_numpy().astype(np.float64), pdf["block"].to_numpy()
         raw = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-        own = np.array([np.frombuffer(b, np.int32)[0] for b in pdf["leaves"]])
+        table = padded([np.frombuffer(b, np.int32) for b in pdf["leaves"]])
         x = unit(raw)
+        here, own = leaf - regions, table[:, 0]
         core, first = own == here, (own < 0) | (own >= here)
         same = bool(pdf["one"].iloc[0] == pdf["two"].iloc[0])
         left, right = (np.flatnonzero(block == pdf[c].iloc[0]) for c in ("one", "two"))
@@ -334,7 +274,11 @@ def _compare_crowd(threshold: float, regions: int):
             root = united(root, np.concatenate((i[rows], i[hit[:, columns].argmax(0)])), np.concatenate((j[hit[rows].argmax(1)], j[columns])))
             p, q = np.nonzero(hit & (root[i][:, None] != root[j]))
             root = united(root, i[p], j[q])
-            hit &= (core[i][:, None] & first[j]) | (first[i][:, None] & core[j])
+            if here < 0:
+                p, q = np.nonzero(hit)
+                hit[p, q] = first_shared(table, i[p], j[q], leaf)
+            else:
+                hit &= (core[i][:, None] & first[j]) | (first[i][:, None] & core[j])
             weight = hit.astype(np.float64)
             count[i] += weight @ size[j]
             count[j] += size[i] @ weight

@@ -257,6 +257,27 @@ def test_embeddings_hot_group(spark, monkeypatch, leaf):
     assert [r.component_id for r in got] == comp.tolist()
 
 
+def test_embeddings_leaf_in_blocks(spark, monkeypatch):
+    """However small the blocks that a leaf is dealt in, the same links are found and counted."""
+    monkeypatch.setattr(embedding_dedup, "DEAL", 60)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors(2, 300))], "vec_id long, embedding array<float>")
+    want = sorted(embedding_dedup.near_vectors(rows).collect())
+    monkeypatch.setattr(embedding_dedup, "LEAF", 20)
+    assert sorted(embedding_dedup.near_vectors(rows).collect()) == want
+
+
+def test_embeddings_large_leaf_counts_all(spark, monkeypatch):
+    """A single leaf over the bound: n_links is exact."""
+    monkeypatch.setattr(embedding_dedup, "MAX_DEPTH", 0)
+    rng = np.random.default_rng(8)
+    x = (np.repeat(rng.normal(size=(400, 16)), 55, axis=0) + 0.25 * rng.normal(size=(22_000, 16))).astype(np.float32)
+    got = sorted(embedding_dedup.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).collect())
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = np.concatenate([(u[a : a + 500] @ u.T >= 0.9).sum(1) - 1 for a in range(0, len(u), 500)])
+    links = np.array([r.n_links for r in got])
+    assert links.sum() == want.sum() and (links == want).all()
+
+
 def test_embeddings_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [1.0, None]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [1.0]), (9, []), (10, [0.0, 1.0]), (None, [1.0, 0.1]), (11, [1e-30, 0.0])]
