@@ -15,8 +15,9 @@ A group that links with itself would be halved by each split that its median fal
 the sample first (see Crowds), and the links of the vectors in them are all found, by comparing blocks in pairs over
 tasks; the work grows with the square of such a group. Only the other vectors are left to the trees.
 
-Null vectors, zero vectors, those with null or non-finite components, and those of another length than the most
-frequent one link with nothing and are their own component. Rows with a repeated vec_id count as vectors each. Labels and
+Null vectors, zero vectors, and those with null or non-finite components link with nothing and are their own component.
+Vectors of different lengths have no cosine: each length has trees of its own, or is compared whole if it has at most DEAL
+vectors. Rows with a repeated vec_id count as vectors each. Labels and
 other columns are ignored.
 """
 
@@ -39,6 +40,7 @@ MAX_DEPTH = 10
 #: A vector with about so many links, and at least so many of them in the sample, makes a crowd.
 CROWD, CROWD_SAMPLE = 150, 8
 SEED = 11
+FOUND = "kind byte, a long, b long"
 
 
 class Tree:
@@ -303,25 +305,36 @@ def near_vectors(rows: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     good = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     fine = F.col("v").isNotNull() & F.forall("v", good) & F.exists("v", lambda x: x != 0)
     rows = rows.withColumn("ok", F.coalesce(fine, F.lit(False)))
-    widths = {r[0]: r[1] for r in rows.where("ok").groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").limit(1).collect()}
-    width = next(iter(widths), 0)
-    usable = F.col("ok") & (F.size("v") == width)
     # A class for equal vectors, named by two hashes of their components; its rows are counted before any shuffle.
-    rows = rows.withColumn("ok", usable).withColumn("v", F.transform("v", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x)).cast(f"array<{kind}>")).withColumn("key", F.when(F.col("ok"), F.xxhash64("v")))
+    rows = rows.withColumn("v", F.transform("v", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x)).cast(f"array<{kind}>")).withColumn("key", F.when(F.col("ok"), F.xxhash64("v")))
     classes = scratch.table(rows.where("ok").groupBy("key").agg(F.count("*").alias("size"), F.min("vec_id").alias("least"), F.first("v").alias("v")))
-    n = classes.count()
-    if not n:
+    counts = {r[0]: r[1] for r in classes.groupBy(F.size("v")).count().collect()}
+    if not counts:
         return _result(rows, None, None, classes)
+    wide = sorted(w for w, n in counts.items() if n > DEAL)
+    parts = [_found(classes if len(counts) == 1 else classes.where(F.size("v") == w), counts[w], kind, threshold, scratch) for w in wide]
+    if len(wide) < len(counts):  # few vectors of a length: all with all
+        few = classes.where(~F.size("v").isin(wide)) if wide else classes
+        zero = [F.lit(0).alias(c) for c in ("leaf", "one", "two", "block")]
+        few = few.select(F.size("v").alias("w"), *zero, F.col("key").alias("cls"), "size", "v", F.lit(bytes(4)).alias("leaves"))
+        parts.append(scratch.table(few.groupBy("w").applyInPandas(_compare(threshold, 1), FOUND)))
+    C.tidy(spark)
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.union(part)
+    links = found.where("kind = 0").groupBy("a").agg(F.sum("b").alias("links"))
+    root = C.components(found.where("kind = 1").select("a", "b"), scratch)
+    return _result(rows, links, root, classes)
+
+
+def _found(classes: DataFrame, n: int, kind: str, threshold: float, scratch: C.Scratch) -> DataFrame:
+    """What `_compare` finds among n classes of one length."""
     sample = np.array([r[0] for r in classes.orderBy(F.xxhash64("key", F.lit(3)), "key").limit(SAMPLE).select("v").collect()], np.float64)
     deal = Deal(unit(sample), n, threshold)
     vectors = classes.select(F.col("key").alias("cls"), "v", "size")
     deal.divide(vectors.mapInArrow(C.lean(deal.sizes), "leaf int, core boolean, n long").groupBy("leaf", "core").agg(F.sum("n")).collect(), LEAF)
     placed = vectors.mapInArrow(C.lean(deal.place), f"leaf int, one int, two int, block int, cls long, size long, v array<{kind}>, leaves binary")
-    found = scratch.table(placed.groupBy("leaf", "one", "two").applyInPandas(_compare(threshold, deal.regions), "kind byte, a long, b long"))
-    C.tidy(spark)
-    links = found.where("kind = 0").groupBy("a").agg(F.sum("b").alias("links"))
-    root = C.components(found.where("kind = 1").select("a", "b"), scratch)
-    return _result(rows, links, root, classes)
+    return scratch.table(placed.groupBy("leaf", "one", "two").applyInPandas(_compare(threshold, deal.regions), FOUND))
 
 
 def _result(rows: DataFrame, links: DataFrame | None, root: DataFrame | None, classes: DataFrame) -> DataFrame:

@@ -278,6 +278,20 @@ def test_embeddings_large_leaf_counts_all(spark, monkeypatch):
     assert links.sum() == want.sum() and (links == want).all()
 
 
+def test_embeddings_of_several_lengths(spark):
+    """Each length has its links: two with over DEAL vectors, two with few."""
+    sets = [vectors(4, 250), vectors(5, 200, 24), vectors(6, 20, 8), np.array([[1.0], [2.0], [-1.0]], np.float32)]
+    assert [len(x) > embedding_dedup.DEAL for x in sets] == [True, True, False, False]
+    rows = [v.tolist() for x in sets for v in x]
+    got = sorted(embedding_dedup.near_vectors(spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<float>")).collect())
+    at = np.cumsum([0] + [len(x) for x in sets])
+    for x, first in zip(sets, at, strict=False):
+        n, comp = brute(x)
+        mine = got[first : first + len(x)]
+        assert [r.component_id for r in mine] == (comp + first).tolist()
+        assert sum(r.n_links for r in mine) >= 0.99 * n.sum() and (np.array([r.n_links for r in mine]) <= n).all()
+
+
 def test_embeddings_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [1.0, None]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [1.0]), (9, []), (10, [0.0, 1.0]), (None, [1.0, 0.1]), (11, [1e-30, 0.0])]
