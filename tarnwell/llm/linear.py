@@ -221,25 +221,16 @@ def fitted(sample, fit, columns: list[str]) -> Model:
 def labelled_sample(docs, labels, value: str, per_class: int, most_bytes: int):
     """(text, value, weight) for up to `per_class` labelled documents of each value, those with the least hashes of their ids.
 
-    weight: what each stands for. Documents over most_bytes are not used for training (they are scored like all others).
+    weight: what each stands for. All values are used, however many there are. Documents over most_bytes are not used for training (they are scored like all others).
     """
     from pyspark.sql import Window
     from pyspark.sql import functions as F
 
     labels = labels.where(F.col("doc_id").isNotNull() & F.col(value).isNotNull()).groupBy("doc_id").agg(F.max(value).alias(value))
     labels = labels.withColumn("_h", F.xxhash64(F.lit(5), "doc_id"))
-    values = [r[0] for r in labels.select(value).distinct().orderBy(value).limit(64).collect()]
-    counts = {r[0]: r[1] for r in labels.groupBy(value).count().collect()}
-    picked = None
-    for v in values:
-        part = labels.where(F.col(value) == v).orderBy("_h", "doc_id").limit(per_class)
-        picked = part if picked is None else picked.union(part)
-    if picked is None:
-        picked = labels.limit(0)
-    picked = picked.drop("_h")
-    weight = F.lit(1.0)
-    for v in values:
-        weight = F.when(F.col(value) == v, F.lit(max(1.0, counts[v] / per_class))).otherwise(weight)
+    counts = labels.groupBy(value).agg(F.count("*").alias("_all"))
+    ranked = labels.withColumn("_n", F.row_number().over(Window.partitionBy(value).orderBy("_h", "doc_id"))).where(F.col("_n") <= per_class)
+    picked = ranked.join(counts, value).select("doc_id", value, F.greatest(F.lit(1.0), F.col("_all") / per_class).alias("weight"))
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") <= most_bytes)
-    texts = texts.join(F.broadcast(picked), "doc_id")  # at most 64 * per_class ids
-    return texts.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_n = 1").select("text", value, weight.alias("weight"))
+    texts = texts.join(C.bounded(docs.sparkSession, picked, 64 * per_class), "doc_id")
+    return texts.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_n = 1").select("text", value, "weight")

@@ -192,6 +192,18 @@ def test_mixing_odd_rows_and_nothing_labelled(spark, odd, empty):
         assert table_.count() == docs.count()
 
 
+def test_mixing_learns_every_domain(spark):
+    """70 domains, each with words of its own: all are learnt, and a target of the last one is met."""
+    domains = [f"d{k:02}" for k in range(70)]
+    rows = [(4 * k + j, prose(100 + k, 30, 12), d) for k, d in enumerate(domains) for j in range(4)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labelled = spark.createDataFrame([(i, d) for i, _, d in rows], "doc_id long, domain string")
+    table_, _, names, steps = mixing.rated(docs, labelled, dict.fromkeys(domains[:-1], 1.0) | {domains[-1]: 5.0})
+    assert names == domains
+    rated = {r.doc_id: r.rate for r in table_.select("doc_id", mixing.rate(steps, 0.0).alias("rate")).collect()}
+    assert min(rated[276 + j] for j in range(4)) > 3 * max(rated[j] for j in range(276))
+
+
 # --- embeddings -----------------------------------------------------------------------------------------------------
 
 
