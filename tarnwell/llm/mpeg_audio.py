@@ -1,10 +1,11 @@
-"""Media columns of MPEG audio: bytes stored in frames, and a parser for any MPEG audio stream.
+"""Media columns of MPEG audio: bytes stored in frames, and a parser for MPEG audio streams.
 
 `store` puts a payload into MPEG-2 Layer III frames of 576 samples: 576 payload bytes lead each frame's main data, the
 side information is zero, each frame has a checksum. Before them come an ID3v2 tag, which holds the payload's lengths,
 and a frame with a variable-bitrate table (`Xing`: frames, bytes, 100 seek points); after them an ID3v1 tag.
 
-`parse` reads any stream of MPEG 1, 2 and 2.5, Layers I to III. It skips tags (ID3v2 in front, ID3v1 and APEv2 behind),
+`parse` reads streams of MPEG 1, 2 and 2.5, Layers I to III, but none of free format (bitrate index 0), which gives no
+frames. It skips tags (ID3v2 in front, ID3v1 and APEv2 behind),
 and finds the first header that another fitting header follows; after damage it looks for such a pair again and counts the
 bytes it skipped. It reads Xing, Info and VBRI tables, verifies the checksums of Layers I and III (Layer II's cover bits
 that depend on its allocation tables; they are counted as not checked), and gives the exact duration as samples over the
