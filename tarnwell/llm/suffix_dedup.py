@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings by a distributed difference-cover suffix sort.
+"""Removal of repeated byte strings: candidates dealt over the cluster, difference-cover suffix sorts within tasks.
 
 A byte goes if a string of `LENGTH` bytes covers it that also starts earlier: in a text of a smaller doc_id, or in the
 same text before. All steps are exact and none holds more than a part of the corpus:
