@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import os
 import tempfile
 import uuid
@@ -27,10 +28,18 @@ BLOCK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
+#: Bounds of the Arrow batches that Python gets, set unless the caller has set others: (setting, Spark's default, ours).
+_ARROW = (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "500"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "16m"))
+
+
 def ready(spark: SparkSession) -> SparkSession:
-    """Bounds the Arrow batches that Python gets and gives the executors this package."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    """Bounds the Arrow batches that Python gets and gives the executors this package.
+
+    The bounds stay set, for results are worked out after the operator has returned; a caller's own are left alone.
+    """
+    for name, default, ours in _ARROW:
+        if spark.conf.get(name, default) in (default, default.removesuffix("b"), "64MB", "64m", ours):
+            spark.conf.set(name, ours)
     sc = spark.sparkContext
     if not getattr(sc, "_tarnwell_sent", False):
         top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -62,16 +71,17 @@ class Scratch:
     """Tables written to spark.checkpoint.dir, where every executor can read them again after a loss.
 
     They cut the lineage, and the shuffle files behind a table go once it is written. `drop` removes a table that
-    nothing reads any more; the rest go when Python ends.
+    nothing reads any more; what a returned result still reads goes when Python ends. With no shared folder set, a local
+    session uses a folder of its own, and any other is an error: executors could not read what others wrote.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
         if not base:
+            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
             base = os.path.join(tempfile.gettempdir(), "tarnwell-scratch")
-            spark.sparkContext.setCheckpointDir(base)
         self.spark, self.top, self.n = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}", 0
-        self.paths: dict[int, str] = {}
         atexit.register(self.clear)
 
     def table(self, df: DataFrame) -> DataFrame:
@@ -84,7 +94,6 @@ class Scratch:
         finally:
             conf.set(_CLEAN, old)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
         out._kept_path = path
         return out
 
@@ -126,8 +135,9 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def blocks(data: np.ndarray, at: np.ndarray, size: int = BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, starts) of runs of whole rows of about `size` bytes."""
+def blocks(data: np.ndarray, at: np.ndarray, size: int = 0) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, starts) of runs of whole rows of about `size` bytes (BLOCK)."""
+    size = size or BLOCK
     lo, n = 0, len(at) - 1
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(at, at[lo] + size, "right")) - 1)
@@ -135,6 +145,30 @@ def blocks(data: np.ndarray, at: np.ndarray, size: int = BLOCK) -> Iterator[tupl
         lo = hi
 
 
+def pieces(data: np.ndarray, at: np.ndarray, size: int = 0) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, bool]]:
+    """Blocks, but a row of more than `size` bytes (BLOCK) comes in several, cut before words: (first row, end row, bytes, starts, more).
+
+    more: whether the row goes on in the next one. A word is never cut, so one that is longer than that is whole.
+    """
+    size = size or BLOCK
+    for lo, hi, part, starts in blocks(data, at, size):
+        begin = 0
+        while len(part) - begin > size + size // 4:
+            cut = begin + size
+            while cut < len(part):  # to the first word that begins from here on
+                near = SPACE[part[cut - 1 : cut + 4096]]
+                found = np.flatnonzero(near[:-1] & ~near[1:])
+                if len(found):
+                    cut += int(found[0])
+                    break
+                cut += 4096
+            if cut >= len(part):
+                break
+            yield lo, hi, part[begin:cut], np.array([0, cut - begin]), True
+            begin = cut
+        yield (lo, hi, part[begin:], np.array([0, len(part) - begin]), False) if begin else (lo, hi, part, starts, False)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finishes a 64-bit hash, so that all its bits depend on all others."""
     h = h ^ (h >> U64(30))
@@ -160,8 +194,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 _BYTE = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
 
 
-class Hashes:
-    """Hashes of any spans of a block of bytes, from sums of bytes times powers."""
+class Rolling:
+    """Hashes of all spans of one length in a block, from sums of bytes times powers.
+
+    Unequal spans can agree, and can be made to: it may choose candidates, but says nothing about equality.
+    """
 
     def __init__(self, data: np.ndarray):
         n = 1 << max(20, int(len(data)).bit_length())
@@ -169,8 +206,54 @@ class Hashes:
         self.sums = np.zeros(len(data) + 1, U64)
         np.cumsum(_BYTE[data] * self.up[: len(data)], out=self.sums[1:])
 
-    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(U64))
+    def spans(self, size: int) -> np.ndarray:
+        n = len(self.sums) - size
+        return mix((self.sums[size:] - self.sums[:n]) * self.down[:n])
+
+
+def _eight(data: np.ndarray) -> np.ndarray:
+    """Of a block with eight bytes behind it: the eight bytes from each place on as one number (a view)."""
+    return np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+
+
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(8)] + [(1 << 64) - 1], U64)
+
+
+def span_hashes(padded: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hashes of spans of a block that eight zero bytes end, eight bytes a round; no sums, so nothing cancels."""
+    view = _eight(padded)
+    size = end - start
+    h = mix(size.astype(U64) + U64(seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+    live, at = np.flatnonzero(size > 0), 0
+    while len(live):
+        if at == 64:  # the few that are longer: one by one
+            raw = padded.tobytes()
+            for i in live.tolist():
+                h[i] ^= U64(int.from_bytes(hashlib.blake2b(raw[start[i] : end[i]], digest_size=8).digest(), "little"))
+            break
+        got = view[start[live] + at] & _MASK[np.minimum(size[live] - at, 8)]
+        h[live] = mix(mix(got + U64((at + 1) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF)) + h[live])
+        at += 8
+        live = live[size[live] > at]
+    return h
+
+
+def numbered(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Numbers of spans that follow one another without overlap, and the distinct spans by number.
+
+    Arrow compares the bytes themselves, so equal numbers mean equal bytes.
+    """
+    n = len(start)
+    edge = np.zeros(2 * n + 2, np.int64)
+    edge[1:-1:2], edge[2:-1:2], edge[-1] = start, end, len(data)
+    whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), 2 * n + 1, [None, pa.py_buffer(edge), pa.py_buffer(np.ascontiguousarray(data))])
+    spans = whole.take(pa.array(np.arange(1, 2 * n, 2))).dictionary_encode()
+    return spans.indices.to_numpy(zero_copy_only=False).astype(np.int64), spans.dictionary.to_pylist()
+
+
+def digests(spans: list[bytes]) -> np.ndarray:
+    """64-bit hashes of byte strings, which nobody can make agree at will."""
+    return np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=8).digest() for x in spans), U64)
 
 
 def words(data: np.ndarray, at: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -188,22 +271,55 @@ def words(data: np.ndarray, at: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np
     return start, end, np.searchsorted(start, at)
 
 
+def named_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Numbers of pairs of numbers under 2**31: equal pairs, and only they, have equal numbers."""
+    found = pa.array(a * np.int64(1 << 31) + b).dictionary_encode()
+    return found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def runs_of(ids: np.ndarray, k: int) -> np.ndarray:
+    """Numbers of the runs of k words from each word on, from the words' own numbers: equal only for equal runs."""
+    if len(ids) < k:
+        return ids[:0]
+    have = 1
+    while have < k:
+        step = min(have, k - have)  # two runs of `have` that begin `step` apart cover have + step words
+        ids = named_pairs(ids[: len(ids) - step], ids[step:])
+        have += step
+    return ids
+
+
+class Words:
+    """The words of a block, lower-cased in A-Z: where they are, their exact numbers, and the distinct ones."""
+
+    def __init__(self, data: np.ndarray, at: np.ndarray):
+        self.low = LOWER[data]
+        self.start, self.end, self.first = words(self.low, at)
+        self.ids, self.book = numbered(self.low, self.start, self.end)
+
+    def hashes(self, k: int) -> np.ndarray:
+        """A hash of the run of k words from each word on."""
+        one = digests(self.book)[self.ids] if len(self.ids) else np.zeros(0, U64)
+        n = max(0, len(one) - k + 1)
+        h = np.full(n, U64(k))
+        for j in range(k):
+            h = mix(h + one[j : j + n])
+        return h
+
+
 def shingles(data: np.ndarray, at: np.ndarray, k: int) -> list[np.ndarray]:
-    """For each row of a block its sorted distinct hashes of k words; of fewer words, one hash of them all."""
-    data = LOWER[data]
-    start, end, first = words(data, at)
-    h = Hashes(data).spans(start, end)
-    joined = np.zeros(len(h), U64)
-    for j in range(min(k, len(h))):
-        joined[: len(h) - j] += h[j:] * powers(1 << 20)[0][j + 1]
-    joined = mix(joined + U64(k))
+    """For each row of a block the hashes of its distinct shingles of k words, ascending.
+
+    Shingles are told apart by their words, so the number of hashes is the exact size of the set; a hash that several
+    shingles of a row share is there as often. Rows with fewer than k words have none.
+    """
+    w = Words(data, at)
+    name, h = runs_of(w.ids, k), w.hashes(k)
     out = []
-    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+    for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
         if b - a >= k:
-            x = np.sort(joined[a : b - k + 1])
-            out.append(x[np.concatenate(([True], x[1:] != x[:-1]))])
-        elif b > a:
-            out.append(mix(np.array([sum(int(h[a + j]) * int(powers(1 << 20)[0][j + 1]) for j in range(b - a)) + b - a & 0xFFFFFFFFFFFFFFFF], U64)))
+            one = np.unique(name[a : b - k + 1], return_index=True)[1] + a
+            out.append(np.sort(h[one]))
         else:
             out.append(np.zeros(0, U64))
     return out

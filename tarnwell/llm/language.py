@@ -5,7 +5,7 @@ each rotated by its place; a text's vector is the sum of its trigrams' vectors,
 its texts' normed vectors, less the mean of all prototypes. The language of a text is that of the prototype with the
 greatest cosine; the score is that cosine as a share of 0 to 1.
 
-Texts are lower-cased; runs of anything but letters count as one gap. A letter beyond U+024F is one of 64 by its code.
+Texts are lower-cased; runs of anything but letters count as one gap. A letter other than a-z is one of 69 by its code.
 Null texts, and texts without a letter, are `und` with score 0, as are all texts if nothing was learnt. Texts without a
 language are not learnt from. All learnable texts count: each task adds its own up, and only one vector for each task and
 language is summed; there is no bound on texts. At most MOST_LANGUAGES languages are told apart, else it is an error.
@@ -26,18 +26,19 @@ from . import common as C
 DIMENSION, SEED = 512, 7
 #: Symbols: 0 is the gap, then a-z, then others.
 SYMBOLS = 96
+#: Characters of a long text that are read at once.
+PIECE = 1 << 20
 MOST_LANGUAGES = 1000
 
 
 @lru_cache(1)
 def symbols() -> np.ndarray:
-    """The symbol of each code point to U+024F: 0 for what is no letter."""
-    t = np.zeros(0x250, np.int64)
-    for c in range(0x250):
-        x = chr(c)
-        if x.isalpha():
-            t[c] = 1 + c - 97 if 97 <= c <= 122 else 27 + c % (SYMBOLS - 27)
-    return t
+    """The symbol of each code point: 0 for what is no letter."""
+    c = np.arange(0x110000)
+    t = 27 + c % (SYMBOLS - 27)
+    t[97:123] = np.arange(1, 27)
+    t[~np.fromiter((chr(x).isalpha() for x in range(len(c))), bool, len(c))] = 0
+    return t.astype(np.uint8)
 
 
 @lru_cache(1)
@@ -50,28 +51,41 @@ def vectors() -> tuple[np.ndarray, np.ndarray]:
 def codes(text: str) -> np.ndarray:
     """The symbols of a text, with one gap at the ends and between words."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-    table = symbols()
-    s = np.zeros(len(points) + 2, np.int64)
-    low = points < len(table)
-    s[1:-1][low] = table[points[low]]
-    for i in np.flatnonzero(~low).tolist():
-        if chr(int(points[i])).isalpha():
-            s[i + 1] = 27 + int(points[i]) % (SYMBOLS - 27)
+    s = np.zeros(len(points) + 2, np.int32)
+    s[1:-1] = symbols()[points]
     gap = s == 0
     keep = np.ones(len(s), bool)
     keep[1:] = ~(gap[1:] & gap[:-1])
     return s[keep]
 
 
+def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The trigrams of a text and how often it has each. A long text is read in pieces that end at a blank."""
+    numbers = lambda s: (s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:]
+    if len(text) <= PIECE:
+        return np.unique(numbers(codes(text)), return_counts=True)
+    count = np.zeros(SYMBOLS**3, np.int64)
+    begin, tail = 0, np.zeros(0, np.int32)
+    while begin < len(text):
+        end = text.find(" ", begin + PIECE) if len(text) > begin + PIECE else -1
+        end = len(text) if end < 0 else end
+        s = codes(text[begin:end])
+        s = np.concatenate((tail, s[1:] if len(tail) else s))  # the gap that ends a piece begins the next
+        if len(s) > 2:
+            count += np.bincount(numbers(s), minlength=len(count))
+        tail, begin = s[-2:], end
+    live = np.flatnonzero(count)
+    return live, count[live]
+
+
 def vector(text: str | None) -> np.ndarray | None:
     """The sum of a text's trigram vectors; None without letters."""
     if not text:
         return None
-    s = codes(text)
-    if len(s) < 3:
+    grams, n = trigrams(text)
+    if not len(grams):
         return None
     pair, letter = vectors()
-    grams, n = np.unique((s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:], return_counts=True)
     out = np.zeros(DIMENSION, np.float32)
     for a in range(0, len(grams), 1024):
         g = grams[a : a + 1024]

@@ -25,42 +25,69 @@ _DIGIT[48:58] = True
 _SIGN = np.zeros(256, bool)
 _SIGN[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 FORMS = 8
+#: Features of a word.
+EACH = len(PREFIXES) + 2
 
 
-def features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a block: feature numbers, where each row's begin, words of each row, and the measures of form.
-
-    A word that repeats the one before it gives no features; how many do is a measure of form.
-    """
-    low = C.LOWER[data]
-    start, end, first = C.words(low, at)
-    h = C.Hashes(low)
-    lens, total = np.diff(at), np.diff(first)
-    sums = lambda x: np.diff(np.concatenate(([0], np.cumsum(x)))[at]) if len(x) else np.zeros(len(at) - 1)
-    by_word = lambda x: np.diff(np.concatenate(([0], np.cumsum(x)))[first]) if len(x) else np.zeros(len(at) - 1)
-    over = lambda x, y: x / np.maximum(y, 1)
-    full = h.spans(start, end)
-    again = np.zeros(len(full), bool)
-    if len(full) > 1:
-        again[1:] = full[1:] == full[:-1]
-        edge = first[1:-1]
-        again[edge[edge < len(full)]] = False
-    size = end - start
-    form = np.stack((over(sums(_UPPER[data]), lens), over(sums(_DIGIT[data]), lens), over(sums(_SIGN[data]), lens), over(by_word(again), total), over(by_word(np.minimum(size, 40)), total) / 10, np.log1p(total) / 10, np.minimum(total, 20) / 20, over(sums(data == 10), total)), 1)
-    keep = ~again
-    start, end, size = start[keep], end[keep], size[keep]
-    first = np.concatenate(([0], np.cumsum(keep)))[first]
+def word_features(book: list[bytes]) -> np.ndarray:
+    """Of each distinct word its feature numbers."""
+    at = np.concatenate(([0], np.cumsum([len(w) for w in book], dtype=np.int64)))
+    low = np.frombuffer(b"".join(book) + bytes(8), np.uint8)
+    start, end = at[:-1], at[1:]
     bare = end.copy()
     for _ in range(3):
-        bare -= (bare > start + 1) & _END[low[bare - 1]] if len(low) else 0
-    cols = [h.spans(start, bare)]
+        bare -= (bare > start + 1) & _END[low[bare - 1]]
+    cols = [C.span_hashes(low, start, bare)]
     for n in PREFIXES:
-        x = C.mix(h.spans(start, np.minimum(start + n, end)) + C.U64(n))
-        x[size < n] = C.U64(0)
+        x = C.span_hashes(low, start, np.minimum(start + n, end), n)
+        x[end - start < n] = C.U64(0)
         cols.append(x)
-    cols.append(C.mix(h.spans(np.maximum(end - 3, start), end) + C.U64(99)))
-    ids = (np.stack(cols, 1).ravel() >> C.U64(64 - BITS)).astype(np.int32)
-    return ids, first * len(cols), np.diff(first), form
+    cols.append(C.span_hashes(low, np.maximum(end - 3, start), end, 99))
+    return (np.stack(cols, 1) >> C.U64(64 - BITS)).astype(np.int32)
+
+
+@dataclass
+class Block:
+    """The words of a block that count: those that do not repeat the one before."""
+
+    ids: np.ndarray  # the number of each word in `book`
+    first: np.ndarray  # the number of words before each row
+    book: list[bytes]
+    sums: np.ndarray  # of each row what `forms` needs; such sums of a row's pieces add up
+    last: bytes | None  # the last word, repeated or not
+
+    @property
+    def row(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+
+
+def read(data: np.ndarray, at: np.ndarray, before: bytes | None = None) -> Block:
+    """before: the word that the first row had before this piece."""
+    w = C.Words(data, at)
+    start, end, first = w.start, w.end, w.first
+    sums = lambda x, edge: np.diff(np.concatenate(([0], np.cumsum(x)))[edge])
+    again = np.zeros(len(start), bool)
+    again[1:] = w.ids[1:] == w.ids[:-1]
+    edge = first[1:-1]
+    again[edge[edge < len(start)]] = False
+    if before is not None and len(start) and first[1] > 0:
+        again[0] = w.book[w.ids[0]] == before
+    total = np.diff(first)
+    found = np.stack((np.diff(at), total, sums(_UPPER[data], at), sums(_DIGIT[data], at), sums(_SIGN[data], at), sums(again, first), sums(np.minimum(end - start, 40), first), sums(data == 10, at)), 1).astype(float)
+    keep = ~again
+    return Block(w.ids[keep], np.concatenate(([0], np.cumsum(keep)))[first], w.book, found, w.book[w.ids[-1]] if len(start) else before)
+
+
+def forms(sums: np.ndarray) -> np.ndarray:
+    """The measures of form of rows from their sums."""
+    size, total, upper, digit, sign, again, letters, lines = sums.T
+    size, words = np.maximum(size, 1), np.maximum(total, 1)
+    return np.stack((upper / size, digit / size, sign / size, again / words, letters / words / 10, np.log1p(total) / 10, np.minimum(total, 20) / 20, lines / words), 1)
+
+
+def counted(sums: np.ndarray) -> np.ndarray:
+    """The words of rows that have features."""
+    return sums[:, 1] - sums[:, 5]
 
 
 @dataclass
@@ -81,26 +108,35 @@ class Model:
         t[self.ids] = np.arange(1, len(self.ids) + 1)
         return t
 
-    def scores(self, data: np.ndarray, at: np.ndarray, table: np.ndarray) -> np.ndarray:
-        """Linear scores (rows, outputs) of all rows of a block."""
-        ids, edge, n, form = features(data, at)
-        slot = table[ids]
-        live = np.flatnonzero(slot)
-        row = np.searchsorted(edge, live, "right") - 1
-        slot = slot[live] - 1
-        out = ((form - self.mean) / self.scale) @ self.form + self.bias
-        root = np.sqrt(np.maximum(n, 1))
-        for k in range(out.shape[1]):
-            out[:, k] += np.bincount(row, self.weights[slot, k], len(n)) / root
-        return out
+    def by_word(self, book: list[bytes], table: np.ndarray) -> np.ndarray:
+        """What each distinct word adds to the scores (words, outputs)."""
+        slot = table[word_features(book)]
+        weights = np.concatenate((np.zeros((1, len(self.bias))), self.weights))
+        return weights[slot].sum(1)
 
 
 def scored(model: Model, column) -> np.ndarray:
-    """Linear scores of a whole Arrow column of texts."""
+    """Linear scores (rows, outputs) of a whole Arrow column of texts. Long texts are read in pieces that add up."""
+    return scored_words(model, column)[0]
+
+
+def scored_words(model: Model, column) -> tuple[np.ndarray, np.ndarray]:
+    """The same, and the number of words of each text."""
     table = model.table()
     data, at = C.text_bytes(column)
-    found = [model.scores(part, starts, table) for _, _, part, starts in C.blocks(data, at)]
-    return np.concatenate(found) if found else np.zeros((0, len(model.bias)))
+    n = len(at) - 1
+    linear, sums = np.zeros((n, len(model.bias))), np.zeros((n, FORMS))
+    before = None
+    for lo, hi, part, starts, more in C.pieces(data, at):
+        b = read(part, starts, before)
+        before = b.last if more else None
+        sums[lo:hi] += b.sums
+        if len(b.ids):
+            add = model.by_word(b.book, table)
+            for k in range(add.shape[1]):
+                linear[lo:hi, k] += np.bincount(b.row, add[b.ids, k], hi - lo)
+    linear /= np.sqrt(np.maximum(counted(sums), 1))[:, None]
+    return linear + ((forms(sums) - model.mean) / model.scale) @ model.form + model.bias, sums[:, 1].astype(np.int64)
 
 
 @dataclass
@@ -122,18 +158,24 @@ class Sparse:
 def choose(texts: list[bytes], y: np.ndarray, most: int, least: int = 4) -> np.ndarray:
     """The features whose presence goes most with some class of y (0, 1, ...), by their deviation from chance."""
     k = int(y.max()) + 1
-    df = np.zeros((k, 1 << BITS), np.int32)
+    found = []
     for lo, data, at in _blocks(texts):
-        ids, edge, _, _ = features(data, at)
-        for i in range(len(at) - 1):
-            df[y[lo + i], np.unique(ids[edge[i] : edge[i + 1]])] += 1
-    total = df.sum(0)
+        b = read(data, at)
+        if len(b.ids):
+            # Each word of a row once, then each feature of a row once.
+            pair = np.unique(b.row * np.int64(len(b.book)) + b.ids)
+            row, ids = pair // len(b.book), word_features(b.book)[pair % len(b.book)]
+            one = np.unique((row[:, None] << BITS) + ids)
+            found.append(np.stack((y[lo + (one >> BITS)], one & (1 << BITS) - 1)))
+    cls, ids = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
+    total = np.bincount(ids, minlength=1 << BITS)
     live = np.flatnonzero(total >= least)
     best = np.zeros(len(live))
     for c in range(k):
         p = total[live] / len(texts)
         n = (y == c).sum()
-        best = np.maximum(best, np.abs(df[c, live] - n * p) / np.sqrt(n * p * np.maximum(1 - p, 1e-3) * max(1 - n / len(texts), 1e-3) + 1))
+        df = np.bincount(ids[cls == c], minlength=1 << BITS)[live]
+        best = np.maximum(best, np.abs(df - n * p) / np.sqrt(n * p * np.maximum(1 - p, 1e-3) * max(1 - n / len(texts), 1e-3) + 1))
     return np.sort(live[np.argsort(-best, kind="stable")[:most]])
 
 
@@ -147,20 +189,21 @@ def sparse(texts: list[bytes], chosen: np.ndarray) -> tuple[Sparse, np.ndarray]:
     """The values of the chosen features, and the measures of form."""
     table = np.zeros(1 << BITS, np.int32)
     table[chosen] = np.arange(1, len(chosen) + 1)
-    rows, cols, vals, forms = [], [], [], []
+    width = max(1, len(chosen))
+    rows, cols, vals, form = [], [], [], []
     for lo, data, at in _blocks(texts):
-        ids, edge, n, form = features(data, at)
-        slot = table[ids]
-        live = np.flatnonzero(slot)
-        row = np.searchsorted(edge, live, "right") - 1
-        code, count = np.unique(row * len(chosen) + slot[live] - 1, return_counts=True)
-        row, col = code // max(1, len(chosen)), code % max(1, len(chosen))
-        rows.append(row + lo)
-        cols.append(col)
-        vals.append(count / np.sqrt(np.maximum(n[row], 1)))
-        forms.append(form)
+        b = read(data, at)
+        form.append(forms(b.sums))
+        if len(b.ids):
+            slot = table[word_features(b.book)][b.ids]
+            word, _ = live = np.nonzero(slot)
+            code, count = np.unique(b.row[word] * np.int64(width) + slot[live] - 1, return_counts=True)
+            row, col = code // width, code % width
+            rows.append(row + lo)
+            cols.append(col)
+            vals.append(count / np.sqrt(np.maximum(counted(b.sums)[row], 1)))
     cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-    return Sparse(cat(rows, np.int64), cat(cols, np.int64), cat(vals, float), len(texts)), np.concatenate(forms) if forms else np.zeros((0, FORMS))
+    return Sparse(cat(rows, np.int64), cat(cols, np.int64), cat(vals, float), len(texts)), np.concatenate(form) if form else np.zeros((0, FORMS))
 
 
 def train(x: Sparse, form: np.ndarray, n: int, outputs: int, loss, *, steps: int, rate: float, decay: float, extra: np.ndarray | None = None, twin: Sparse | None = None, bind: float = 0.0, pairs: np.ndarray | None = None) -> tuple:

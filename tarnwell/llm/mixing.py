@@ -66,9 +66,8 @@ def trained(docs: DataFrame, labelled: DataFrame) -> tuple[L.Model, list[str]]:
 
 def posteriors(model: L.Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Of each text its tokens and its posteriors."""
-    data, at = C.text_bytes(column)
-    n = np.concatenate([np.diff(C.words(part, starts)[2]) for _, _, part, starts in C.blocks(data, at)]) if len(at) > 1 else np.zeros(0, np.int64)
-    return n, softmax(L.scored(model, column))
+    z, n = L.scored_words(model, column)
+    return n, softmax(z)
 
 
 def tabled(docs: DataFrame, model: L.Model) -> DataFrame:

@@ -7,7 +7,9 @@ to the first sequence with room, found by a descent in a tournament tree of the
 emptier sequences of a group hold is then cut to fill the gaps of the fuller ones, and the very last sequence is cut
 at powers of two, which need no padding, as long as it has more tokens to save than MIN_TAIL.
 
-Null and empty texts have the END token alone. Repeated rows are packed each for itself. Other columns are ignored.
+Null and empty texts have the END token alone. Repeated rows are packed each for itself; items of equal length keep the
+order of their ids. Long texts are read in pieces that end at white space, which no chunk crosses, so their ids are those
+of the whole text. No documents give no pieces. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ VOCABULARY = "word_bpe_49k.json"
 #: Documents, and bytes of text, in a group, about: what one task holds.
 GROUP, GROUP_BYTES = 4_000, 8 << 20
 #: Distinct chunks of text whose ids a worker remembers.
-CACHE = 600_000
+CACHE = 500_000
 #: A last sequence of no more tokens is padded rather than cut further.
 MIN_TAIL = 64
 
@@ -135,41 +137,34 @@ class Ids:
     """Ids of texts by the vocabulary, remembered for chunks between ASCII white space.
 
     The vocabulary's own rules part all text at white space, and between a letter of A-Z and a sign such as a full stop,
-    so a text's ids are those of its chunks in order; each distinct chunk goes through the tokenizer itself. Ids are held
-    as 16-bit numbers, which the vocabulary allows.
+    so a text's ids are those of its chunks in order; each distinct chunk, told apart by its bytes, goes through the
+    tokenizer itself. Ids are held in 16 bits where the vocabulary allows it, else in 32.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.kind = np.uint16 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
         self.clear()
 
     def clear(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
-        self.at, self.size = np.zeros(0, np.int32), np.zeros(0, np.int32)
-        self.ids, self.n_ids = np.zeros(1 << 16, np.uint16), 0
-
-    def learn(self, keys: np.ndarray, chunks: list[str]) -> None:
-        """Adds new chunks; keys is sorted."""
-        if len(self.keys) + len(keys) > CACHE and len(self.keys):
-            self.clear()
-        found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        ids = [e.ids for e in found]
-        size = np.array([len(x) for x in ids], np.int32)
-        new = np.fromiter((i for x in ids for i in x), np.uint16, int(size.sum()))
-        at = (self.n_ids + np.concatenate(([0], np.cumsum(size)[:-1]))).astype(np.int32)
-        if self.n_ids + len(new) > len(self.ids):
-            self.ids = np.concatenate((self.ids[: self.n_ids], np.zeros(max(len(new), self.n_ids) + (1 << 16), np.uint16)))
-        self.ids[self.n_ids : self.n_ids + len(new)] = new
-        self.n_ids += len(new)
-        slot = np.searchsorted(self.keys, keys)
-        self.keys, self.at, self.size = np.insert(self.keys, slot, keys), np.insert(self.at, slot, at), np.insert(self.size, slot, size)
+        self.slots: dict[bytes, int] = {}
+        self.edge = [np.zeros(1, np.int64)]  # where the ids of each known chunk end
+        self.ids = [np.zeros(0, self.kind)]
+
+    def learn(self, chunks: list[bytes]) -> None:
+        """Adds chunks that are not known."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False)]
+        size = np.fromiter((len(x) for x in ids), np.int64, len(ids))
+        self.edge.append(self.edge[-1][-1] + np.cumsum(size))
+        self.ids.append(np.fromiter((i for x in ids for i in x), self.kind, int(size.sum())))
+        at = len(self.slots)
+        self.slots.update(zip(chunks, range(at, at + len(chunks)), strict=True))
 
     def block(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a block, and where each row's begin."""
-        raw = data.tobytes()
-        low = data if b"<|" in raw else C.LOWER[data]  # special tokens are told by their case
+        low = data if b"<|" in data.tobytes() else C.LOWER[data]  # special tokens are told by their case
         start, end, _ = C.words(low, at)
         sign = np.flatnonzero(_SIGN[low[1:]] & _LETTER[low[:-1]]) + 1
         mark = np.zeros((2, len(low) + 1), bool)
@@ -177,30 +172,22 @@ class Ids:
         mark[:, sign] = True
         start, end = np.flatnonzero(mark[0]), np.flatnonzero(mark[1])
         first = np.searchsorted(start, at)
-        h = C.Hashes(low).spans(start, end)
-        order = np.argsort(h)
-        ordered = h[order]
-        new = np.ones(len(h), bool)
-        new[1:] = ordered[1:] != ordered[:-1]
-        keys, one = ordered[new], order[new]
-        inv = np.empty(len(h), np.int32)
-        inv[order] = np.cumsum(new, dtype=np.int32) - 1
-        slot = np.searchsorted(self.keys, keys)
-        slot[slot == len(self.keys)] = 0
-        miss = self.keys[slot] != keys if len(self.keys) else np.ones(len(keys), bool)
-        if miss.any():
-            if len(self.keys) + int(miss.sum()) > CACHE:
-                self.clear()
-                miss[:] = True
-            low_raw = low.tobytes()
-            w = one[miss]
-            self.learn(keys[miss], [low_raw[a:b].decode("utf-8", "replace") for a, b in zip(start[w].tolist(), end[w].tolist(), strict=True)])
-            slot = np.searchsorted(self.keys, keys)
-        slot = slot[inv]
-        size = self.size[slot]
+        chunk, book = C.numbered(low, start, end)
+        new = [c for c in book if c not in self.slots]
+        if len(self.slots) + len(new) > CACHE:
+            self.clear()
+            new = book
+        if new:
+            self.learn(new)
+        if len(self.ids) > 1:
+            self.edge, self.ids = [np.concatenate(self.edge)], [np.concatenate(self.ids)]
+        slot = np.fromiter((self.slots[c] for c in book), np.int64, len(book))
+        edge, ids = self.edge[0], self.ids[0]
+        begin, size = edge[slot], edge[slot + 1] - edge[slot]
+        size = size[chunk]
         total = np.concatenate(([0], np.cumsum(size)))
-        where = np.repeat(self.at[slot] - total[:-1], size) + np.arange(int(total[-1]))
-        return self.ids[where], total[first]
+        where = np.repeat(begin[chunk] - total[:-1], size) + np.arange(int(total[-1]))
+        return ids[where], total[first]
 
 
 @lru_cache(1)
@@ -222,7 +209,7 @@ def vocabulary(path: str | None = None) -> str:
 
 
 def _pieces(path: str | None, length: int, end: int):
-    """Texts to pieces; ids go as 16-bit numbers as far as here and in the shuffle."""
+    """Texts to pieces; ids go in as many bits as the vocabulary needs as far as here and in the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -231,17 +218,36 @@ def _pieces(path: str | None, length: int, end: int):
         know = known(vocabulary(path))
         for batch in batches:
             data, at = C.text_bytes(batch.column(1))
-            for lo, hi, part, starts in C.blocks(data, at):
+            held: list[np.ndarray] = []  # of a row that comes in pieces
+            for lo, hi, part, starts, more in C.pieces(data, at):
                 ids, cut = know.block(part, starts)
-                rows: list[list] = [[], [], [], [], []]
-                for i in range(hi - lo):
-                    own = np.append(ids[cut[i] : cut[i + 1]], np.uint16(end))
-                    for a in range(0, len(own), length):
-                        piece = own[a : a + length]
-                        for c, v in zip(rows, (lo + i, a, len(piece), len(own), piece.tobytes()), strict=True):
-                            c.append(v)
-                take = pa.array(rows[0], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(2).take(take), batch.column(3).take(take), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.int64()), pa.array(rows[4], pa.binary())], names=["doc_id", "grp", "no_id", "start", "length", "doc_tokens", "ids"])
+                if more:
+                    held.append(ids)
+                    continue
+                if held:
+                    ids = np.concatenate((*held, ids))
+                    cut, held = np.array([0, len(ids)]), []
+                yield from cut_rows(batch, lo, hi, ids, cut)
+
+    def cut_rows(batch, lo, hi, ids, cut):
+        rows: list[list] = [[], [], [], [], []]
+        held = 0
+        for i in range(hi - lo):
+            own = np.append(ids[cut[i] : cut[i + 1]], ids.dtype.type(end))
+            for a in range(0, len(own), length):
+                piece = own[a : a + length]
+                for c, v in zip(rows, (lo + i, a, len(piece), len(own), piece.tobytes()), strict=True):
+                    c.append(v)
+                held += len(piece)
+                if held >= 1 << 21:  # a long text gives many pieces
+                    yield as_batch(batch, rows)
+                    rows, held = [[], [], [], [], []], 0
+        if rows[0]:
+            yield as_batch(batch, rows)
+
+    def as_batch(batch, rows):
+        take = pa.array(rows[0], pa.int64())
+        return pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(2).take(take), batch.column(3).take(take), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.int64()), pa.array(rows[4], pa.binary())], names=["doc_id", "grp", "no_id", "start", "length", "doc_tokens", "ids"])
 
     return run
 
@@ -261,10 +267,11 @@ def _place(length: int):
         seq = np.concatenate((np.arange(len(full)), part[:, 2] + len(full)))
         offset = np.concatenate((np.zeros(len(full), np.int64), part[:, 3]))
         ids = pdf["ids"].to_numpy()
+        kind = np.uint16 if len(ids[0]) == 2 * size[0] else np.uint32
         out = pdf.loc[item, ["doc_id", "no_id", "doc_tokens"]].reset_index(drop=True)
         out["start"] = pdf["start"].to_numpy()[item] + within
         out["length"] = n
-        out["ids"] = [np.frombuffer(ids[i], np.uint16, k, 2 * a).astype("<u4").tobytes() for i, a, k in zip(item.tolist(), within.tolist(), n.tolist(), strict=True)]
+        out["ids"] = [np.frombuffer(ids[i], kind, k, kind().itemsize * a).astype("<u4").tobytes() for i, a, k in zip(item.tolist(), within.tolist(), n.tolist(), strict=True)]
         out["sequence_id"] = (group << 32) + seq
         out["offset"] = offset
         return out[["doc_id", "no_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]]

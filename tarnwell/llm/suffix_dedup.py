@@ -7,9 +7,9 @@ same text before. All steps are exact and none holds more than a part of the cor
 2. Each window of LENGTH bytes has an anchor, the k-gram with the least hash inside it, so equal windows have equal
    anchors. Anchors are dealt by hash; those that occur once are dropped, and with them nearly all text.
 3. Each remaining anchor occurrence gives its context: the text under the windows that it is the anchor of. Contexts
-   are dealt by the anchor's hash, equal ones collapse to the first already where they are read. An anchor with more
-   than WIDE occurrences is dealt by the first bytes of each of its windows instead, so no task gets all of them.
-4. Each task sorts the suffixes of its contexts by the difference cover {1, 2} modulo 3: it sorts the sampled triples,
+   are dealt by the anchor's hash, equal ones (by 128 bits of BLAKE2) collapse to the first already where they are read.
+   An anchor with more than WIDE occurrences is dealt window by window instead, so no task gets all of them.
+4. Of an anchor that is left with several contexts, which differ somewhere, each task sorts the suffixes by the difference cover {1, 2} modulo 3: it sorts the sampled triples,
    recurses on their names until these cover LENGTH bytes, and merges the remaining suffixes. Adjacent prefixes are
    compared; of equal windows all but the earliest are repeats.
 5. The spans of repeats go back to their texts by class.
@@ -53,8 +53,7 @@ def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     none = np.zeros(0, np.int64)
     if n < LENGTH:
         return none, none.astype(np.uint64), none, none, none
-    h = C.Hashes(data)
-    grams = C.mix((h.sums[K:] - h.sums[:-K]) * h.down[: n - K + 1])
+    grams = C.Rolling(data).spans(K)
     least = (grams & ~LOW) | np.arange(len(grams), dtype=np.uint64)
     step = 1
     while step < WINDOW:
@@ -76,6 +75,11 @@ def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     return row, grams[q], q, lo, hi
 
 
+def dealt(h: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each anchor. An anchor is a least hash, so its own high bits would crowd at 0."""
+    return ((C.mix(h) >> C.U64(32)) * C.U64(buckets) >> C.U64(32)).astype(np.int32)
+
+
 def pieces(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Blocks of rows as (bytes, starts, row of each piece, where the piece begins in its text)."""
     for lo, hi, part, starts in C.blocks(data, at):
@@ -107,8 +111,7 @@ def _ask(buckets: int):
         h, cls, q, back, more = h[order], cls[order], q[order], back[order], more[order]
         edge = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
         count = np.diff(np.append(edge, len(h)))
-        b = (h >> C.U64(32)) * C.U64(buckets) >> C.U64(32)
-        yield packed(b[edge].astype(np.int32), 0, h[edge], cls[edge], q[edge], back[edge], more[edge], count.astype(np.int32))
+        yield packed(dealt(h[edge], buckets), 0, h[edge], cls[edge], q[edge], back[edge], more[edge], count.astype(np.int32))
         twice = np.repeat(count > 1, count)
         if twice.any():
             h, cls, q, back, more = (x[twice] for x in (h, cls, q, back, more))
@@ -148,7 +151,7 @@ HOT = pa.schema([("hash", pa.int64()), ("cls", pa.int64()), ("q", pa.int32()), (
 
 
 def _hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partition of buckets to the places of anchors that occur more than once; wide marks one row of each wide anchor."""
+    """A partition of buckets, in their order, to the places of anchors that occur more than once; wide marks one row of each wide anchor."""
     kinds = [("hash", np.uint64), ("cls", np.int64), ("q", np.int32), ("back", np.uint8), ("more", np.uint8), ("count", np.int32)]
 
     def out(h, cls, q, back, more, wide):
@@ -156,43 +159,48 @@ def _hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s = slice(a, a + (1 << 16))
             yield pa.RecordBatch.from_arrays([pa.array(h[s].view(np.int64)), pa.array(cls[s]), pa.array(q[s]), pa.array(back[s].astype(np.int16)), pa.array(more[s].astype(np.int16)), pa.array(wide[s])], schema=HOT)
 
+    def repeated(held):
+        h, cls, q, back, more, count = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(h)
+        h = h[order]
+        near = np.zeros(len(h), bool)
+        same = h[1:] == h[:-1]
+        near[1:] |= same
+        near[:-1] |= same
+        near |= count[order] > 1
+        order, h = order[near], h[near]
+        cls, q, back, more, count = cls[order], q[order], back[order], more[order], count[order]
+        order = np.lexsort((q, cls, h))
+        h, cls, q, back, more, count = (x[order] for x in (h, cls, q, back, more, count))
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (cls[1:] != cls[:-1]) | (q[1:] != q[:-1])
+        place = np.flatnonzero(new)  # copies of a text give the same place again
+        count = np.maximum.reduceat(count, place) if len(place) else count
+        h, cls, q, back, more = (x[place] for x in (h, cls, q, back, more))
+        edge = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
+        total = np.add.reduceat(count.astype(np.int64), edge) if len(edge) else edge
+        size = np.diff(np.append(edge, len(h)))
+        live = np.repeat(total > 1, size)
+        wide = np.zeros(len(h), bool)
+        wide[edge[total > WIDE]] = True
+        yield from out(h[live], cls[live], q[live], back[live], more[live], wide[live])
+
     held: list[list[np.ndarray]] = []
+    n, bucket = 0, None
     for batch in batches:
-        kind = batch.column("kind").to_pylist()
         cols = [batch.column(x).to_pylist() for x, _ in kinds]
-        for i, k in enumerate(kind):
+        for i, (at, k) in enumerate(zip(batch.column("bucket").to_pylist(), batch.column("kind").to_pylist(), strict=True)):
             row = [np.frombuffer(c[i], t) for c, (_, t) in zip(cols, kinds, strict=True)]
             if k:
                 yield from out(*row[:5], np.zeros(len(row[0]), bool))
-            else:
-                held.append(row)
-    if not held:
-        return
-    h, cls, q, back, more, count = (np.concatenate(x) for x in zip(*held, strict=True))
-    del held
-    order = np.argsort(h)
-    h = h[order]
-    near = np.zeros(len(h), bool)
-    same = h[1:] == h[:-1]
-    near[1:] |= same
-    near[:-1] |= same
-    near |= count[order] > 1
-    order, h = order[near], h[near]
-    cls, q, back, more, count = cls[order], q[order], back[order], more[order], count[order]
-    order = np.lexsort((q, cls, h))
-    h, cls, q, back, more, count = (x[order] for x in (h, cls, q, back, more, count))
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (cls[1:] != cls[:-1]) | (q[1:] != q[:-1])
-    place = np.flatnonzero(new)  # copies of a text give the same place again
-    count = np.maximum.reduceat(count, place) if len(place) else count
-    h, cls, q, back, more = (x[place] for x in (h, cls, q, back, more))
-    edge = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
-    total = np.add.reduceat(count.astype(np.int64), edge) if len(edge) else edge
-    size = np.diff(np.append(edge, len(h)))
-    live = np.repeat(total > 1, size)
-    wide = np.zeros(len(h), bool)
-    wide[edge[total > WIDE]] = True
-    yield from out(h[live], cls[live], q[live], back[live], more[live], wide[live])
+                continue
+            if at != bucket and n >= FLUSH_ANCHORS:  # whole buckets, which come in their order
+                yield from repeated(held)
+                held, n = [], 0
+            bucket, n = at, n + len(row[0])
+            held.append(row)
+    if held:
+        yield from repeated(held)
 
 
 def suffix_array(s: np.ndarray, need: int, unit: int = 1) -> np.ndarray:
@@ -270,7 +278,10 @@ def repeats(text: np.ndarray, windows: np.ndarray, need: int = LENGTH) -> tuple[
     return sa, np.concatenate(([0], np.cumsum(~same)))
 
 
-CONTEXT = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("key", pa.binary()), ("id", pa.binary()), ("cls", pa.binary()), ("lo", pa.binary()), ("more", pa.binary()), ("text", pa.binary())])
+CONTEXT = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), *((x, pa.binary()) for x in ("hash", "key", "id", "cls", "lo", "more", "text"))])
+CONTEXT_SQL = "bucket int, kind byte, hash binary, key binary, id binary, cls binary, lo binary, more binary, text binary"
+#: What a context is called: BLAKE2 of its bytes, so that equal keys mean equal bytes.
+KEY = np.dtype([("a", "<u8"), ("b", "<u8")])
 SPAN = pa.schema([("cls", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
 _NULL_ID = -(1 << 63)
 
@@ -281,27 +292,57 @@ def _spans(cls, start, end) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(cls[s]), pa.array(start[s].astype(np.int32)), pa.array(end[s].astype(np.int32))], schema=SPAN)
 
 
+def _collapsed(key: np.ndarray, ident: np.ndarray, cls: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of contexts the first of each set of equals, and those that repeat another one."""
+    order = np.lexsort((lo, cls, ident, key["b"], key["a"]))
+    k = key[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (k["a"][1:] != k["a"][:-1]) | (k["b"][1:] != k["b"][:-1])
+    keep = order[new]
+    head = keep[np.cumsum(new) - 1]  # of each in order, the first of its equals
+    return keep, order[(cls[order] != cls[head]) | (lo[order] != lo[head])]
+
+
 def _contexts(buckets: int):
     """Rows (cls, doc_id, text, places of hot anchors) to contexts by bucket; of equal ones held the first, of the others the spans."""
 
+    def row_of(bucket: int, kind: int, cols: list[np.ndarray], which: np.ndarray, text: bytes) -> list:
+        return [bucket, kind, *(x[which].tobytes() for x in cols), text]
+
     def flush(held):
-        key, kind, ident, cls, lo, more, text = (np.concatenate([x[i] for x in held]) if i < 6 else [y for x in held for y in x[6]] for i in range(7))
-        order = np.lexsort((lo, cls, ident, key, kind))
-        new = np.ones(len(order), bool)
-        k = key[order]
-        new[1:] = k[1:] != k[:-1]
-        keep = order[new]
-        head = keep[np.cumsum(new) - 1]  # of each in order, the first of its equals
-        rest = order[(cls[order] != cls[head]) | (lo[order] != lo[head])]
+        cols = [np.concatenate([x[i] for x in held]) for i in range(6)]
+        text = [y for x in held for y in x[6]]
+        h, key, ident, cls, lo, _ = cols
+        keep, rest = _collapsed(key, ident, cls, lo)
+        rows = []
         if len(rest):
-            yield pa.RecordBatch.from_arrays([pa.array([int(C.mix(cls[rest[:1]].view(np.uint64))[0]) % buckets], pa.int32()), pa.array([1], pa.int8()), *(pa.array([x.tobytes()], pa.binary()) for x in (key[rest], ident[rest], cls[rest], lo[rest], more[rest])), pa.array([b""], pa.binary())], schema=CONTEXT)
-        b = (kind[keep] >> C.U64(32)) * C.U64(buckets) >> C.U64(32)
+            rows.append(row_of(int(C.mix(cls[rest[:1]].view(np.uint64))[0] % C.U64(buckets)), 1, cols, rest, b""))
+        b = dealt(h[keep], buckets)
         by = np.argsort(b, kind="stable")
         keep, b = keep[by], b[by]
-        cut = np.searchsorted(b, np.arange(buckets + 1).astype(np.uint64))
-        some = np.flatnonzero(np.diff(cut))
-        cols = [[x[keep[cut[i] : cut[i + 1]]].tobytes() for i in some.tolist()] for x in (key, ident, cls, lo, more)]
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.zeros(len(some), np.int8)), *(pa.array(x, pa.binary()) for x in cols), pa.array([b"".join(text[j] for j in keep[cut[i] : cut[i + 1]].tolist()) for i in some.tolist()], pa.binary())], schema=CONTEXT)
+        cut = np.searchsorted(b, np.arange(buckets + 1))
+        for i in np.flatnonzero(np.diff(cut)).tolist():
+            which = keep[cut[i] : cut[i + 1]]
+            rows.append(row_of(i, 0, cols, which, b"".join(text[j] for j in which.tolist())))
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), CONTEXT, strict=True)], schema=CONTEXT)
+
+    def of_text(raw: np.ndarray, h, q, back, more, wide) -> tuple:
+        """Anchor, key, first window, further windows and bytes of each context of a text."""
+        lo = q.astype(np.int64) - back
+        more = more.astype(np.int64)
+        h = h.view(np.uint64)
+        there = lo + more + LENGTH <= len(raw)  # else a place of another text whose hash is the same
+        lo, more, h, wide = lo[there], more[there], h[there], wide[there]
+        if wide.any():  # each window of a wide anchor is a context of its own
+            reach = more[wide] + 1
+            each = np.repeat(lo[wide] - np.concatenate(([0], np.cumsum(reach)[:-1])), reach) + np.arange(int(reach.sum()))
+            lo, more = np.concatenate((lo[~wide], each)), np.concatenate((more[~wide], np.zeros(len(each), np.int64)))
+        body = raw.tobytes()
+        text = [body[a:b] for a, b in zip(lo.tolist(), (lo + more + LENGTH).tolist(), strict=True)]
+        key = np.frombuffer(b"".join(hashlib.blake2b(t, digest_size=16).digest() for t in text), KEY)
+        if wide.any():  # and is dealt by its bytes
+            h = np.concatenate((h[~wide], key["a"][len(lo) - len(each) :]))
+        return h, key, lo, more, text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -312,28 +353,16 @@ def _contexts(buckets: int):
             places = batch.column("places")
             flat, edge = places.flatten(), places.offsets.to_numpy()
             edge = edge - edge[0]
-            field = {x: flat.field(x).to_numpy() for x in ("hash", "q", "back", "more")}
-            wide = flat.field("wide").to_numpy(zero_copy_only=False)
+            field = [flat.field(x).to_numpy(zero_copy_only=False) for x in ("hash", "q", "back", "more", "wide")]
             for i in range(batch.num_rows):
-                s = slice(edge[i], edge[i + 1])
-                raw = data[at[i] : at[i + 1]]
-                q = field["q"][s].astype(np.int64)
-                lo = q - field["back"][s]
-                more, h, w = field["more"][s].astype(np.int64), field["hash"][s].view(np.uint64), wide[s]
-                near = C.Hashes(raw)
-                if w.any():  # each window of a wide anchor is a context of its own
-                    reach = more[w] + 1
-                    at_w = np.repeat(lo[w] - np.concatenate(([0], np.cumsum(reach)[:-1])), reach) + np.arange(int(reach.sum()))
-                    deal = near.spans(at_w, at_w + LENGTH // 2)
-                    lo, more, h = np.concatenate((lo[~w], at_w)), np.concatenate((more[~w], np.zeros(len(at_w), np.int64))), np.concatenate((h[~w], deal))
-                end = lo + more + LENGTH
-                key = C.mix(near.spans(lo, end) + h)
-                body = raw.tobytes()
-                held.append((key, h, np.full(len(lo), _NULL_ID if ids[i] is None else ids[i], np.int64), np.full(len(lo), keys[i], np.int64), lo.astype(np.int32), more.astype(np.int32), [body[a:b] for a, b in zip(lo.tolist(), end.tolist(), strict=True)]))
-                n += int((end - lo).sum())
-                if n >= FLUSH_BYTES:
-                    yield from flush(held)
-                    held, n = [], 0
+                for a in range(edge[i], edge[i + 1], 1 << 15):  # a long text has many
+                    s = slice(a, min(a + (1 << 15), edge[i + 1]))
+                    h, key, lo, more, text = of_text(data[at[i] : at[i + 1]], *(x[s] for x in field))
+                    held.append((h, key, np.full(len(lo), _NULL_ID if ids[i] is None else ids[i], np.int64), np.full(len(lo), keys[i], np.int64), lo.astype(np.int32), more.astype(np.int32), text))
+                    n += sum(map(len, text))
+                    if n >= FLUSH_BYTES:
+                        yield from flush(held)
+                        held, n = [], 0
         if held:
             yield from flush(held)
 
@@ -341,19 +370,21 @@ def _contexts(buckets: int):
 
 
 def _sorted(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
-    """The contexts of some buckets: collapses equal ones, sorts the suffixes of the rest and yields the spans of repeats."""
-    key, ident, cls, lo, more = (np.concatenate([p[i] for p in parts]) for i in range(5))
+    """The contexts of some buckets: collapses equal ones, sorts the suffixes of the rest and yields the spans of repeats.
+
+    Windows are equal only under the same anchor, so an anchor whose contexts are all equal needs no sort.
+    """
+    h, key, ident, cls, lo, more = (np.concatenate([p[i] for p in parts]) for i in range(6))
     size = more.astype(np.int64) + LENGTH
-    text = np.frombuffer(b"".join(p[5] for p in parts), np.uint8)
+    text = np.frombuffer(b"".join(p[6] for p in parts), np.uint8)
     begin = np.concatenate(([0], np.cumsum(size)[:-1]))
-    order = np.lexsort((lo, cls, ident, key))
-    new = np.ones(len(order), bool)
-    new[1:] = key[order][1:] != key[order][:-1]
-    head = order[np.flatnonzero(new)][np.cumsum(new) - 1]  # of each in order, the first of its equals
-    rest = order[(cls[order] != cls[head]) | (lo[order] != lo[head])]
+    keep, rest = _collapsed(key, ident, cls, lo)
     yield from _spans(cls[rest], lo[rest].astype(np.int64), lo[rest] + size[rest])
-    keep = order[new]
+    _, group, n = np.unique(h[keep], return_inverse=True, return_counts=True)
+    keep = keep[n[group] > 1]
     keep = keep[np.lexsort((lo[keep], cls[keep], ident[keep]))]  # contexts by their places: the first has number 0
+    if not len(keep):
+        return
     n = size[keep]
     start = np.concatenate(([0], np.cumsum(n + 1)[:-1]))
     s = np.zeros(int((n + 1).sum()), np.int16)
@@ -363,8 +394,6 @@ def _sorted(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
     owner = np.repeat(np.arange(len(keep), dtype=np.int32), n + 1)
     windows = np.arange(len(s)) - start[owner] <= more[keep][owner]
     sa, group = repeats(s, windows)
-    if not len(sa):
-        return
     first = np.minimum.reduceat(owner[sa], np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))))
     later = np.sort(sa[owner[sa] != first[group]])
     if len(later):
@@ -378,26 +407,22 @@ def _sorted(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
 
 
 def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partition of buckets to spans of repeats, some whole buckets at a time."""
-    kinds = [("key", np.uint64), ("id", np.int64), ("cls", np.int64), ("lo", np.int32), ("more", np.int32)]
-    by: dict[int, list[tuple]] = {}
+    """A partition of buckets, in their order, to spans of repeats; some whole buckets are held at a time."""
+    kinds = [("hash", np.uint64), ("key", KEY), ("id", np.int64), ("cls", np.int64), ("lo", np.int32), ("more", np.int32)]
+    held, n, bucket = [], 0, None
     for batch in batches:
         cols = [batch.column(x).to_pylist() for x, _ in kinds]
         for i, (b, kind, text) in enumerate(zip(*(batch.column(x).to_pylist() for x in ("bucket", "kind", "text")), strict=True)):
             row = tuple(np.frombuffer(c[i], t) for c, (_, t) in zip(cols, kinds, strict=True))
             if kind:
-                yield from _spans(row[2], row[3].astype(np.int64), row[3].astype(np.int64) + row[4] + LENGTH)
-            else:
-                by.setdefault(b, []).append((*row, text))
-    held, n = [], 0
-    for b in sorted(by):
-        rows = by.pop(b)
-        size = sum(len(r[5]) for r in rows)
-        if held and n + size > SORT_BYTES:
-            yield from _sorted(held)
-            held, n = [], 0
-        held += rows
-        n += size
+                lo = row[4].astype(np.int64)
+                yield from _spans(row[3], lo, lo + row[5] + LENGTH)
+                continue
+            if b != bucket and n >= SORT_BYTES:
+                yield from _sorted(held)
+                held, n = [], 0
+            bucket, n = b, n + len(text)
+            held.append((*row, text))
     if held:
         yield from _sorted(held)
 
@@ -441,62 +466,76 @@ def _cut(whole_chars: bool):
     return run
 
 
+def text_key(text) -> "F.Column":
+    """What names a class of equal texts: its SHA-256."""
+    return F.unhex(F.sha2(text.cast("binary"), 256))
+
+
 def repeated(docs: DataFrame, *, whole_chars: bool = False) -> DataFrame:
-    """Each class of equal texts: cls, first_id, and where it is cut in part n_removed, n_spans and the kept bytes, else nulls.
+    """Each class of equal texts: key, first_id, and where it is cut in part n_removed, n_spans and the kept bytes, else nulls.
 
-    cls is xxhash64 of the text. Copies beyond the first document of a class are for the caller to remove. The table is
-    written, so that the join of all documents with it has a shuffle of its own on either side, which Spark can split
+    key is the SHA-256 of the text. Copies beyond the first document of a class are for the caller to remove. The table
+    is written, so that the join of all documents with it has a shuffle of its own on either side, which Spark can split
     where a class has very many copies.
     """
     spark = C.ready(docs.sparkSession)
     scratch, p = C.Scratch(spark, "suffix-dedup"), C.partitions(spark)
     buckets = 16 * p
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("cls", F.xxhash64("text"))
-    classes = scratch.table(docs.groupBy("cls").agg(F.expr("min_by(doc_id, struct(doc_id is not null, doc_id))").alias("first_id")))
-    asked = docs.where(F.octet_length("text") >= LENGTH).select("cls", "text").mapInArrow(C.lean(_ask(buckets)), "bucket int, kind byte, hash binary, cls binary, q binary, back binary, more binary, count binary")
-    hot = scratch.table(asked.repartition(p, "bucket").mapInArrow(C.lean(_hot), "hash long, cls long, q int, back short, more short, wide boolean"))
-    C.tidy(spark)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    if C.unique(docs, "doc_id"):
+        docs = docs.withColumn("row", F.col("doc_id"))
+    else:
+        docs = scratch.table(docs.withColumn("row", F.monotonically_increasing_id()))
+    keyed = docs.select("row", "doc_id", text_key(F.col("text")).alias("key"), F.xxhash64("text").alias("half"))
+    # A class is called by the row of its first document; `half` is what candidates go by until the texts meet again.
+    classes = scratch.table(keyed.groupBy("key").agg(F.expr("min_by(struct(row, doc_id), struct(doc_id is not null, doc_id, row))").alias("first"), F.first("half").alias("half")).select("key", F.col("first.row").alias("cls"), F.col("first.doc_id").alias("first_id"), "half"))
+    asked = docs.where(F.octet_length("text") >= LENGTH).select(F.xxhash64("text").alias("half"), "text").mapInArrow(C.lean(_ask(buckets)), "bucket int, kind byte, hash binary, cls binary, q binary, back binary, more binary, count binary")
+    hot = scratch.table(asked.repartition(p, "bucket").sortWithinPartitions("bucket").mapInArrow(C.lean(_hot), "hash long, cls long, q int, back short, more short, wide boolean"))
     wide = hot.where("wide").select("hash", F.lit(True).alias("is_wide"))
-    hot = hot.drop("wide").join(C.bounded(spark, wide, 100_000), "hash", "left").withColumn("wide", F.coalesce("is_wide", F.lit(False)))
-    places = hot.groupBy("cls").agg(F.collect_set(F.struct("hash", "q", "back", "more", "wide")).alias("places"))
-    first = classes.join(places, "cls").withColumnRenamed("cls", "c")
-    texts = docs.join(first, (F.col("cls") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).select("cls", "doc_id", "text", "places")
-    contexts = texts.mapInArrow(C.lean(_contexts(4 * buckets)), "bucket int, kind byte, key binary, id binary, cls binary, lo binary, more binary, text binary")
-    spans = scratch.table(contexts.repartition(p, "bucket").mapInArrow(C.lean(_sort), "cls long, start int, end int"))
-    C.tidy(spark)
-    spans = spans.groupBy("cls").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    first = classes.join(spans, "cls").withColumnRenamed("cls", "c")
-    texts = docs.join(first, (F.col("cls") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).select("cls", "text", "spans")
-    cut = texts.mapInArrow(C.lean(_cut(whole_chars)), "cls long, n_removed long, n_spans long, kept binary").dropDuplicates(["cls"])
-    return scratch.table(classes.join(cut, "cls", "left"))
+    places = hot.drop("wide").join(C.bounded(spark, wide, 100_000), "hash", "left").withColumn("wide", F.coalesce("is_wide", F.lit(False)))
+    places = places.withColumnRenamed("cls", "half").groupBy("half").agg(F.collect_set(F.struct("hash", "q", "back", "more", "wide")).alias("places"))
+    texts = docs.join(classes.join(places, "half").select("cls", "places"), F.col("row") == F.col("cls")).select("cls", "doc_id", "text", "places")
+    contexts = texts.mapInArrow(C.lean(_contexts(4 * buckets)), CONTEXT_SQL)
+    spans = scratch.table(contexts.repartition(p, "bucket").sortWithinPartitions("bucket").mapInArrow(C.lean(_sort), "cls long, start int, end int"))
+    scratch.drop(hot)
+    cuts = spans.groupBy("cls").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    cut = docs.join(cuts, F.col("row") == F.col("cls")).select("cls", "text", "spans").mapInArrow(C.lean(_cut(whole_chars)), "cls long, n_removed long, n_spans long, kept binary")
+    found = scratch.table(classes.join(cut, "cls", "left").select("key", "first_id", "n_removed", "n_spans", "kept"))
+    scratch.drop(classes, spans)
+    return found
 
 
 EMPTY_SHA256 = hashlib.sha256(b"").hexdigest()
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op5: per document n_bytes, n_removed, n_spans and the SHA-256 of the kept bytes."""
-    docs = C.load(spark, sf_dir, "documents").select("doc_id", "text")
-    classes = repeated(docs).select("cls", "first_id", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """op5: all documents."""
+    return digested(C.load(spark, sf_dir, "documents"))
+
+
+def digested(docs: DataFrame) -> DataFrame:
+    """Per document n_bytes, n_removed, n_spans and the SHA-256 of the kept bytes."""
+    docs = docs.select("doc_id", "text")
+    classes = repeated(docs).select("key", "first_id", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", F.xxhash64(text).alias("cls"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("whole"))
-    rows = rows.join(classes, "cls")
+    rows = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), text_key(text).alias("key"))
+    rows = rows.join(classes, "key")
     copy = ~F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("n_bytes") >= LENGTH)
     return rows.select(
         "doc_id",
         "n_bytes",
         F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(copy, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(copy, F.lit(EMPTY_SHA256)).otherwise(F.coalesce("kept_sha256", "whole")).alias("kept_sha256"),
+        F.when(copy, F.lit(EMPTY_SHA256)).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("key")))).alias("kept_sha256"),
     )
 
 
 def cut_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: each document's text without its repeats, in whole characters; n_chars follows. All documents stay."""
     key, named, first, kept = (C.fresh(docs, n) for n in ("_key", "_class", "_first", "_kept"))
-    classes = repeated(docs, whole_chars=True).select(F.col("cls").alias(named), F.col("first_id").alias(first), F.col("kept").cast("string").alias(kept))
+    classes = repeated(docs, whole_chars=True).select(F.col("key").alias(named), F.col("first_id").alias(first), F.col("kept").cast("string").alias(kept))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.withColumn(key, F.xxhash64(text)).join(classes, F.col(key) == F.col(named))
+    rows = docs.withColumn(key, text_key(text)).join(classes, F.col(key) == F.col(named))
     copy = ~F.col("doc_id").eqNullSafe(F.col(first)) & (F.octet_length(text) >= LENGTH)
     new = F.when(copy, F.lit("")).otherwise(F.coalesce(kept, "text"))
     return rows.select(*(new.alias(c) if c == "text" else F.length(new).cast("long").alias(c) if c == "n_chars" else x for c, x in zip(docs.columns, C.own(docs), strict=True)))

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tarnwell.llm import common as C
@@ -71,19 +72,112 @@ def test_ngram_join(spark, rows, k, num, den):
     assert got == groups(rows, k, num, den)
 
 
-def test_ngram_join_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "GROUP", 150)
+def test_ngram_join_in_blocks(spark, patched):
+    patched(ngram_join, GROUP=150, MEMBERS=5)
     rows = near_rows()
     assert Counter(map(tuple, ngram_join.near_groups(table(spark, rows), k=4, num=85, den=100).collect())) == groups(rows, 4, 85, 100)
 
 
-def test_search_skips_long_lists():
+def brute_pairs(sets, num, den):
+    return {frozenset((i, j)) for i in range(len(sets)) for j in range(i) if den * (n := len(np.intersect1d(sets[i], sets[j]))) >= num * (len(sets[i]) + len(sets[j]) - n)}
+
+
+def test_search_merges_short_lists_and_probes_long_ones():
     rng = np.random.default_rng(5)
     sets = [np.unique(np.concatenate((np.arange(40), 100 + rng.integers(0, 4000, 60)))).astype(np.uint64) for _ in range(150)]
     sets += [np.unique(np.concatenate((s[:-3], rng.integers(10**6, 10**7, 3).astype(np.uint64)))) for s in sets[:50]]
-    got = {(q, j) for q, found in ngram_join.search(sets, None, 80, 100) for j in found.tolist()}
-    want = {(i, j) for i in range(len(sets)) for j in range(i) if 100 * (n := len(np.intersect1d(sets[i], sets[j]))) >= 80 * (len(sets[i]) + len(sets[j]) - n)}
-    assert got == want and len(want) >= 40
+    rng.shuffle(sets)
+    tally: dict = {}
+    got = [frozenset(p) for p in ngram_join.search(sets, None, 80, 100, tally=tally)]
+    want = brute_pairs(sets, 80, 100)
+    assert len(got) == len(set(got)) and set(got) == want and len(want) >= 40
+    postings = sum(map(len, sets))
+    assert 0 < tally["heap"] < postings / 2 and tally["probes"] > 40 * 40  # long lists are probed, not merged
+    half = {frozenset((i, 100 + j)) for i, j in ngram_join.search(sets[:100], sets[100:], 80, 100)}
+    assert half == {p for p in want if min(p) < 100 <= max(p)}
+
+
+def test_search_probes_among_near_copies():
+    """A group of near copies, whose lists are alike in length: most of them are still only probed."""
+    rng = np.random.default_rng(6)
+    base = np.arange(200)
+    sets = [np.unique(np.concatenate((rng.choice(base, 190, replace=False), 1000 + rng.integers(0, 10**6, 6)))) for _ in range(120)]
+    tally: dict = {}
+    got = {frozenset(p) for p in ngram_join.search(sets, None, 85, 100, tally=tally)}
+    assert got == brute_pairs(sets, 85, 100) and len(got) > 1000
+    assert tally["probes"] > len(got) and tally["heap"] < sum(len(s) for s in sets) * 60 / 4
+
+
+def test_heap_merge_counts():
+    rng = np.random.default_rng(7)
+    for need in range(1, 7):
+        lists = [np.unique(rng.integers(0, 60, rng.integers(0, 40))).tolist() for _ in range(8)]
+        ids = [x for one in lists for x in one]
+        at = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).tolist()
+        count = Counter(ids)
+        assert dict(ngram_join.heap_merge(ids, list(zip(at[:-1], at[1:], strict=True)), need)) == {i: n for i, n in count.items() if n >= need}
+
+
+def complements(n=10):
+    """Two strings over {a, b} whose sums of letters times powers of any odd number agree modulo 2**64."""
+    s = "a"
+    for _ in range(n):
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s, s.translate(str.maketrans("ab", "ba"))
+
+
+def test_ngram_join_tells_cancelling_words_apart(spark):
+    x, y = complements()
+    rows = [(1, f"{x} one two three four"), (2, f"{y} one two three four"), (3, x), (4, y), (5, x)]
+    got = {r.doc_id: r.component_id for r in ngram_join.near_groups(table(spark, rows), k=4, num=85, den=100).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 3}
+
+
+def test_ngram_join_is_exact_for_any_hash(monkeypatch):
+    """With hashes of three bits: sets keep their sizes, and the steps in memory lose and add nothing."""
+    plain = C.digests
+    monkeypatch.setattr(C, "digests", lambda spans: plain(spans) & C.U64(7))
+    monkeypatch.setattr(C, "mix", lambda h: h & C.U64(7))
+    rows = near_rows()
+    data, at = C.text_bytes(pa.array([t for _, t in rows], pa.string()))
+    read = list(ngram_join.read_sets(data, at, 4))
+    sets = shingle_sets(rows, 4)
+    assert [n for _, n, _, _ in read] == [len(s) for s in sets]
+    named = ngram_join.named_sets(data, at, 4)
+    for i in range(len(rows)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if min(len(t) for t in (rows[i][1].split(), rows[j][1].split())) >= 4:
+                assert len(np.intersect1d(named[i], named[j])) == len(a & b)
+                if a != b and 100 * len(a & b) >= 85 * len(a | b):
+                    p, q = (Counter(ngram_join.tokens(read[x][2], int(ngram_join.prefix_len(read[x][1], 85, 100))).tolist()) for x in (i, j))
+                    assert (p & q).total() >= min(ngram_join.least(len(a), 85, 100), ngram_join.least(len(b), 85, 100))
+
+
+def test_ngram_join_of_a_large_group(spark, patched):
+    """Near copies in a chain that no hub spans, dealt in blocks; and buckets with hot tokens."""
+    patched(ngram_join, MEMBERS=12, GROUP=3000, HOT=200, HUBS=2, FLUSH=500)
+    rng = random.Random(12)
+    words = prose(77, 100).split()
+    rows = []
+    for i in range(150):
+        if i % 5 == 0:
+            words[rng.randrange(100)] = f"step{i}"
+        own = list(words)
+        own[rng.randrange(100)] = f"own{i}"
+        rows.append((i, " ".join(own[: 100 - i % 9])))
+    rows += [(1000 + i, f"{prose(77, 30)} {prose(i, 10)}") for i in range(60)]
+    assert Counter(map(tuple, ngram_join.near_groups(table(spark, rows), k=4, num=85, den=100).collect())) == groups(rows, 4, 85, 100)
+
+
+def test_ngram_join_long_texts(spark, patched):
+    patched(C, BLOCK=3000)
+    a = prose(5, 4000, 3000).split()
+    b = list(a)
+    for i in range(0, 4000, 200):
+        b[i] = "changed"
+    rows = [(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(a)), (4, "  ".join(a).upper()), (5, prose(6, 4000)), (6, "x" * 9000)]
+    assert Counter(map(tuple, ngram_join.near_groups(table(spark, rows), k=4, num=85, den=100).collect())) == groups(rows, 4, 85, 100)
 
 
 def test_near_stage(spark, empty):
@@ -115,32 +209,44 @@ def cut(rows, need=100):
     return Counter((i, *found[i, t or ""]) for i, t in rows)
 
 
-def digest(spark, rows, monkeypatch):
-    docs = table(spark, rows)
-    monkeypatch.setattr(C, "load", lambda *a: docs)
-    return Counter(map(tuple, suffix_dedup.query(spark, "").collect()))
+def digest(spark, rows):
+    return Counter(map(tuple, suffix_dedup.digested(table(spark, rows)).collect()))
 
 
 @pytest.mark.parametrize("rows", [odd_rows(), near_rows(), [(i, prose(9, 60) * (i % 4) + prose(i, 30) + prose(9, 60)[i * 3 :]) for i in range(30)]], ids=["odd", "near", "shared"])
-def test_suffix_dedup(spark, rows, monkeypatch):
-    assert digest(spark, rows, monkeypatch) == cut(rows)
+def test_suffix_dedup(spark, rows):
+    assert digest(spark, rows) == cut(rows)
+
+
+@pytest.mark.parametrize("wide", [3, 10**6])
+def test_suffix_dedup_wide_anchors_small_flushes_and_pieces(spark, patched, wide):
+    patched(suffix_dedup, WIDE=wide, FLUSH_ANCHORS=20, FLUSH_BYTES=2000, SORT_BYTES=1000)
+    rows = [(i, prose(9, 60) + prose(i, 30)) for i in range(20)] + [(100 + i, prose(9, 60)[i * 7 :]) for i in range(20)]
+    assert digest(spark, rows) == cut(rows)
+
 
+def test_suffix_dedup_is_exact_for_any_anchor_hash(spark, patched):
+    """Grams whose hashes have two bits: every anchor is hot, and what is removed is the same."""
+    patched(C, _BYTE=C._BYTE & C.U64(3), mix=lambda h: h & C.U64(3) << C.U64(40))
+    x, y = complements(8)
+    rows = near_rows(40) + [(500, x), (501, y), (502, x + "z")]
+    assert digest(spark, rows) == cut(rows)
 
-def test_suffix_dedup_wide_anchors_small_flushes_and_pieces(spark, monkeypatch):
-    import tarnwell.llm.suffix_dedup as S
 
-    for name, value in (("WIDE", 3), ("FLUSH_ANCHORS", 20), ("FLUSH_BYTES", 2000), ("SORT_BYTES", 1000)):
-        monkeypatch.setattr(S, name, value)
-    rows = [(i, prose(9, 60) + prose(i, 30)) for i in range(20)]
-    assert digest(spark, rows, monkeypatch) == cut(rows)
+def test_anchors_are_dealt_evenly():
+    """The least hashes of windows crowd at 0; the fullest of 211 partitions of them still has little over the mean."""
+    data, at = C.text_bytes(pa.array([prose(i, 4000, 2000) for i in range(200)]))
+    h = np.unique(suffix_dedup.anchors(data, at)[1])
+    n = np.bincount(suffix_dedup.dealt(h, 16 * 211) % 211, minlength=211)
+    assert len(h) > 50_000 and n.max() < 2 * n.mean()
 
 
-def test_suffix_dedup_long_text_over_pieces(spark, monkeypatch):
+def test_suffix_dedup_long_text_over_pieces(spark):
     rng = np.random.default_rng(1)
     raw = rng.integers(97, 123, 4_400_000).astype(np.uint8)
     edge = suffix_dedup.PIECE - 60
     raw[100:250] = raw[edge : edge + 150]  # the later of the two, across the end of the first piece, goes
-    got = list(digest(spark, [(1, raw.tobytes().decode())], monkeypatch))
+    got = list(digest(spark, [(1, raw.tobytes().decode())]))
     assert got[0][:4] == (1, len(raw), 150, 1)
 
 
@@ -208,9 +314,30 @@ def _sums(want):
     return out
 
 
+def test_packing_tells_cancelling_words_apart(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.vocabulary())
+    rows = list(enumerate(complements()))
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in packing.pack_documents(table(spark, rows), length=1 << 16).collect()}
+    assert got == {i: [*tok.encode(t, add_special_tokens=False).ids, 2] for i, t in rows}
+
+
+def test_packing_long_texts_in_pieces(spark, patched):
+    patched(C, BLOCK=700)
+    rows = [(1, prose(1, 3000)), (2, "x" * 3000 + " " + prose(2, 50)), (3, "a. B, c!" * 400), (4, None)]
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.vocabulary())
+    whole = defaultdict(dict)
+    for r in packing.pack_documents(table(spark, rows)).collect():
+        whole[r.doc_id][r.start] = np.frombuffer(r.ids, "<u4").tolist()
+    assert {i: sum((p for _, p in sorted(x.items())), []) for i, x in whole.items()} == {i: [*tok.encode(t or "", add_special_tokens=False).ids, 2] for i, t in rows}
+
+
 def test_packing_query_has_checksums(spark, monkeypatch):
     docs = table(spark, [(1, "hello world"), (2, None)])
-    monkeypatch.setattr(C, "load", lambda *a: docs)
+    monkeypatch.setattr(packing.C, "load", lambda *a: docs)
     got = {r.doc_id: r for r in packing.query(spark, "").collect()}
     assert got[2].ids_crc32 == zlib.crc32(np.array([2], "<u4").tobytes()) and got[2].doc_tokens == 1
 
