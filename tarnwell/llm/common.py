@@ -9,7 +9,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -253,7 +253,8 @@ def numbered(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.n
 
 def digests(spans: list[bytes]) -> np.ndarray:
     """64-bit hashes of byte strings, which nobody can make agree at will."""
-    return np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=8).digest() for x in spans), U64)
+    make = partial(hashlib.blake2b, digest_size=8)
+    return np.frombuffer(b"".join([make(x).digest() for x in spans]), U64)
 
 
 def words(data: np.ndarray, at: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -315,14 +316,17 @@ def shingles(data: np.ndarray, at: np.ndarray, k: int) -> list[np.ndarray]:
     """
     w = Words(data, at)
     name, h = runs_of(w.ids, k), w.hashes(k)
-    out = []
-    for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
-        if b - a >= k:
-            one = np.unique(name[a : b - k + 1], return_index=True)[1] + a
-            out.append(np.sort(h[one]))
-        else:
-            out.append(np.zeros(0, U64))
-    return out
+    edge = np.stack((w.first[:-1], np.maximum(w.first[:-1], w.first[1:] - k + 1)), 1)  # of each row the runs that are its own
+    n = np.diff(edge, axis=1)[:, 0]
+    row = np.repeat(np.arange(len(n)), n)
+    at_run = np.arange(len(row)) + np.repeat(edge[:, 0] - np.concatenate(([0], np.cumsum(n)[:-1])), n)
+    pair = named_pairs(row, name[at_run]) if len(row) else row
+    seen = np.zeros(int(pair.max(initial=-1)) + 1, np.int64)
+    seen[pair[::-1]] = np.arange(len(pair))[::-1]  # where each shingle of a row is first
+    one = np.sort(seen)
+    row, h = row[one], h[at_run[one]]
+    cut = np.searchsorted(row, np.arange(len(n) + 1))
+    return [np.sort(h[a:b]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
 
 def released() -> None:

@@ -34,6 +34,8 @@ from . import common as C
 
 THRESHOLD = 0.9
 TREES, SPILL, SAMPLE, LEAF = 10, 0.12, 20_000, 20_000
+#: Bytes of a sample, which bounds its rows where vectors are wide.
+SAMPLE_BYTES = 64 << 20
 #: Vectors for each leaf of the trees that deal them over the cluster.
 DEAL = 600
 MAX_DEPTH = 10
@@ -305,9 +307,11 @@ def near_vectors(rows: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     good = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     fine = F.col("v").isNotNull() & F.forall("v", good) & F.exists("v", lambda x: x != 0)
     rows = rows.withColumn("ok", F.coalesce(fine, F.lit(False)))
-    # A class for equal vectors, named by two hashes of their components; its rows are counted before any shuffle.
-    rows = rows.withColumn("v", F.transform("v", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x)).cast(f"array<{kind}>")).withColumn("key", F.when(F.col("ok"), F.xxhash64("v")))
-    classes = scratch.table(rows.where("ok").groupBy("key").agg(F.count("*").alias("size"), F.min("vec_id").alias("least"), F.first("v").alias("v")))
+    # A class for equal vectors, told by two hashes of their components, 128 bits; its rows are counted before any shuffle.
+    rows = rows.withColumn("v", F.transform("v", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x)).cast(f"array<{kind}>"))
+    rows = rows.withColumn("key", F.when(F.col("ok"), F.xxhash64("v"))).withColumn("key2", F.when(F.col("ok"), F.xxhash64(F.lit(SEED), "v")))
+    classes = rows.where("ok").groupBy("key", "key2").agg(F.count("*").alias("size"), F.min("vec_id").alias("least"), F.first("v").alias("v"))
+    classes = scratch.table(classes.withColumn("cls", F.monotonically_increasing_id()))
     counts = {r[0]: r[1] for r in classes.groupBy(F.size("v")).count().collect()}
     if not counts:
         return _result(rows, None, None, classes)
@@ -316,7 +320,7 @@ def near_vectors(rows: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     if len(wide) < len(counts):  # few vectors of a length: all with all
         few = classes.where(~F.size("v").isin(wide)) if wide else classes
         zero = [F.lit(0).alias(c) for c in ("leaf", "one", "two", "block")]
-        few = few.select(F.size("v").alias("w"), *zero, F.col("key").alias("cls"), "size", "v", F.lit(bytes(4)).alias("leaves"))
+        few = few.select(F.size("v").alias("w"), *zero, "cls", "size", "v", F.lit(bytes(4)).alias("leaves"))
         parts.append(scratch.table(few.groupBy("w").applyInPandas(_compare(threshold, 1), FOUND)))
     C.tidy(spark)
     found = parts[0]
@@ -329,23 +333,25 @@ def near_vectors(rows: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
 
 def _found(classes: DataFrame, n: int, kind: str, threshold: float, scratch: C.Scratch) -> DataFrame:
     """What `_compare` finds among n classes of one length."""
-    sample = np.array([r[0] for r in classes.orderBy(F.xxhash64("key", F.lit(3)), "key").limit(SAMPLE).select("v").collect()], np.float64)
+    width = len(classes.select("v").first().v)
+    drawn = classes.orderBy(F.xxhash64("key", F.lit(3)), "key", "key2").limit(max(1, min(SAMPLE, SAMPLE_BYTES // (8 * width))))
+    sample = _matrix(drawn.select("v").toArrow().column("v").combine_chunks())
     deal = Deal(unit(sample), n, threshold)
-    vectors = classes.select(F.col("key").alias("cls"), "v", "size")
+    vectors = classes.select("cls", "v", "size")
     deal.divide(vectors.mapInArrow(C.lean(deal.sizes), "leaf int, core boolean, n long").groupBy("leaf", "core").agg(F.sum("n")).collect(), LEAF)
     placed = vectors.mapInArrow(C.lean(deal.place), f"leaf int, one int, two int, block int, cls long, size long, v array<{kind}>, leaves binary")
     return scratch.table(placed.groupBy("leaf", "one", "two").applyInPandas(_compare(threshold, deal.regions), FOUND))
 
 
 def _result(rows: DataFrame, links: DataFrame | None, root: DataFrame | None, classes: DataFrame) -> DataFrame:
-    info = classes.select("key", "size", "least")
+    info = classes.select("key", "key2", "cls", "size", "least")
     if links is not None:
-        info = info.join(links.withColumnRenamed("a", "key"), "key", "left").join(root.select(F.col("node").alias("key"), "root"), "key", "left")
+        info = info.join(links.withColumnRenamed("a", "cls"), "cls", "left").join(root.select(F.col("node").alias("cls"), "root"), "cls", "left")
     else:
-        info = info.withColumn("links", F.lit(0).cast("long")).withColumn("root", F.col("key"))
-    info = info.withColumn("root", F.coalesce("root", "key"))
-    info = info.join(info.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("key", "size", "links", "component_id")
-    out = rows.join(info, "key", "left")
+        info = info.withColumn("links", F.lit(0).cast("long")).withColumn("root", F.col("cls"))
+    info = info.withColumn("root", F.coalesce("root", "cls"))
+    info = info.join(info.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("key", "key2", "size", "links", "component_id")
+    out = rows.join(info, ["key", "key2"], "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.when(F.col("ok"), F.col("size") - 1 + F.coalesce("links", F.lit(0))).otherwise(0).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 

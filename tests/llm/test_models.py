@@ -331,16 +331,29 @@ def judged(url, rules, listed):
     return host, path, best and best[2], best[3] if best else "block" if form and form in listed else "allow"
 
 
-def test_urls(spark):
+@pytest.mark.parametrize("small", [200_000, 0])
+def test_urls(spark, monkeypatch, small):
+    monkeypatch.setattr(url_filter, "SMALL", small)
     listed = {"bad.example.org/x", "bad.example.org"}
     urls = [None, "", "no scheme", "://", "http://", "HTTP://A.Example.COM/en/7?x#y", "http://example.com/en/", "http://example.com/en/71", "http://notexample.com/en/7", "http://com/en/x", "http://com", "http://net/de/8", "http://a.b.example.net/de/8x", "http://org/es/#f", "x://www.bad.example.org/x//", "http://bad.example.org?q", "http://bad.example.org/y", "http://É.com/en/É", "http://a..com/en/", "http://com.:80/en/", "http://" + "a." * 500 + "com/en/" + "z" * 5000, "http://a/b://c.com/en/"] * 3
-    rows = spark.createDataFrame([(i, u, "?", "?") for i, u in enumerate(urls)], "page_id long, url string, host string, verdict string").drop("verdict")
+    rows = spark.createDataFrame([(i, u, "?", "?", "!") for i, u in enumerate(urls)], "page_id long, url string, Host string, verdict string, `_rule.x` string")
     lists = url_filter.rules_table(spark).union(spark.createDataFrame([("exact", "block", x, "") for x in sorted(listed)], "kind string, verdict string, host string, path string"))
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(rows, lists).collect()}
     assert got == {i: judged(u, url_filter.RULES, listed) for i, u in enumerate(urls)}
     assert {r.verdict for r in url_filter.judge(rows, lists.limit(0)).collect()} == {"allow"} and url_filter.judge(rows.limit(0), lists).count() == 0
 
 
+@pytest.mark.parametrize("small", [200_000, 0])
+def test_urls_entries_that_disagree(spark, monkeypatch, small):
+    """Block wins, whatever the order of rows; of rules of one length the one with the longer host."""
+    monkeypatch.setattr(url_filter, "SMALL", small)
+    rows = spark.createDataFrame([(1, "http://a.com/x"), (2, "http://b.com/y")], "page_id long, url string")
+    lists = [("prefix", "allow", "a.com", "/x"), ("prefix", "block", "a.com", "/x"), ("exact", "allow", "b.com/y", ""), ("exact", "block", "b.com/y", ""), (None, None, None, None)]
+    for order in (lists, lists[::-1]):
+        got = url_filter.judge(rows, spark.createDataFrame(order, "kind string, verdict string, host string, path string")).collect()
+        assert {(r.page_id, r.rule, r.verdict) for r in got} == {(1, "a.com/x", "block"), (2, None, "block")}
+
+
 def test_bloom_has_no_false_negatives_and_few_false_positives(spark):
     keys = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"))
     filt = url_filter.bloom(keys, 188)
