@@ -9,6 +9,8 @@ Texts are lower-cased; runs of anything but letters count as one gap. A letter o
 Null texts, and texts without a letter, are `und` with score 0, as are all texts if nothing was learnt. Texts without a
 language are not learnt from. All learnable texts count: each task adds its own up, and only one vector for each task and
 language is summed; there is no bound on texts. At most MOST_LANGUAGES languages are told apart, else it is an error.
+Of cosines that tie the first language in order is predicted. Repeated rows count each and are predicted alike. Long
+texts are read in pieces that add up. An empty table gives an empty one. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

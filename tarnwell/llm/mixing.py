@@ -17,7 +17,10 @@ budget given, all totals are raised just so far that no domain has to be thinned
 Tokens are words between white space. Null and empty texts have none, no influence on the totals, and the rate that
 their form's posteriors give. Domains without a target have target 0; targets of domains that no labelled row has are
 left out, and the others keep their proportions. With no labelled rows, or no tokens, all rates are 1. A null doc_id is
-dealt like any other value. Training uses a bounded sample (PER_DOMAIN labelled documents of each domain, none over
+dealt like any other value. Repeated rows have the same rate and, with the same id, the same number of copies; of
+posteriors that tie the first domain in order is named; a document with several domains counts for the last in order.
+Long texts are read in pieces that add up. An empty table gives an empty one. Other columns, whatever their names, take
+no part, and the stage keeps them. Training uses a bounded sample (PER_DOMAIN labelled documents of each domain, none over
 MOST_BYTES); scoring and totals cover all rows.
 """
 

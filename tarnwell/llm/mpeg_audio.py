@@ -12,7 +12,9 @@ that depend on its allocation tables; they are counted as not checked), and give
 sample rate with the byte offset of each frame. Runs of frames with equal headers are read at once.
 
 Null and empty bytes are no stream: zero frames, all counts zero. A stream with no two fitting headers in a row is read
-only if its single frame ends at its end. Repeated rows have equal values. Nothing is cut short.
+only if its single frame ends at its end. Null and empty texts are a payload of one unit of bytes 255. Repeated rows have
+equal values; long texts are stored and read whole, one at a time. An empty table gives an empty one. Other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -342,10 +344,11 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = part.tobytes()
             rows = [raw[a:b] for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
             found = [parse(x) for x in rows]
+            sizes = [int(t) if (t := s.tags.get("n_bytes", "")).isdecimal() else None for s in found]
             cols = [[s.kind, s.rate, s.channels, s.frames, s.samples, s.samples / s.rate if s.rate else 0.0, s.crc_checked, s.crc_bad, s.skipped, s.vbr, s.toc, s.offsets, feature(s)] for s in found]
             meta = pa.StructArray.from_arrays([pa.array([c[i] for c in cols], k) for i, k in enumerate(kinds)], names)
             n = hi - lo
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, n), batch.column("n_bytes").slice(lo, n), media.slice(lo, n), pa.array([payload(x, s) for x, s in zip(rows, found, strict=True)], pa.binary()), meta], names=["doc_id", "n_bytes", "media", "payload", "meta"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, n), pa.array(sizes, pa.int64()), media.slice(lo, n), pa.array([payload(x, s) for x, s in zip(rows, found, strict=True)], pa.binary()), meta], names=["doc_id", "n_bytes", "media", "payload", "meta"])
 
 
 def encoded(docs: DataFrame) -> DataFrame:
@@ -355,14 +358,19 @@ def encoded(docs: DataFrame) -> DataFrame:
 
 
 def decoded(media: DataFrame) -> DataFrame:
-    """Adds the payload and `meta`, a struct of what the stream says, to (doc_id, n_bytes, media)."""
+    """(doc_id, media) with n_bytes by the stream's own tag (null without one), the payload, and `meta`, what the stream says."""
     C.ready(media.sparkSession)
-    return media.mapInArrow(C.lean(_decode), f"doc_id long, n_bytes long, media binary, payload binary, meta struct<{', '.join(x.replace(' ', ': ', 1) for x in META.split(', '))}>")
+    return media.select("doc_id", "media").mapInArrow(C.lean(_decode), f"doc_id long, n_bytes long, media binary, payload binary, meta struct<{', '.join(x.replace(' ', ': ', 1) for x in META.split(', '))}>")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op3: stores all documents as streams in the shared folder, reads them back and digests them."""
-    stored = C.Scratch(C.ready(spark), "mpeg-audio").table(encoded(C.load(spark, sf_dir, "documents")))
+    """op3: all documents."""
+    return digested(C.load(spark, sf_dir, "documents"))
+
+
+def digested(docs: DataFrame) -> DataFrame:
+    """Stores all documents as streams in the shared folder, reads them back and digests them; with durations and seek offsets."""
+    stored = C.Scratch(C.ready(docs.sparkSession), "mpeg-audio").table(encoded(docs).select("doc_id", "media"))
     back = decoded(stored)
     return back.select(
         "doc_id",
@@ -374,4 +382,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("media", 256).alias("media_sha256"),
         F.col("meta.feature").alias("feature"),
         F.col("meta.duration_s").alias("duration_s"),
+        F.col("meta.samples").alias("samples"),
+        F.col("meta.sample_rate").alias("sample_rate"),
+        F.col("meta.seek_offsets").alias("seek_offsets"),
     )

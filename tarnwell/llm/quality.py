@@ -7,6 +7,9 @@ probabilities come the expected grade and the choice of documents: those with P(
 Learnt from a bounded sample (PER_GRADE rated documents of each grade, by hash of their ids; texts over MOST_BYTES are
 not learnt from); all texts are scored whole. Null and empty texts have no words and are graded by form alone. Grades
 that no rating has take no part. With no ratings the expected grade is 0 and nothing is kept; with a single grade, that.
+Repeated rows are graded alike; of ratings that disagree the highest counts; of rows that share an id the first text in
+order is learnt from. Long texts are read in pieces that add up. An empty table gives an empty one. Other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -5,13 +5,17 @@ their kind and penalises the squared change of the score, so that naming a group
 
 Learnt from a bounded sample (PER_CLASS labelled documents of each label, by hash of their ids; texts over MOST_BYTES
 are not learnt from); all texts are scored whole. Null and empty texts have no words and get the score of their form
-alone. A null doc_id counts as not held out. With no labels, or one value only, the score is the base rate.
+alone. A null doc_id counts as not held out. With no labels, or one value only, the score is the base rate. Repeated rows
+are scored alike; a document with labels that disagree counts as toxic; of rows that share an id the first text in order
+is learnt from. Long texts are read in pieces that add up. An empty table gives an empty one. Other columns, whatever
+their names, are left out of scores, and stay in the pipeline's stage.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -75,11 +79,11 @@ def fit(texts: list[bytes], y: np.ndarray, weight: np.ndarray, *, terms=IDENTITY
     return L.Model(chosen, out[0], out[1], out[2], out[4], out[5], out[3])
 
 
-def trained(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, most_bytes: int = MOST_BYTES) -> L.Model:
-    """The model from documents and labels (doc_id, toxic)."""
+def trained(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS, most_bytes: int = MOST_BYTES, terms=IDENTITY_TERMS, bind: float = BIND) -> L.Model:
+    """The model from documents and labels (doc_id, toxic); bind: the weight of the penalty on swapped `terms`."""
     C.ready(docs.sparkSession)
     sample = L.labelled_sample(docs, labels.select(F.col("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)"), "toxic", per_class, most_bytes)
-    return L.fitted(sample, fit, ["toxic", "weight"])
+    return L.fitted(sample, partial(fit, terms=terms, bind=bind), ["toxic", "weight"])
 
 
 def score(docs: DataFrame, model: L.Model) -> DataFrame:

@@ -1,7 +1,9 @@
 """The classifiers, mixing, vectors, URL rules and audio: against plain versions, planted cases and held-out labels."""
 
+import hashlib
 import random
 import struct
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -70,6 +72,81 @@ def test_toxicity_odd_rows_and_no_labels(spark, odd, empty):
         assert kept.columns == odd.columns and kept.count() == sum(r.score < 0.5 for r in got)
 
 
+def plain_matrix(texts):
+    """Feature values by word, one text at a time, and the measures of form; features by their numbers."""
+    rows, forms = [], []
+    for t in texts:
+        words = [w.lower() for w in t.split()]
+        kept = [w for i, w in enumerate(words) if i == 0 or w != words[i - 1]]
+        row = Counter()
+        for w in kept:
+            bare = w
+            for _ in range(3):
+                if len(bare) > 1 and bare[-1:] in b".,;:!?\"')]}":
+                    bare = bare[:-1]
+            parts = [(bare, 0)] + [(w[:n], n) for n in linear.PREFIXES if len(w) >= n] + [(w[-3:], 99)]
+            for part, seed in parts:
+                pad = np.frombuffer(part + bytes(8), np.uint8)
+                row[int(C.span_hashes(pad, np.array([0]), np.array([len(part)]), seed)[0]) >> (64 - linear.BITS)] += 1
+            row[0] += sum(len(w) < n for n in linear.PREFIXES)
+        rows.append({k: v / max(1, len(kept)) ** 0.5 for k, v in row.items()})
+        n, k = max(1, len(t)), max(1, len(words))
+        forms.append([sum(65 <= c <= 90 for c in t) / n, sum(48 <= c <= 57 for c in t) / n, sum(33 <= c <= 47 or 58 <= c <= 64 or 91 <= c <= 96 or 123 <= c <= 126 for c in t) / n, (len(words) - len(kept)) / k, sum(min(len(w), 40) for w in words) / k / 10, np.log1p(len(words)) / 10, min(len(words), 20) / 20, t.count(10) / k])
+    return rows, np.array(forms)
+
+
+def test_features_and_scores_against_a_plain_version(patched):
+    texts = [prose(i, 5 + i, 40).encode() + b" Two, two! 12\n(x) " * (i % 3) for i in range(40)] + [b"", b" \n", b"a" * 100 + b" b b"]
+    rows, form = plain_matrix(texts)
+    y = np.arange(len(texts)) % 2
+    chosen = linear.choose(texts, y, 10**6, least=1)
+    assert chosen.tolist() == sorted({k for r in rows for k in r})
+    x, got_form = linear.sparse(texts, chosen)
+    dense = np.zeros((len(texts), len(chosen)))
+    np.add.at(dense, (x.row, x.col), x.val)
+    want = np.array([[r.get(k, 0.0) for k in chosen.tolist()] for r in rows])
+    assert np.allclose(dense, want) and np.allclose(got_form, form)
+    rng = np.random.default_rng(1)
+    m = linear.Model(chosen, rng.normal(size=(len(chosen), 2)), rng.normal(size=(8, 2)), np.array([0.5, -1.0]), form.mean(0), np.ones(8), np.zeros(0))
+    plain = want @ m.weights + (form - m.mean) @ m.form + m.bias
+    column = pa.array([t.decode() for t in texts])
+    assert np.allclose(linear.scored(m, column), plain)
+    patched(C, BLOCK=64)  # long texts in pieces give the same
+    assert np.allclose(linear.scored(m, column), plain)
+
+
+def test_toxicity_fit_against_a_plain_logistic_fit():
+    """Both minimise the same function; the plain one by many steps of gradient descent on a dense matrix."""
+    texts, y = toxic_texts(120)
+    model = toxicity.fit(texts, y, np.ones(len(y)), bind=0.0, most=300)
+    x, form = linear.sparse(texts, model.ids)
+    dense = np.zeros((len(texts), len(model.ids)))
+    np.add.at(dense, (x.row, x.col), x.val)
+    a = np.concatenate((dense, (form - model.mean) / model.scale, np.ones((len(y), 1))), 1)
+    w = np.zeros(a.shape[1])
+    for _ in range(4000):
+        w -= 0.3 * (a.T @ (toxicity.sigmoid(a @ w) - y)) / len(y)
+    ours = toxicity.sigmoid(a @ np.concatenate((model.weights[:, 0], model.form[:, 0], model.bias)))
+    plain = toxicity.sigmoid(a @ w)
+    assert np.corrcoef(ours, plain)[0, 1] > 0.97 and ((ours >= 0.5) == (plain >= 0.5)).mean() > 0.97
+    assert -np.log(np.where(y == 1, ours, 1 - ours)).mean() <= -np.log(np.where(y == 1, plain, 1 - plain)).mean() + 0.01
+
+
+def test_toxicity_query_spares_groups(spark, tmp_path):
+    """Identity terms planted in toxic documents: the query's penalty lowers the scores of clean mentions."""
+    texts, y = toxic_texts(400)
+    rows = [(i, t.decode(), "en") for i, t in enumerate(texts)] + [(1000 + i, prose(5000 + i, 25, 80) + " women", "en") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "doc_id long, toxic int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: r for r in toxicity.query(spark, str(tmp_path)).collect()}
+    assert np.mean([got[i].predicted == y[i] for i in range(400) if got[i].held_out]) > 0.9
+    plain = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.trained(docs, labels.where(~toxicity.held_out()), bind=0.0)).collect()}
+    mean = lambda score: np.mean([score(1000 + i) for i in range(20)])
+    assert mean(lambda i: got[i].score) < 0.7 * mean(plain.get) and all(got[1000 + i].predicted == 0 for i in range(20))
+
+
 # --- language -------------------------------------------------------------------------------------------------------
 
 
@@ -87,6 +164,33 @@ def test_language_vector_is_the_sum_of_bound_trigrams():
     assert np.allclose(language.vector("Abba  é1x"), want)
 
 
+def test_language_against_a_plain_classifier(spark, patched):
+    """Prototypes as sums of normed vectors less their mean, and the greatest cosine, one document at a time."""
+    docs = C.load(spark, SMALL, "documents").select("doc_id", "text", "lang").collect()
+    sums = {}
+    for r in docs:
+        if zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and (v := language.vector(r.text)) is not None:
+            sums[r.lang] = sums.get(r.lang, 0) + v.astype(float) / np.linalg.norm(v)
+    names = sorted(sums)
+    p = np.array([sums[x] / np.linalg.norm(sums[x]) for x in names])
+    p -= p.mean(0)
+    p /= np.linalg.norm(p, axis=1, keepdims=True)
+    got = {r.doc_id: r for r in language.query(spark, SMALL).collect()}
+    for r in docs:
+        v = language.vector(r.text)
+        cosine = p @ v / np.linalg.norm(v)
+        assert got[r.doc_id].lang_pred == names[int(np.argmax(cosine))] and abs(got[r.doc_id].score - (1 + cosine.max()) / 2) < 1e-4
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
+def test_language_long_texts_in_pieces(monkeypatch):
+    text = " ".join(r for _, r in odd_rows() if r) + " 한국어 ΣΑΣ ελληνικά" * 30
+    whole = language.trigrams(text)
+    monkeypatch.setattr(language, "PIECE", 300)
+    pieces = language.trigrams(text)
+    assert (whole[0] == pieces[0]).all() and (whole[1] == pieces[1]).all()
+
+
 def test_language_odd_rows(spark, odd, empty):
     learnt = language.prototypes(table(spark, [(1, "aaa bbb"), (2, None), (3, "12")]).withColumn("lang", F.when(F.col("doc_id") < 3, F.lit("x"))))
     assert learnt[0] == ["x"]
@@ -150,6 +254,33 @@ def test_quality_odd_rows_and_single_grade(spark, odd, empty):
         assert quality.grade_documents(empty, model, grades, level=1).count() == 0
 
 
+def test_quality_fit_against_a_plain_cumulative_link_fit():
+    """The same likelihood, minimised by plain gradient descent with differences for the thresholds."""
+    texts = [(prose(i, 20, 50) + " bad" * (2 - i % 3) + " fine" * (i % 3)).encode() for i in range(150)]
+    grade = np.arange(150) % 3
+    model, _ = quality.fit(texts, grade, np.ones(150), most=200)
+    x, form = linear.sparse(texts, model.ids)
+    a = np.zeros((150, len(model.ids)))
+    np.add.at(a, (x.row, x.col), x.val)
+    a = np.concatenate((a, (form - model.mean) / model.scale), 1)
+    likely = lambda z, c: (lambda t: t[np.arange(150), grade] - t[np.arange(150), grade + 1])(np.concatenate((np.ones((150, 1)), toxicity.sigmoid(z[:, None] - c[None]), np.zeros((150, 1))), 1))
+    w, c = np.zeros(a.shape[1]), np.array([-1.0, 1.0])
+    loss = lambda z, c: -np.log(np.maximum(likely(z, c), 1e-12)).mean()
+    for _ in range(1500):
+        z = a @ w
+        up = toxicity.sigmoid(z[:, None] - c[None])
+        t = np.concatenate((np.ones((150, 1)), up, np.zeros((150, 1))), 1)
+        s = t * (1 - t)
+        row = np.arange(150)
+        g = -(s[row, grade] - s[row, grade + 1]) / np.maximum(likely(z, c), 1e-9)
+        dc = np.array([(loss(z, c + e) - loss(z, c - e)) / 2e-5 for e in np.eye(2) * 1e-5])
+        w -= 0.3 * (a.T @ g) / 150
+        c -= 0.3 * dc
+    ours = a @ np.concatenate((model.weights[:, 0], model.form[:, 0])) + model.bias[0]
+    assert loss(ours, quality.cuts(model.extra)) <= loss(a @ w, c) + 0.02
+    assert np.corrcoef(ours, a @ w)[0, 1] > 0.9
+
+
 # --- mixing ---------------------------------------------------------------------------------------------------------
 
 
@@ -304,6 +435,12 @@ def test_embeddings_of_several_lengths(spark):
         assert sum(r.n_links for r in mine) >= 0.99 * n.sum() and (np.array([r.n_links for r in mine]) <= n).all()
 
 
+def test_embeddings_sql(spark, duck):
+    from ..compare import duck_rows, rows_of
+
+    assert rows_of(embedding_dedup.query(spark, SMALL)) == duck_rows(duck, embedding_dedup.sql())
+
+
 def test_embeddings_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [1.0, None]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [1.0]), (9, []), (10, [0.0, 1.0]), (None, [1.0, 0.1]), (11, [1e-30, 0.0])]
@@ -381,6 +518,22 @@ def test_audio_round_trip_of_odd_texts(spark, odd, empty):
     assert mpeg_audio.decoded(mpeg_audio.encoded(empty)).count() == 0
 
 
+def test_audio_query_digests(spark, odd, empty):
+    """Every column against hashlib and zlib, and seek offsets against the stored bytes."""
+    found = Counter()
+    for i, t in odd_rows():
+        raw = (t or "").encode()
+        payload = raw + b"\xff" * (-len(raw) % 576 or (0 if raw else 576))
+        media = mpeg_audio.store(payload, len(raw))
+        found[i, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest()] += 1
+    got = mpeg_audio.digested(odd).collect()
+    assert Counter(tuple(r)[:7] for r in got) == found
+    for r in got:
+        assert r.samples == r.payload_bytes and abs(r.duration_s - r.samples / r.sample_rate) < 1e-9 and f"duration={r.samples}/{r.sample_rate}s" in r.feature
+        assert len(r.seek_offsets) * 576 == r.payload_bytes and r.seek_offsets[-1] + 648 + 128 == r.media_bytes and set(np.diff(r.seek_offsets)) <= {648}
+    assert mpeg_audio.digested(empty).count() == 0
+
+
 def frame(version, layer, bits, rate, mode=0, crc=False, pad=0, fill=0x55):
     word = 0x7FF << 21 | version << 19 | (4 - layer) << 17 | (not crc) << 16 | bits << 12 | rate << 10 | pad << 9 | mode << 6
     h = mpeg_audio.header(word)

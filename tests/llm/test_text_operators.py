@@ -13,6 +13,7 @@ import pytest
 from tarnwell.llm import common as C
 from tarnwell.llm import ngram_join, packing, suffix_dedup
 
+from ..conftest import SMALL
 from .conftest import odd_rows, prose, table
 
 
@@ -180,6 +181,12 @@ def test_ngram_join_long_texts(spark, patched):
     assert Counter(map(tuple, ngram_join.near_groups(table(spark, rows), k=4, num=85, den=100).collect())) == groups(rows, 4, 85, 100)
 
 
+def test_ngram_join_sql(spark, duck):
+    from ..compare import duck_rows, rows_of
+
+    assert rows_of(ngram_join.query(spark, SMALL)) == duck_rows(duck, ngram_join.sql())
+
+
 def test_near_stage(spark, empty):
     rows = near_rows()
     keep = {i for i, _, c in groups(rows, 5, 80, 100) if i == c}
