@@ -134,8 +134,8 @@ def test_toxicity_fit_against_a_plain_logistic_fit():
 
 def test_toxicity_query_spares_groups(spark, tmp_path):
     """Identity terms planted in toxic documents: the query's penalty lowers the scores of clean mentions."""
-    texts, y = toxic_texts(400)
-    rows = [(i, t.decode(), "en") for i, t in enumerate(texts)] + [(1000 + i, prose(5000 + i, 25, 80) + " women", "en") for i in range(20)]
+    texts, y = toxic_texts(400, "muslims")
+    rows = [(i, t.decode(), "en") for i, t in enumerate(texts)] + [(1000 + i, prose(5000 + i, 25, 80) + " muslims", "en") for i in range(20)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "doc_id long, toxic int")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
