@@ -29,11 +29,16 @@ class Words:
 
 
 def z_scores(df: DataFrame, by: str, value: str) -> DataFrame:
-    """(by, key, z) of rows within their group; groups must fit a task. Columns: by, event_id, value."""
+    """df with z, each value's distance from its group's mean in standard deviations. Groups are summed before the shuffle."""
+    stats = df.groupBy(F.col(by).alias("_by")).agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_sd"))
+    return df.join(stats, F.col(by).eqNullSafe(F.col("_by"))).withColumn("z", (F.col(value) - F.col("_mean")) / F.nullif(F.col("_sd"), F.lit(0.0))).drop("_by", "_mean", "_sd")
+
+
+def smoothed(df: DataFrame, by: str, order: list[str], value: str, weight: float) -> DataFrame:
+    """(by, last): each group's exponentially smoothed value after its last row. A group is one task's, so it must be bounded."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf[value]
-        pdf["z"] = ((x - x.mean()) / x.std(ddof=0)).round(6)
-        return pdf[[by, "event_id", "z"]]
+        pdf = pdf.sort_values(order)
+        return pd.DataFrame({by: pdf[by].iloc[:1], "last": [pdf[value].ewm(alpha=weight, adjust=False).mean().iloc[-1]]})
 
-    return df.groupBy(by).applyInPandas(run, f"{by} string, event_id long, z double")
+    return df.select(by, *order, value).groupBy(by).applyInPandas(run, f"{by} {df.schema[by].dataType.simpleString()}, last double")

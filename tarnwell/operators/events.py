@@ -15,10 +15,19 @@ def sessions(df: DataFrame, by: str, time: str, gap_seconds: int) -> DataFrame:
 
 
 def funnel(df: DataFrame, by: str, time: str, kind: str, steps: list[str]) -> DataFrame:
-    """For each key how many of the steps it took in this order; each step after the first use of the one before."""
-    out = df.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(time, kind))).alias("_all"))
-    at = F.aggregate("_all", F.lit(0), lambda n, e: F.when(e[kind] == F.element_at(F.array(*(F.lit(s) for s in [*steps, ""])), n + 1), n + 1).otherwise(n))
-    return out.select(by, at.alias("depth"))
+    """For each key how many of the steps it took in this order; each step strictly after the first use of the one before.
+
+    Only events that are steps are gathered; a key without any has depth 0.
+    """
+    used = F.collect_list(F.when(F.col(kind).isin(steps), F.struct(F.col(time).alias("t"), F.col(kind).alias("k"))))
+    names = F.array(*(F.lit(s) for s in [*steps, ""]))
+    start = F.struct(F.lit(0).alias("n"), F.lit(None).cast(df.schema[time].dataType).alias("t"))
+
+    def step(s, e):
+        taken = (e["k"] == F.element_at(names, s["n"] + 1)) & (s["t"].isNull() | (e["t"] > s["t"]))
+        return F.struct(F.when(taken, s["n"] + 1).otherwise(s["n"]).alias("n"), F.when(taken, e["t"]).otherwise(s["t"]).alias("t"))
+
+    return df.groupBy(by).agg(F.array_sort(used).alias("_used")).select(by, F.aggregate("_used", start, step)["n"].alias("depth"))
 
 
 def rollup_by_time(df: DataFrame, time: str, width: str, by: list[str], value: str) -> DataFrame:

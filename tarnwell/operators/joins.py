@@ -33,16 +33,44 @@ def range_join(left: DataFrame, right: DataFrame, *, value: str, low: str, high:
     return points.join(spans, on, how).drop("_bucket", "_span")
 
 
-def salted_join(big: DataFrame, small: DataFrame, on: str, salts: int) -> DataFrame:
-    """An inner join on one key of which a few values have most rows: those rows are dealt over `salts` partitions."""
-    a = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)))
-    b = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("_salt", F.col("_salt").cast("long"))
+def salted_join(big: DataFrame, small: DataFrame, on: str, salts: int, share: float = 0.05) -> DataFrame:
+    """An inner join on one key of which a few values have most rows.
+
+    Values with at least `share` of the big side's rows, at most 1/share of them, are dealt over `salts` partitions, and
+    only their rows of the small side are repeated; all others are joined as they are.
+    """
+    counts = big.where(F.col(on).isNotNull()).groupBy(on).count()
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    hot = [r[0] for r in counts.where(F.col("count") >= max(2, share * total)).select(on).collect()]
+    if not hot:
+        return big.join(small, on)
+    is_hot = F.col(on).isin(hot)
+    a = big.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(*big.columns), F.lit(salts))).otherwise(0).cast("int"))
+    b = small.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
     return a.join(b, [on, "_salt"]).drop("_salt")
 
 
-def interval_join(left: DataFrame, right: DataFrame, *, by: str, left_time: str, right_time: str, within: str) -> DataFrame:
-    """Pairs of the same key whose right time is after the left one by at most an interval."""
-    return left.join(right, by).where((F.col(right_time) > F.col(left_time)) & (F.col(right_time) <= F.col(left_time) + F.expr(f"INTERVAL {within}")))
+def interval_join(left: DataFrame, right: DataFrame, *, by: str, left_time: str, right_time: str, seconds: int) -> DataFrame:
+    """Pairs of the same key whose right time is after the left one by at most so many seconds.
+
+    Joined by the key and a bucket of that width: a left row can meet right ones in its own bucket and the next, so a
+    key with very many rows makes pairs only within its buckets.
+    """
+    bucket = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / F.lit(seconds * 1_000_000)).cast("long")
+    a = left.withColumn("_bucket", F.explode(F.array(bucket(left_time), bucket(left_time) + 1)))
+    b = right.withColumn("_bucket", bucket(right_time))
+    ahead = F.unix_micros(F.col(right_time).cast("timestamp")) - F.unix_micros(F.col(left_time).cast("timestamp"))
+    return a.join(b, [by, "_bucket"]).where((ahead > 0) & (ahead <= seconds * 1_000_000)).drop("_bucket")
+
+
+def nearest_vectors(queries: DataFrame, vectors: DataFrame, *, id_col: str, vector_col: str, k: int, cosine) -> DataFrame:
+    """For each row of a stated, bounded query set the k nearest other rows by cosine; ties go to the smaller id.
+
+    Each task keeps k rows a query, so what is shuffled is queries times k for each task, never all pairs.
+    """
+    q = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("_query"))
+    pairs = vectors.join(F.broadcast(q), F.col("query_id") != F.col(id_col)).select("query_id", F.col(id_col).alias("found_id"), cosine(F.col("_query"), F.col(vector_col)).alias("score"))
+    return top_per_group(pairs.where("score is not null"), ["query_id"], [F.desc("score"), F.asc("found_id")], k)
 
 
 def top_per_group(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:

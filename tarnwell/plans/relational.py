@@ -5,17 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..operators import joins
-from ..sources.tables import load, register
+from ..sources.tables import load
 from .registry import query
 
 
-def _sql(spark: SparkSession, sf_dir: str, text: str, *names: str) -> DataFrame:
-    """A query by Spark SQL over temporary views."""
-    register(spark, sf_dir, *names)
-    return spark.sql(text)
-
-
 @query("""
 SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base,
        round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, round(avg(l_discount), 6) AS avg_disc, count(*) AS n
@@ -114,7 +109,7 @@ def q10_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = load(spark, sf_dir, "events")
     a = e.where("event_type = 'click'").select("user_id", F.col("ts").alias("click_ts"), F.col("event_id").alias("click_id"))
     b = e.where("event_type = 'purchase'").select("user_id", F.col("ts").alias("purchase_ts"), F.col("event_id").alias("purchase_id"))
-    return joins.interval_join(a, b, by="user_id", left_time="click_ts", right_time="purchase_ts", within="2 HOURS").select("click_id", "purchase_id")
+    return joins.interval_join(a, b, by="user_id", left_time="click_ts", right_time="purchase_ts", seconds=7200).select("click_id", "purchase_id")
 
 
 @query("SELECT n_name, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
@@ -126,11 +121,14 @@ def q11_salted_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_partkey, p_retailprice FROM part p WHERE p_retailprice > (SELECT avg(p_retailprice) FROM part q WHERE q.p_brand = p.p_brand)")
 def q12_correlated_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sql(spark, sf_dir, "SELECT p_partkey, p_retailprice FROM part p WHERE p_retailprice > (SELECT avg(p_retailprice) FROM part q WHERE q.p_brand = p.p_brand)", "part")
+    p, q = load(spark, sf_dir, "part").alias("p"), load(spark, sf_dir, "part").alias("q")
+    mean = q.where(F.col("q.p_brand") == F.col("p.p_brand").outer()).select(F.avg("q.p_retailprice"))
+    return p.where(F.col("p.p_retailprice") > mean.scalar()).select("p_partkey", "p_retailprice")
 
 
 @query("SELECT c_custkey, o_orderkey, o_totalprice FROM customer, LATERAL (SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) t")
 def q13_lateral_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As a join and a window: Spark limits each group before the shuffle. q36 has the lateral form."""
     rows = load(spark, sf_dir, "customer").join(load(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"))
     return joins.top_per_group(rows, ["c_custkey"], [F.desc("o_totalprice"), F.asc("o_orderkey")], 2).select("c_custkey", "o_orderkey", "o_totalprice")
 
@@ -176,7 +174,8 @@ _SETS = "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY
 
 @query(_SETS)
 def q19_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sql(spark, sf_dir, _SETS, "lineitem")
+    flag, status = F.col("l_returnflag"), F.col("l_linestatus")
+    return load(spark, sf_dir, "lineitem").groupingSets([[flag], [status], []], flag, status).agg(F.count("*").alias("n"))
 
 
 @query("""
@@ -221,9 +220,10 @@ SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_
        count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS in_day FROM events
 """)
 def q24_window_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = """SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 4) AS last_four,
-       count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS in_day FROM events"""
-    return _sql(spark, sf_dir, text, "events")
+    e = load(spark, sf_dir, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    rows = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-3, 0)
+    day = Window.partitionBy("user_id").orderBy("us").rangeBetween(-86_400_000_000, 0)
+    return e.select("event_id", F.round(F.sum("value").over(rows), 4).alias("last_four"), F.count("*").over(day).alias("in_day"))
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 5")
@@ -263,3 +263,138 @@ def q30_having_broadcast(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = load(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n_cust"), F.sum("c_acctbal").alias("bal")).where("n_cust > 1")
     nations = load(spark, sf_dir, "nation").join(load(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))  # 25 rows: Spark broadcasts them by size
     return sums.join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select("r_name", "n_name", "n_cust", F.round("bal", 2).alias("bal"))
+
+
+@query("SELECT n_name, c_custkey FROM (SELECT * FROM customer WHERE c_acctbal > 9000) c RIGHT JOIN nation ON c_nationkey = n_nationkey")
+def q31_right_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rich = load(spark, sf_dir, "customer").where("c_acctbal > 9000")
+    return rich.join(load(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "right").select("n_name", "c_custkey")
+
+
+@query("SELECT r_name, n_name FROM region CROSS JOIN nation")
+def q32_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tables of the schema that never grow."""
+    return load(spark, sf_dir, "region").crossJoin(load(spark, sf_dir, "nation")).select("r_name", "n_name")
+
+
+@query("""
+SELECT s_suppkey, CAST(count(*) AS BIGINT) AS n, round(sum(l_extendedprice), 2) AS total FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey
+WHERE p_size > 10 GROUP BY s_suppkey
+""")
+def q33_join_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A merge join with the parts, a hash join built of the suppliers; hints that hold at any size."""
+    rows = load(spark, sf_dir, "lineitem").join(load(spark, sf_dir, "part").where("p_size > 10").hint("merge"), F.col("l_partkey") == F.col("p_partkey"))
+    rows = rows.join(load(spark, sf_dir, "supplier").hint("shuffle_hash"), F.col("l_suppkey") == F.col("s_suppkey"))
+    return rows.groupBy("s_suppkey").agg(F.count("*").alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("total"))
+
+
+@query("SELECT p_partkey FROM part WHERE nullif(p_size, 7) IN (SELECT s_suppkey FROM supplier)")
+def q34_in_with_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = load(spark, sf_dir, "supplier").select("s_suppkey")
+    return load(spark, sf_dir, "part").where(F.nullif(F.col("p_size"), F.lit(7)).isNotNull()).join(keys, F.nullif(F.col("p_size"), F.lit(7)) == F.col("s_suppkey"), "left_semi").select("p_partkey")
+
+
+_NOT_IN = """
+SELECT 'without' AS side, p_partkey FROM part WHERE nullif(p_size, 7) NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey < 5)
+UNION ALL SELECT 'with', p_partkey FROM part WHERE p_size NOT IN (SELECT nullif(s_suppkey, 3) FROM supplier WHERE s_suppkey < 5)
+"""
+
+
+@query(_NOT_IN)
+def q35_not_in_with_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null on the left is left out, and one on the right leaves nothing: said by joins rather than a null-aware anti-join."""
+    parts, keys = load(spark, sf_dir, "part"), load(spark, sf_dir, "supplier").where("s_suppkey < 5")
+    size = F.nullif(F.col("p_size"), F.lit(7))
+    without = parts.where(size.isNotNull()).join(keys, size == F.col("s_suppkey"), "left_anti").select(F.lit("without").alias("side"), "p_partkey")
+    nulled = keys.select(F.nullif(F.col("s_suppkey"), F.lit(3)).alias("k"))
+    some_null = nulled.where("k is null").limit(1)
+    kept = parts.join(nulled, F.col("p_size") == F.col("k"), "left_anti").join(some_null.select(F.lit(1).alias("one")), F.lit(1) == F.col("one"), "left_anti")
+    return without.union(kept.select(F.lit("with").alias("side"), "p_partkey"))
+
+
+@query("SELECT n_name, c_custkey, c_acctbal FROM nation, LATERAL (SELECT c_custkey, c_acctbal FROM customer WHERE c_nationkey = n_nationkey ORDER BY c_acctbal DESC, c_custkey LIMIT 3) t")
+def q36_lateral_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inner = load(spark, sf_dir, "customer").where(F.col("c_nationkey") == F.col("n_nationkey").outer()).orderBy(F.desc("c_acctbal"), "c_custkey").limit(3)
+    return load(spark, sf_dir, "nation").lateralJoin(inner.select("c_custkey", "c_acctbal")).select("n_name", "c_custkey", "c_acctbal")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%a%e_' OR p_brand NOT LIKE 'Brand#_' AND p_name ILIKE 'B%'")
+def q37_like(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.col("p_name")
+    return load(spark, sf_dir, "part").where(name.like("%a%e_") | ~F.col("p_brand").like("Brand#_") & name.ilike("B%")).select("p_partkey", "p_name")
+
+
+@query("""
+WITH c AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, lang) AS k FROM c)
+SELECT source, lang AS most_common, CAST(n AS BIGINT) AS n FROM r WHERE k = 1
+""")
+def q38_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most frequent value of each group; of ties the first in order, which F.mode leaves open."""
+    counts = load(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"))
+    best = counts.groupBy("source").agg(F.min_by(F.struct("lang", "n"), F.struct(-F.col("n"), F.col("lang"))).alias("b"))
+    return best.select("source", F.col("b.lang").alias("most_common"), F.col("b.n").alias("n"))
+
+
+@query("""
+SELECT user_id, list_sort(list(DISTINCT event_type)) AS kinds, arg_min(event_type, event_id) AS first_kind, CAST(count(DISTINCT event_type) AS INT) AS n FROM events GROUP BY user_id
+""")
+def q39_sets_and_min_by(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = F.sort_array(F.collect_set("event_type"))
+    return load(spark, sf_dir, "events").groupBy("user_id").agg(kinds.alias("kinds"), F.min_by("event_type", "event_id").alias("first_kind"), F.size(kinds).alias("n"))
+
+
+@query("""
+SELECT event_type, count(*) AS n, true AS median_near, true AS distinct_near, true AS histogram_whole FROM events GROUP BY event_type
+""")
+def q40_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches against exact figures: the rank of the approximate median, the distinct count, the histogram's mass."""
+    e = load(spark, sf_dir, "events")
+    drawn = e.groupBy("event_type").agg(
+        F.count("*").alias("n"),
+        F.approx_percentile("value", 0.5, 1000).alias("median"),
+        F.hll_sketch_estimate(F.hll_sketch_agg("user_id", 14)).alias("users"),
+        F.aggregate(F.histogram_numeric("value", F.lit(20)), F.lit(0.0), lambda s, b: s + b["y"]).alias("mass"),
+    )
+    exact = e.join(F.broadcast(drawn.select("event_type", "median")), "event_type").groupBy("event_type").agg(F.count_if(F.col("value") <= F.col("median")).alias("below"), F.count_if(F.col("value") < F.col("median")).alias("under"), F.countDistinct("user_id").alias("true_users"))
+    near = (F.col("below") >= F.col("n") * 0.499 - 1) & (F.col("under") <= F.col("n") * 0.501 + 1)
+    return drawn.join(exact, "event_type").select("event_type", "n", near.alias("median_near"), (F.abs(F.col("users") - F.col("true_users")) <= 0.05 * F.col("true_users") + 1).alias("distinct_near"), (F.abs(F.col("mass") - F.col("n")) < 1e-6 * F.col("n")).alias("histogram_whole"))
+
+
+@query("SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 5000 INTERSECT SELECT s_nationkey FROM supplier")
+def q41_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "customer").where("c_acctbal > 5000").select(F.col("c_nationkey").alias("k")).intersect(load(spark, sf_dir, "supplier").select("s_nationkey"))
+
+
+@query("SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 0")
+def q42_except(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k")).subtract(load(spark, sf_dir, "supplier").where("s_acctbal > 0").select("s_nationkey"))
+
+
+@query("SELECT c_name AS name, c_acctbal AS balance, c_mktsegment AS segment FROM customer UNION ALL SELECT s_name, s_acctbal, NULL FROM supplier")
+def q43_union_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = load(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
+    b = load(spark, sf_dir, "supplier").select(F.col("s_acctbal").alias("balance"), F.col("s_name").alias("name"))
+    return a.unionByName(b, allowMissingColumns=True)
+
+
+@query("SELECT count(*) AS n, true AS near, true AS again FROM orders")
+def q44_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A seeded sample: about a fifth of the rows, none of them twice."""
+    o = load(spark, sf_dir, "orders").select("o_orderkey")
+    drawn = o.sample(fraction=0.2, seed=9).agg(F.count("*").alias("m"), F.countDistinct("o_orderkey").alias("d"))
+    bound = 6 * F.sqrt(F.col("n") * 0.16) + 1
+    return o.agg(F.count("*").alias("n")).join(drawn).select("n", (F.abs(F.col("m") - 0.2 * F.col("n")) <= bound).alias("near"), (F.col("m") == F.col("d")).alias("again"))
+
+
+@query("""
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+p AS (SELECT a.vec_id AS query_id, b.vec_id AS found_id, list_cosine_similarity(a.v, b.v) AS c FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, found_id) AS k FROM p)
+SELECT query_id, found_id, round(c, 6) AS score FROM r WHERE k <= 5
+""")
+def q45_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of all vectors to each whose id is divisible by 50."""
+    e = load(spark, sf_dir, "embeddings")
+    rounded = lambda a, b: F.round(text.cosine(a, b), 9)
+    found = joins.nearest_vectors(e.where("vec_id % 50 = 0"), e, id_col="vec_id", vector_col="embedding", k=5, cosine=rounded)
+    return found.select("query_id", "found_id", F.round("score", 6).alias("score"))

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,9 +60,11 @@ def t06_stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n", "total")
 
 
-@query("SELECT event_id, event_type, value FROM events")
+@query("SELECT DISTINCT event_id, event_type, value FROM (SELECT * FROM events UNION ALL SELECT * FROM events WHERE event_type <> 'view')")
 def t07_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.finished(spark, windows.deduplicated(windows.stream(spark, sf_dir)), "append").select("event_id", "event_type", "value")
+    """Most events come twice, by two sources."""
+    both = windows.stream(spark, sf_dir).union(windows.stream(spark, sf_dir).where("event_type <> 'view'"))
+    return windows.finished(spark, windows.deduplicated(both), "append").select("event_id", "event_type", "value")
 
 
 @query("SELECT user_id, event_id, value FROM events WHERE event_type = 'error' AND value > 50")
@@ -75,9 +73,33 @@ def t08_stream_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.finished(spark, rows, "append")
 
 
+@query(_SESSIONS + "SELECT user_id, min(ts) AS began, count(*) AS n FROM b GROUP BY user_id, session")
+def t09_stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = windows.finished(spark, windows.sessions(windows.stream(spark, sf_dir)), "complete")
+    return out.select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("began"), "n")
+
+
+@query("""
+SELECT a.event_id AS click_id, b.event_id AS purchase_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR
+WHERE a.event_type = 'click' AND b.event_type = 'purchase'
+""")
+def t10_stream_stream_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    of = lambda kind, ts, name: windows.stream(spark, sf_dir).where(F.col("event_type") == kind).select("user_id", F.col("ts").alias(ts), F.col("event_id").alias(name))
+    pairs = windows.followed(of("click", "left_ts", "click_id"), of("purchase", "right_ts", "purchase_id"), by="user_id", seconds=3600)
+    return windows.finished(spark, pairs.select("click_id", "purchase_id"), "append")
+
+
+@query("""
+WITH a AS (SELECT *, CASE WHEN value > lag(value) OVER w THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM a), c AS (SELECT user_id, run, count(*) AS n FROM b GROUP BY ALL)
+SELECT user_id, CAST(sum(n) AS BIGINT) AS n, CAST(max(n) AS BIGINT) AS longest FROM c GROUP BY user_id
+""")
+def t11_stream_custom_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.finished(spark, windows.longest_runs(windows.stream(spark, sf_dir)), "update", ["user_id"])
+
+
 def _round_trip(spark: SparkSession, df: DataFrame, fmt: str, schema: str | None, **options: str) -> DataFrame:
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "tarnwell-files")
-    path = f"{base.rstrip('/')}/{fmt}-{uuid.uuid4().hex}"
+    path = tables.shared_path(spark, fmt)
     tables.write(df, path, fmt, **options)
     return tables.read(spark, path, fmt, schema, **options)
 
@@ -99,7 +121,16 @@ def s03_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY o_orderstatus")
 def s04_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "tarnwell-files")
-    path = f"{base.rstrip('/')}/parts-{uuid.uuid4().hex}"
+    path = tables.shared_path(spark, "parts")
     tables.write(load(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), path, "parquet", partition_by=("o_orderstatus",))
     return spark.read.parquet(path).where("o_orderstatus = 'F'").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_name AS value FROM part")
+def s05_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round_trip(spark, load(spark, sf_dir, "part").select("p_name"), "text", None)
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def s06_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round_trip(spark, load(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"), "xml", "n_nationkey int, n_name string, n_regionkey int", rowTag="nation", rootTag="nations")

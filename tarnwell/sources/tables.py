@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -31,3 +36,35 @@ def write(df: DataFrame, path: str, fmt: str, mode: str = "errorifexists", parti
     """A file sink by name, in folders by the values of partition_by, if any."""
     writer = df.write.format(fmt).mode(mode).options(**options)
     (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share, under spark.checkpoint.dir; it goes when Python ends.
+
+    With no such setting a local session uses a folder of its own, and any other is an error.
+    """
+    base, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not base:
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that they share")
+        base = os.path.join(tempfile.gettempdir(), "tarnwell-files")
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+    def clear() -> None:
+        try:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session has ended
+            pass
+
+    atexit.register(clear)
+    return path
+
+
+def read_jdbc(spark: SparkSession, url: str, table: str, *, column: str, lower: int, upper: int, parts: int, **properties: str) -> DataFrame:
+    """A database table, read by `parts` tasks that share out the range of a numeric column."""
+    return spark.read.jdbc(url, table, column=column, lowerBound=lower, upperBound=upper, numPartitions=parts, properties=properties)
+
+
+def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "errorifexists", **properties: str) -> None:
+    df.write.jdbc(url, table, mode=mode, properties=properties)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..sources.tables import shared_path
 
 
 def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,19 +20,14 @@ def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return glob.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour")
 
 
-def _folder(spark: SparkSession) -> str:
-    """The stream's checkpoint goes to the folder that the cluster shares."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "tarnwell-streams")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def finished(spark: SparkSession, df: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
     """Runs a stream over what there is now and returns its result, read back from a table of files.
 
-    In complete mode each batch replaces the table; in append mode batches are added. A batch that runs again after a
-    failure overwrites its own folder, so nothing is counted twice.
+    In complete mode each batch replaces the table, in append mode batches are added, and in update mode the last row of
+    each of `keys` counts. A batch that runs again after a failure overwrites its own folder, so nothing is counted twice.
+    The stream's checkpoint and the table are in the folder that the cluster shares.
     """
-    top = _folder(spark)
+    top = shared_path(spark, "stream")
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{top}/out/batch={0 if mode == 'complete' else number}")
@@ -39,7 +37,11 @@ def finished(spark: SparkSession, df: DataFrame, mode: str, keys: list[str] | No
         query.awaitTermination()
     finally:
         query.stop()
-    return spark.read.schema(df.schema).parquet(f"{top}/out").select(df.columns)
+    out = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(f"{top}/out")
+    if mode == "update":
+        others = [c for c in df.columns if c not in keys]
+        return out.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("_last")).select(*keys, "_last.*").select(df.columns)
+    return out.select(df.columns)
 
 
 def daily(events: DataFrame) -> DataFrame:
@@ -54,3 +56,27 @@ def deduplicated(events: DataFrame) -> DataFrame:
 
 def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     return events.groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
+
+
+def followed(left: DataFrame, right: DataFrame, *, by: str, seconds: int) -> DataFrame:
+    """Joins two streams: pairs of a key whose right time is after the left one by at most so many seconds.
+
+    left has left_ts, right right_ts, both with watermarks, so rows that can find no more partners leave the state.
+    """
+    on = (F.col(f"l.{by}") == F.col(f"r.{by}")) & (F.col("right_ts") > F.col("left_ts")) & (F.col("right_ts") <= F.col("left_ts") + F.expr(f"INTERVAL {seconds} SECONDS"))
+    return left.alias("l").join(right.alias("r"), on)
+
+
+def longest_runs(events: DataFrame) -> DataFrame:
+    """For each user the number of events and the longest run of growing values, by state of our own kept from batch to batch."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, now, best, last = state.get if state.exists else (0, 0, 0, float("-inf"))
+        for x in pd.concat(list(batches)).sort_values(["ts", "event_id"])["value"]:
+            n, now, last = n + 1, now + 1 if x > last else 1, x
+            best = max(best, now)
+        state.update((n, now, best, last))
+        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "longest": [best]})
+
+    rows = events.select("user_id", "ts", "event_id", "value")
+    return rows.groupBy("user_id").applyInPandasWithState(run, "user_id long, n long, longest long", "n long, now long, best long, last double", "update", GroupStateTimeout.NoTimeout)

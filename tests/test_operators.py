@@ -52,3 +52,53 @@ def test_sources_ask_for_schemas(spark, tmp_path):
         assert sorted(tables.read(spark, f"{tmp_path}/{fmt}", fmt, "a int, b string").collect()) == sorted(df.collect())
     with pytest.raises(ValueError):
         tables.read(spark, f"{tmp_path}/json", "json")
+
+
+def test_funnel_ties_and_no_steps(spark):
+    """Two steps at one time are not one after the other; whoever takes no step has depth 0."""
+    rows = [(1, 1, "click"), (1, 1, "purchase"), (2, 1, "click"), (2, 2, "click"), (2, 3, "purchase"), (3, 1, "other"), (4, 1, "purchase"), (4, 2, "click"), (5, None, "click")]
+    got = {r.k: r.depth for r in events.funnel(spark.createDataFrame(rows, "k int, t int, e string"), "k", "t", "e", ["click", "purchase"]).collect()}
+    assert got == {1: 1, 2: 2, 3: 0, 4: 1, 5: 1}
+
+
+def test_interval_join_at_bucket_edges(spark):
+    ts = lambda s: f"timestamp_ntz'2024-01-01 00:00:{s:02}'"
+    a = spark.sql("SELECT * FROM VALUES " + ", ".join(f"(1, {ts(s)}, {s})" for s in range(0, 40, 3)) + " t(k, lt, l)")
+    b = spark.sql("SELECT * FROM VALUES " + ", ".join(f"({1 + s % 2}, {ts(s)}, {s})" for s in range(40)) + " t(k, rt, r)")
+    got = sorted((r.l, r.r) for r in joins.interval_join(a, b, by="k", left_time="lt", right_time="rt", seconds=10).collect())
+    assert got == sorted((x, y) for x in range(0, 40, 3) for y in range(0, 40, 2) if 0 < y - x <= 10)
+
+
+def test_salted_join_salts_only_hot_keys(spark):
+    big = spark.createDataFrame([(1, i) for i in range(90)] + [(i, i) for i in range(2, 12)], "k int, v int")
+    small = spark.createDataFrame([(i, str(i)) for i in range(12)], "k int, w string")
+    assert sorted(map(tuple, joins.salted_join(big, small, "k", 4, share=0.5).collect())) == sorted(map(tuple, big.join(small, "k").collect()))
+    assert joins.salted_join(big.limit(0), small, "k", 4).count() == 0
+
+
+def test_nearest_vectors_ties_and_nulls(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0, 0.0]), (4, [0.0, 1.0]), (5, [0.0, 0.0])], "id int, v array<double>")
+    got = [(r.query_id, r.found_id) for r in joins.nearest_vectors(df.where("id in (1, 5)"), df, id_col="id", vector_col="v", k=2, cosine=text.cosine).collect()]
+    assert sorted(got) == [(1, 2), (1, 3)]
+
+
+def test_jdbc_round_trip(spark, tmp_path):
+    try:
+        spark.sparkContext._jvm.java.lang.Class.forName("org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    except Exception:
+        pytest.skip("no database driver on the class path")
+    df = spark.createDataFrame([(i, f"n{i}") for i in range(20)], "ID int, NAME string")
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    tables.write_jdbc(df, url, "T")
+    back = tables.read_jdbc(spark, url, "T", column="ID", lower=0, upper=20, parts=3)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect())) and back.rdd.getNumPartitions() == 3
+
+
+def test_shared_path_needs_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    fake = lambda master, base: SimpleNamespace(conf={"spark.checkpoint.dir": base} if base else {}, sparkContext=SimpleNamespace(master=master))
+    assert tables.shared_path(fake("spark://x:7077", "hdfs://y/z"), "n").startswith("hdfs://y/z/n-")
+    assert "tarnwell-files" in tables.shared_path(fake("local[4]", None), "n")
+    with pytest.raises(ValueError):
+        tables.shared_path(fake("local-cluster[2,1,1024]", None), "n")
