@@ -63,6 +63,14 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Columns of `documents`. Where the scan has fewer splits than there are cores, its rows are dealt over all of them."""
+    docs = load(spark, sf_dir, "documents")
+    docs = docs.select(*columns) if columns else docs
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs._jdf.queryExecution().toRdd().getNumPartitions() < cores else docs
+
+
 #: Spark's own setting that removes an execution's shuffle files at its end.
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

@@ -152,6 +152,6 @@ def held_out() -> "F.Column":
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op7: learnt from documents whose crc32(doc_id) mod 4 is not 2; all documents predicted."""
-    docs = C.load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = C.documents(spark, sf_dir, "doc_id", "text", "lang")
     languages, profile = prototypes(docs.where(~held_out()))
     return predict(docs, languages, profile).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -139,20 +139,30 @@ def scored_words(model: Model, column) -> tuple[np.ndarray, np.ndarray]:
     return linear + ((forms(sums) - model.mean) / model.scale) @ model.form + model.bias, sums[:, 1].astype(np.int64)
 
 
-@dataclass
 class Sparse:
-    """Values by row, of the chosen features."""
+    """Values by row and column, sorted by both; sums along either run over whole segments."""
+
+    def __init__(self, row: np.ndarray, col: np.ndarray, val: np.ndarray, rows: int):
+        self.row, self.col, self.val, self.rows = row, col, val, rows
+        self._by_col: tuple | None = None
 
-    row: np.ndarray
-    col: np.ndarray
-    val: np.ndarray
-    rows: int
+    @staticmethod
+    def _summed(x: np.ndarray, key: np.ndarray, n: int) -> np.ndarray:
+        out = np.zeros(n)
+        if len(key):
+            edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            out[key[edge]] = np.add.reduceat(x, edge)
+        return out
 
     def times(self, w: np.ndarray) -> np.ndarray:
-        return np.stack([np.bincount(self.row, w[self.col, k] * self.val, self.rows) for k in range(w.shape[1])], 1)
+        return np.stack([self._summed(w[:, k][self.col] * self.val, self.row, self.rows) for k in range(w.shape[1])], 1)
 
     def back(self, g: np.ndarray, n: int) -> np.ndarray:
-        return np.stack([np.bincount(self.col, g[self.row, k] * self.val, n) for k in range(g.shape[1])], 1)
+        if self._by_col is None:
+            order = np.argsort(self.col, kind="stable")
+            self._by_col = self.row[order], self.col[order], self.val[order]
+        row, col, val = self._by_col
+        return np.stack([self._summed(g[:, k][row] * val, col, n) for k in range(g.shape[1])], 1)
 
 
 def choose(texts: list[bytes], y: np.ndarray, most: int, least: int = 4) -> np.ndarray:

@@ -38,6 +38,8 @@ from . import linear as L
 
 PER_DOMAIN, MOST_BYTES, FEATURES = 1500, 1 << 18, 6000
 STEPS, TOLERANCE = 40, 1e-4
+#: Steps after which the rows' rates so far are written, rather than worked out again.
+KEEP = 8
 #: The queries' targets: documents of good quality by language, and those of low quality in any.
 TARGETS = {"en": 0.38, "de": 0.18, "fr": 0.18, "es": 0.15, "low": 0.11}
 
@@ -87,9 +89,9 @@ def tabled(docs: DataFrame, model: L.Model) -> DataFrame:
 Step = tuple[np.ndarray, float]
 
 
-def folded(steps: list[Step], floor: float) -> Column:
-    """A row's rate r, and the point y of the next gradient, from its posteriors `p` after the steps so far."""
-    zero = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"))
+def folded(steps: list[Step], floor: float, begin: Column | None = None) -> Column:
+    """A row's rate r, and the point y of the next gradient, from its posteriors `p` after the steps, from `begin` on."""
+    zero = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y")) if begin is None else begin
     if not steps:
         return zero
     each = F.array(*(F.struct(F.array(*(F.lit(float(x)) for x in g)).alias("g"), F.lit(float(b)).alias("b")) for g, b in steps))
@@ -117,7 +119,7 @@ def rates(p: np.ndarray, steps: list[Step], floor: float) -> np.ndarray:
 
 
 def solve(table: DataFrame, names: list[str], targets: dict[str, float], *, budget: float | None = None, floor: float = 0.0) -> list[Step]:
-    """The steps that lead to the rates; each is one sum over the table."""
+    """The steps that lead to the rates; each is one sum over the table. Where rows stand is written every KEEP steps."""
     k = len(names)
     if k < 2:
         return []
@@ -138,11 +140,18 @@ def solve(table: DataFrame, names: list[str], targets: dict[str, float], *, budg
     inverse = np.linalg.pinv(m, rcond=1e-9)
     steps: list[Step] = []
     s, old, pace = natural, natural, 1.0
+    scratch, stand, done = C.Scratch(table.sparkSession, "mixing-steps"), None, 0
+    table = table.select("tokens", "p")
     for _ in range(STEPS):
         after = (1 + (1 + 4 * pace * pace) ** 0.5) / 2
         steps.append((inverse @ (s - want * factor), (pace - 1) / after))
         pace = after
-        x = folded(steps, floor)
+        if len(steps) - done > KEEP:
+            new = scratch.table(table.select("tokens", "p", folded(steps[done:-1], floor, stand).alias("stand")))
+            if stand is not None:
+                scratch.drop(table)
+            table, stand, done = new, F.col("stand"), len(steps) - 1
+        x = folded(steps[done:], floor, stand)
         found = np.array(table.select("tokens", "p", x.alias("x")).agg(*(F.sum(t * F.col(f"x.{n}") * col(i)) for n in ("r", "y") for i in range(k))).first()) / total
         new, s = found[:k], found[k:]
         moved, old = np.abs(new - old).max(), new
@@ -172,7 +181,7 @@ def labelled_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op4: for each document its tokens, most likely domain and its posterior, rate and copies."""
-    docs = C.load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = C.documents(spark, sf_dir, "doc_id", "text", "lang")
     table, _, names, steps = rated(docs, labelled_domains(docs, C.load(spark, sf_dir, "labels")), TARGETS)
     best = F.array_max("p")
     table = table.withColumn("rate", rate(steps, 0.0)).withColumn("domain", F.element_at(F.array(*(F.lit(n) for n in names or [""])), F.array_position("p", best).cast("int")))

@@ -365,7 +365,7 @@ def decoded(media: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op3: all documents."""
-    return digested(C.load(spark, sf_dir, "documents"))
+    return digested(C.documents(spark, sf_dir, "doc_id", "text"))
 
 
 def digested(docs: DataFrame) -> DataFrame:

@@ -539,7 +539,7 @@ def _links(docs: DataFrame, members: DataFrame, scratch: C.Scratch, k: int, num:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op9: 4-word shingles, 85 of 100."""
-    return near_groups(C.load(spark, sf_dir, "documents"), k=4, num=85, den=100)
+    return near_groups(C.documents(spark, sf_dir, "doc_id", "text"), k=4, num=85, den=100)
 
 
 def sql(k: int = 4, num: int = 85, den: int = 100) -> str:

@@ -297,7 +297,7 @@ def pack_documents(docs: DataFrame, *, length: int = LENGTH, end: int = END, gro
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op2: the pieces, with the CRC-32 of their ids in place of the ids."""
-    found = pack_documents(C.load(spark, sf_dir, "documents"))
+    found = pack_documents(C.documents(spark, sf_dir, "doc_id", "text"))
     return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

@@ -100,6 +100,6 @@ def held_out() -> Column:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10: learnt from rated rows whose crc32(doc_id) mod 5 is not 0; all documents graded."""
-    docs = C.load(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = C.documents(spark, sf_dir, "doc_id", "text")
     model, grades = trained(docs, ratings(C.load(spark, sf_dir, "labels")).where(~held_out()))
     return grade_documents(docs, model, grades, level=1).select("doc_id", held_out().alias("held_out"), "expected_grade", "tail_prob", "kept")

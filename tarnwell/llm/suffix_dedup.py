@@ -510,7 +510,7 @@ EMPTY_SHA256 = hashlib.sha256(b"").hexdigest()
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op5: all documents."""
-    return digested(C.load(spark, sf_dir, "documents"))
+    return digested(C.documents(spark, sf_dir, "doc_id", "text"))
 
 
 def digested(docs: DataFrame) -> DataFrame:

@@ -103,7 +103,7 @@ def held_out() -> "F.Column":
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op6: learnt from labelled rows whose crc32(doc_id) mod 5 is not 0; all documents scored."""
-    docs = C.load(spark, sf_dir, "documents")
+    docs = C.documents(spark, sf_dir, "doc_id", "text")
     model = trained(docs, C.load(spark, sf_dir, "labels").where(~held_out()))
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
