@@ -14,6 +14,7 @@ of the whole text. No documents give no pieces. Other columns, whatever their na
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,8 +30,10 @@ LENGTH, END = 4096, 2
 VOCABULARY = "word_bpe_49k.json"
 #: Documents, and bytes of text, in a group, about: what one task holds.
 GROUP, GROUP_BYTES = 4_000, 8 << 20
+#: Bytes of text whose chunks are looked up at once.
+READ = 4 << 20
 #: Distinct chunks of text whose ids a worker remembers.
-CACHE = 500_000
+CACHE = 1_200_000
 #: A last sequence of no more tokens is padded rather than cut further.
 MIN_TAIL = 64
 
@@ -145,22 +148,32 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kind = np.uint16 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
+        self.kind, self.code = (np.uint16, "H") if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else (np.uint32, "I")
         self.clear()
 
     def clear(self) -> None:
-        self.slots: dict[bytes, int] = {}
-        self.edge = [np.zeros(1, np.int64)]  # where the ids of each known chunk end
-        self.ids = [np.zeros(0, self.kind)]
-
-    def learn(self, chunks: list[bytes]) -> None:
-        """Adds chunks that are not known."""
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False)]
-        size = np.fromiter((len(x) for x in ids), np.int64, len(ids))
-        self.edge.append(self.edge[-1][-1] + np.cumsum(size))
-        self.ids.append(np.fromiter((i for x in ids for i in x), self.kind, int(size.sum())))
-        at = len(self.slots)
-        self.slots.update(zip(chunks, range(at, at + len(chunks)), strict=True))
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def of(self, chunks: list[bytes]) -> list[bytes]:
+        """The ids of distinct chunks, each as bytes. Those not asked for in a long while are forgotten first."""
+        if len(self.new) > CACHE // 2:
+            self.old, self.new = self.new, {}
+        new, old = self.new, self.old
+        found = [new.get(c) for c in chunks]
+        lost = [i for i, x in enumerate(found) if x is None]
+        if lost:
+            unknown = []
+            for i in lost:
+                if (x := old.get(chunks[i])) is None:
+                    unknown.append(i)
+                else:
+                    found[i] = new[chunks[i]] = x
+            for a in range(0, len(unknown), 4096):
+                some = unknown[a : a + 4096]
+                for i, e in zip(some, self.tokenizer.encode_batch_fast([chunks[i].decode("utf-8", "replace") for i in some], add_special_tokens=False), strict=True):
+                    found[i] = new[chunks[i]] = array(self.code, e.ids).tobytes()
+        return found
 
     def block(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a block, and where each row's begin."""
@@ -173,20 +186,12 @@ class Ids:
         start, end = np.flatnonzero(mark[0]), np.flatnonzero(mark[1])
         first = np.searchsorted(start, at)
         chunk, book = C.numbered(low, start, end)
-        new = [c for c in book if c not in self.slots]
-        if len(self.slots) + len(new) > CACHE:
-            self.clear()
-            new = book
-        if new:
-            self.learn(new)
-        if len(self.ids) > 1:
-            self.edge, self.ids = [np.concatenate(self.edge)], [np.concatenate(self.ids)]
-        slot = np.fromiter((self.slots[c] for c in book), np.int64, len(book))
-        edge, ids = self.edge[0], self.ids[0]
-        begin, size = edge[slot], edge[slot + 1] - edge[slot]
-        size = size[chunk]
+        found = self.of(book)
+        ids = np.frombuffer(b"".join(found), self.kind)
+        size = np.fromiter(map(len, found), np.int64, len(found)) // ids.itemsize
+        begin, size = (np.cumsum(size) - size)[chunk], size[chunk]
         total = np.concatenate(([0], np.cumsum(size)))
-        where = np.repeat(begin[chunk] - total[:-1], size) + np.arange(int(total[-1]))
+        where = np.repeat(begin - total[:-1], size) + np.arange(int(total[-1]))
         return ids[where], total[first]
 
 
@@ -219,7 +224,7 @@ def _pieces(path: str | None, length: int, end: int):
         for batch in batches:
             data, at = C.text_bytes(batch.column(1))
             held: list[np.ndarray] = []  # of a row that comes in pieces
-            for lo, hi, part, starts, more in C.pieces(data, at):
+            for lo, hi, part, starts, more in C.pieces(data, at, READ):
                 ids, cut = know.block(part, starts)
                 if more:
                     held.append(ids)

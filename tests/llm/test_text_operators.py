@@ -331,7 +331,7 @@ def test_packing_tells_cancelling_words_apart(spark):
 
 
 def test_packing_long_texts_in_pieces(spark, patched):
-    patched(C, BLOCK=700)
+    patched(packing, READ=700, CACHE=100)
     rows = [(1, prose(1, 3000)), (2, "x" * 3000 + " " + prose(2, 50)), (3, "a. B, c!" * 400), (4, None)]
     from tokenizers import Tokenizer
 
