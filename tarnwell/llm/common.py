@@ -411,13 +411,32 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, root) for each node of (a, b): the smallest node it reaches. Alternating large and small stars.
+    """(node, root) for each node of (a, b): the smallest node it reaches.
 
-    Every step is a minimum for each node and a join, so no node's neighbours are gathered, and every round is
-    written to the shared folder. It ends when all links are stars: each leaf has one centre, and no centre is a leaf.
+    Each partition's links become stars, whose centre is the smallest node. A leaf of one star only, which most nodes are,
+    takes the root of its centre at the end; so a centre with very many leaves does not bring them together. The other
+    links go through `_stars`.
     """
     pairs = links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").mapInArrow(lean(_forest), "a long, b long")
     table = scratch.table(pairs)
+    single = table.groupBy("a").agg(F.min("b").alias("b"), F.max("b").alias("other")).where("b = other").select("a", "b")
+    leaves = scratch.table(single.join(table.select(F.col("b").alias("a")).distinct(), "a", "left_anti"))
+    core = scratch.table(table.join(leaves.select("a"), "a", "left_anti"))
+    scratch.drop(table)
+    if core.isEmpty():
+        return leaves.select(F.col("a").alias("node"), F.col("b").alias("root")).union(leaves.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    root = scratch.table(_stars(core, scratch))
+    ends = leaves.join(root.withColumnRenamed("node", "b"), "b", "left").select(F.col("a").alias("node"), F.coalesce("root", "b").alias("root"))
+    centres = leaves.select(F.col("b").alias("node")).distinct().join(root, "node", "left_anti").select("node", F.col("node").alias("root"))
+    return root.union(ends).union(centres)
+
+
+def _stars(table: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, root) of links (a, b), by alternating large and small stars.
+
+    Every step is a minimum for each node and a join, so no node's neighbours are gathered, and every round is
+    written to the shared folder. It ends when all links are stars: each leaf has one centre, and no centre is a leaf.
+    """
     while True:
         # Large star: greater neighbours go to the smallest one of each node's neighbourhood.
         both = table.select("a", "b").union(table.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -425,7 +444,8 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # Small star: smaller neighbours and the node itself go to the smallest of them.
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("x"), "m"), F.struct(F.col("a").alias("x"), "m"))).alias("s")).select(F.col("s.x").alias("a"), F.col("s.m").alias("b")).where("a <> b").distinct()
+        each = F.explode(F.array(F.struct(F.col("b").alias("x"), "m"), F.struct(F.col("a").alias("x"), "m"))).alias("s")
+        small = large.join(low, "a").select(each).select(F.col("s.x").alias("a"), F.col("s.m").alias("b")).where("a <> b").distinct()
         new = scratch.table(small)
         scratch.drop(table)
         table = new
