@@ -33,7 +33,7 @@ GROUP, GROUP_BYTES = 4_000, 8 << 20
 #: Bytes of text whose chunks are looked up at once.
 READ = 4 << 20
 #: Distinct chunks of text whose ids a worker remembers.
-CACHE = 1_200_000
+CACHE = 700_000
 #: A last sequence of no more tokens is padded rather than cut further.
 MIN_TAIL = 64
 
