@@ -410,6 +410,28 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([held_a[held_a != held_b], held_b[held_a != held_b]], names=["a", "b"])
 
 
+#: A key with fewer rows than that needs no join of its own.
+HOT_ROWS = 1000
+
+
+def spread_join(rows: DataFrame, other: DataFrame, key: str, scratch: Scratch, how: str = "inner") -> DataFrame:
+    """rows joined with `other`, which has one row for a key, by shuffle; only hot keys, wherever their rows are, by broadcast.
+
+    A key is hot if it has more than HOT_ROWS rows and more than one in 4p of all, p being the shuffle partitions. So fewer
+    than 4p keys are hot, whatever the size of the input. `rows` is read several times: a written table, or a cheap view of one.
+    """
+    total = rows.count()
+    if total <= HOT_ROWS:
+        return rows.join(other, key, how)
+    most = max(HOT_ROWS, total // (4 * partitions(scratch.spark)))
+    hot = scratch.table(rows.groupBy(key).count().where(F.col("count") > most).select(key))
+    if hot.isEmpty():
+        return rows.join(other, key, how)
+    hot = F.broadcast(hot)
+    wide = rows.join(hot, key, "left_semi").join(F.broadcast(other.join(hot, key, "left_semi")), key, how)
+    return wide.unionByName(rows.join(hot, key, "left_anti").join(other, key, how))
+
+
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) for each node of (a, b): the smallest node it reaches.
 
@@ -426,7 +448,7 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     if core.isEmpty():
         return leaves.select(F.col("a").alias("node"), F.col("b").alias("root")).union(leaves.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
     root = scratch.table(_stars(core, scratch))
-    ends = leaves.join(root.withColumnRenamed("node", "b"), "b", "left").select(F.col("a").alias("node"), F.coalesce("root", "b").alias("root"))
+    ends = spread_join(leaves, root.withColumnRenamed("node", "b"), "b", scratch, "left").select(F.col("a").alias("node"), F.coalesce("root", "b").alias("root"))
     centres = leaves.select(F.col("b").alias("node")).distinct().join(root, "node", "left_anti").select("node", F.col("node").alias("root"))
     return root.union(ends).union(centres)
 
@@ -434,14 +456,14 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
 def _stars(table: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) of links (a, b), by alternating large and small stars.
 
-    Every step is a minimum for each node and a join, so no node's neighbours are gathered, and every round is
-    written to the shared folder. It ends when all links are stars: each leaf has one centre, and no centre is a leaf.
+    Every step is a minimum for each node and a join that spreads nodes with very many links, so no node's neighbours are
+    gathered, and every round is written to the shared folder. It ends when all links are stars: each leaf has one centre, and no centre is a leaf.
     """
     while True:
         # Large star: greater neighbours go to the smallest one of each node's neighbourhood.
         both = table.select("a", "b").union(table.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = spread_join(both.where("b > a"), low, "a", scratch).select(F.col("b").alias("a"), F.col("m").alias("b"))
         # Small star: smaller neighbours and the node itself go to the smallest of them.
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         each = F.explode(F.array(F.struct(F.col("b").alias("x"), "m"), F.struct(F.col("a").alias("x"), "m"))).alias("s")

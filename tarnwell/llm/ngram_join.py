@@ -478,7 +478,7 @@ def _grouped(docs: DataFrame, scratch: C.Scratch, k: int, num: int, den: int) ->
     classes = scratch.table(rows.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("half").alias("half")))
     kept = scratch.table(_kept(found.where("kind = 1").select("half", "n", "token", "df"), num, den).join(classes.select("half", "rep"), "half").select("rep", "n", "token"))
     centre = kept.groupBy("token").agg(F.min("rep").alias("b"), F.count("*").alias("c")).where("c > 1").select("token", "b")
-    ties = kept.join(centre, "token").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
+    ties = C.spread_join(kept, centre, "token", scratch).where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
     group = C.components(ties, scratch)
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(den / num)))).cast("int") if num < den else F.col("n")
     members = group.select(F.col("node").alias("rep"), F.col("root").alias("grp")).join(kept.groupBy("rep").agg(F.max("n").alias("n")), "rep").select("rep", "grp", "n", band.alias("band"))

@@ -367,7 +367,9 @@ def test_tournament_is_first_fit_decreasing():
         assert (packing.first_fit_decreasing(lengths, 100) == want).all()
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("hot_rows", [C.HOT_ROWS, 20])
+def test_components_of_chains_and_stars(spark, monkeypatch, hot_rows):
+    monkeypatch.setattr(C, "HOT_ROWS", hot_rows)
     rng = random.Random(6)
     pairs = [(i, i + 1) for i in range(0, 300)] + [(1000, i) for i in range(1001, 1300)] + [(rng.randrange(2000, 2500), rng.randrange(2000, 2500)) for _ in range(300)] + [(5, 5)]
     a, b = map(np.array, zip(*[p for p in pairs if p[0] != p[1]], strict=True))
@@ -376,3 +378,17 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.root for r in C.components(links, C.Scratch(spark, "test")).collect()}
     assert got == dict(zip(node.tolist(), root.tolist(), strict=True))
     assert C.components(links.limit(0), C.Scratch(spark, "test")).count() == 0
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_hot_keys_are_joined_where_they_are(spark, monkeypatch, how):
+    monkeypatch.setattr(C, "HOT_ROWS", 50)
+    scratch = C.Scratch(spark, "test")
+    rows = scratch.table(spark.createDataFrame([(7 if i % 3 else i, i) for i in range(900)] + [(None, -1)], "k long, x long"))
+    other = scratch.table(spark.createDataFrame([(i, -i) for i in range(0, 900, 2)] + [(7, 70)], "k long, y long"))
+    got = C.spread_join(rows, other, "k", scratch, how)
+    assert sorted(got.collect(), key=str) == sorted(rows.join(other, "k", how).collect(), key=str)
+    assert got.where("k = 7").count() == 600
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
+    few = C.spread_join(rows.limit(40), other, "k", scratch, how)
+    assert sorted(few.collect(), key=str) == sorted(rows.limit(40).join(other, "k", how).collect(), key=str)
