@@ -42,7 +42,7 @@ LOW = np.uint64((1 << 24) - 1)
 #: Anchors, and bytes of contexts, that a task holds before it passes them on.
 FLUSH_ANCHORS, FLUSH_BYTES = 1 << 18, 1 << 23
 #: Occurrences beyond which an anchor's windows are dealt one by one.
-WIDE = 50_000
+WIDE = 5_000
 #: Bytes of contexts that are sorted at once, unless one bucket has more.
 SORT_BYTES = 1 << 19
 
