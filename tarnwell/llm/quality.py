@@ -33,7 +33,7 @@ def cuts(extra: np.ndarray) -> np.ndarray:
     return np.concatenate((extra[:1], extra[0] + np.cumsum(np.exp(extra[1:])))) if len(extra) else extra
 
 
-def fit(texts: list[bytes], grade: np.ndarray, weight: np.ndarray, *, most: int = FEATURES) -> tuple[L.Model, np.ndarray]:
+def fit(texts: list[bytes], grade: np.ndarray, weight: np.ndarray, *, most: int = FEATURES, steps: int = 250, decay: float = 2e-6) -> tuple[L.Model, np.ndarray]:
     """The model and the grades that it tells apart, in order."""
     grades, y = np.unique(grade, return_inverse=True) if len(grade) else (np.zeros(0, int), np.zeros(0, int))
     if len(grades) < 2:
@@ -57,7 +57,7 @@ def fit(texts: list[bytes], grade: np.ndarray, weight: np.ndarray, *, most: int
             ge[j] = np.exp(extra[j]) * by_cut[j:].sum()
         return (down - up)[:, None], ge
 
-    out = L.train(x, form, len(chosen), 1, loss, steps=250, rate=0.15, decay=2e-6, extra=np.concatenate(([0.0], np.zeros(len(grades) - 2))))
+    out = L.train(x, form, len(chosen), 1, loss, steps=steps, rate=0.15, decay=decay, extra=np.concatenate(([0.0], np.zeros(len(grades) - 2))))
     return L.Model(chosen, out[0], out[1], out[2], out[4], out[5], out[3]), grades
 
 
