@@ -153,10 +153,11 @@ def blocks(data: np.ndarray, at: np.ndarray, size: int = 0) -> Iterator[tuple[in
         lo = hi
 
 
-def pieces(data: np.ndarray, at: np.ndarray, size: int = 0) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, bool]]:
+def pieces(data: np.ndarray, at: np.ndarray, size: int = 0, gap: np.ndarray = SPACE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, bool]]:
     """Blocks, but a row of more than `size` bytes (BLOCK) comes in several, cut before words: (first row, end row, bytes, starts, more).
 
-    more: whether the row goes on in the next one. A word is never cut, so one that is longer than that is whole.
+    more: whether the row goes on in the next one. A word, parted by bytes in `gap`, is never cut, so one that is longer
+    than that is whole.
     """
     size = size or BLOCK
     for lo, hi, part, starts in blocks(data, at, size):
@@ -164,7 +165,7 @@ def pieces(data: np.ndarray, at: np.ndarray, size: int = 0) -> Iterator[tuple[in
         while len(part) - begin > size + size // 4:
             cut = begin + size
             while cut < len(part):  # to the first word that begins from here on
-                near = SPACE[part[cut - 1 : cut + 4096]]
+                near = gap[part[cut - 1 : cut + 4096]]
                 found = np.flatnonzero(near[:-1] & ~near[1:])
                 if len(found):
                     cut += int(found[0])
