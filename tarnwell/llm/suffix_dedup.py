@@ -3,7 +3,8 @@
 A byte goes if a string of `LENGTH` bytes covers it that also starts earlier: in a text of a smaller doc_id, or in the
 same text before. All steps are exact and none holds more than a part of the corpus:
 
-1. Texts that are equal form a class; its first document stands for it, later ones are removed as a whole.
+1. Texts that are equal form a class, told by SHA-256; its first document stands for it, later ones are removed as a whole.
+   Where places go by a shorter hash, classes that it makes alike get numbers of their own first.
 2. Each window of LENGTH bytes has an anchor, the k-gram with the least hash inside it, so equal windows have equal
    anchors. Anchors are dealt by hash; those that occur once are dropped, and with them nearly all text.
 3. Each remaining anchor occurrence gives its context: the text under the windows that it is the anchor of. Contexts
@@ -471,6 +472,11 @@ def text_key(text) -> "F.Column":
     return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
+def half_key(text) -> "F.Column":
+    """What places of anchors go by instead of a class's long key; under 2**62. Texts that it makes alike are told apart in `repeated`."""
+    return F.xxhash64(text).bitwiseAND(F.lit((1 << 62) - 1))
+
+
 def repeated(docs: DataFrame, *, whole_chars: bool = False) -> DataFrame:
     """Each class of equal texts: key, first_id, and where it is cut in part n_removed, n_spans and the kept bytes, else nulls.
 
@@ -486,10 +492,18 @@ def repeated(docs: DataFrame, *, whole_chars: bool = False) -> DataFrame:
         docs = docs.withColumn("row", F.col("doc_id"))
     else:
         docs = scratch.table(docs.withColumn("row", F.monotonically_increasing_id()))
-    keyed = docs.select("row", "doc_id", text_key(F.col("text")).alias("key"), F.xxhash64("text").alias("half"))
+    text = F.col("text")
+    keyed = docs.select("row", "doc_id", text_key(text).alias("key"), half_key(text).alias("half"))
     # A class is called by the row of its first document; `half` is what candidates go by until the texts meet again.
     classes = scratch.table(keyed.groupBy("key").agg(F.expr("min_by(struct(row, doc_id), struct(doc_id is not null, doc_id, row))").alias("first"), F.first("half").alias("half")).select("key", F.col("first.row").alias("cls"), F.col("first.doc_id").alias("first_id"), "half"))
-    asked = docs.where(F.octet_length("text") >= LENGTH).select(F.xxhash64("text").alias("half"), "text").mapInArrow(C.lean(_ask(buckets)), "bucket int, kind byte, hash binary, cls binary, q binary, back binary, more binary, count binary")
+    asked = docs.where(F.octet_length("text") >= LENGTH).select(half_key(text).alias("half"), "text")
+    alike = classes.groupBy("half").count().where("count > 1").select("half")
+    if not alike.isEmpty():  # different texts of one hash: each gets a number of its own, from 2**62 on
+        own = scratch.table(classes.join(alike, "half").select("key", F.monotonically_increasing_id().bitwiseOR(F.lit(1 << 62)).alias("own")))
+        classes = scratch.table(classes.join(own, "key", "left").withColumn("half", F.coalesce("own", "half")).drop("own"))
+        asked = docs.where(F.octet_length("text") >= LENGTH).select(text_key(text).alias("key"), half_key(text).alias("half"), "text").join(C.bounded(spark, own, 100_000), "key", "left")
+        asked = asked.select(F.coalesce("own", "half").alias("half"), "text")
+    asked = asked.mapInArrow(C.lean(_ask(buckets)), "bucket int, kind byte, hash binary, cls binary, q binary, back binary, more binary, count binary")
     hot = scratch.table(asked.repartition(p, "bucket").sortWithinPartitions("bucket").mapInArrow(C.lean(_hot), "hash long, cls long, q int, back short, more short, wide boolean"))
     wide = hot.where("wide").select("hash", F.lit(True).alias("is_wide"))
     places = hot.drop("wide").join(C.bounded(spark, wide, 100_000), "hash", "left").withColumn("wide", F.coalesce("is_wide", F.lit(False)))
