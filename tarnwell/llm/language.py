@@ -15,6 +15,7 @@ texts are read in pieces that add up. An empty table gives an empty one. Other c
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -50,29 +51,43 @@ def vectors() -> tuple[np.ndarray, np.ndarray]:
     return (np.roll(letter, 2, 1)[:, None] * np.roll(letter, 1, 1)[None]).reshape(SYMBOLS * SYMBOLS, DIMENSION), letter
 
 
-def codes(text: str) -> np.ndarray:
-    """The symbols of a text, with one gap at the ends and between words."""
-    points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-    s = np.zeros(len(points) + 2, np.int32)
-    s[1:-1] = symbols()[points]
+#: Where a long text is cut, if there is such a place in reach: no letter's form depends on what is behind it.
+_CUT = re.compile(r"\s")
+
+
+def raw_codes(text: str) -> np.ndarray:
+    """The symbols of a text's characters."""
+    return symbols()[np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)].astype(np.int32)
+
+
+def one_gap(s: np.ndarray) -> np.ndarray:
+    """Symbols with one gap for each run of gaps."""
     gap = s == 0
     keep = np.ones(len(s), bool)
     keep[1:] = ~(gap[1:] & gap[:-1])
     return s[keep]
 
 
+def codes(text: str) -> np.ndarray:
+    """The symbols of a text, with one gap at the ends and between words."""
+    gap = np.zeros(1, np.int32)
+    return one_gap(np.concatenate((gap, raw_codes(text), gap)))
+
+
 def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The trigrams of a text and how often it has each. A long text is read in pieces that end at a blank."""
+    """The trigrams of a text, with a gap at both ends, and how often it has each.
+
+    A long text is read in pieces of PIECE to twice that many characters, whatever parts its words; each begins with the last two symbols of the one before.
+    """
     numbers = lambda s: (s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:]
     if len(text) <= PIECE:
         return np.unique(numbers(codes(text)), return_counts=True)
     count = np.zeros(SYMBOLS**3, np.int64)
-    begin, tail = 0, np.zeros(0, np.int32)
+    begin, tail = 0, np.zeros(1, np.int32)
     while begin < len(text):
-        end = text.find(" ", begin + PIECE) if len(text) > begin + PIECE else -1
-        end = len(text) if end < 0 else end
-        s = codes(text[begin:end])
-        s = np.concatenate((tail, s[1:] if len(tail) else s))  # the gap that ends a piece begins the next
+        found = _CUT.search(text, begin + PIECE, begin + 2 * PIECE)
+        end = found.start() if found else min(len(text), begin + 2 * PIECE)
+        s = one_gap(np.concatenate((tail, raw_codes(text[begin:end]), np.zeros(int(end == len(text)), np.int32))))
         if len(s) > 2:
             count += np.bincount(numbers(s), minlength=len(count))
         tail, begin = s[-2:], end
