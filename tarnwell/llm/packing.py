@@ -1,19 +1,21 @@
 """Packing of tokenised documents into sequences by first-fit decreasing.
 
 Each document is tokenised, ended with END, and cut at whole multiples of the sequence length. Full pieces are
-sequences of their own. The rests are dealt into randomised groups (by a hash of id and text, so the same rows give
-the same groups after a loss), and each group is packed on its own: the rests in decreasing order of length go each
+sequences of their own. The rests are dealt into randomised groups (by a hash of id, text and the row's place in the scan,
+so the same files give the same groups after a loss, and rows that repeat are dealt too), and each group is packed on its own: the rests in decreasing order of length go each
 to the first sequence with room, found by a descent in a tournament tree of the sequences' capacities. What the last,
 emptier sequences of a group hold is then cut to fill the gaps of the fuller ones, and the very last sequence is cut
 at powers of two, which need no padding, as long as it has more tokens to save than MIN_TAIL.
 
 Null and empty texts have the END token alone. Repeated rows are packed each for itself; items of equal length keep the
-order of their ids. Long texts are read in pieces that end at white space, which no chunk crosses, so their ids are those
-of the whole text. No documents give no pieces. Other columns, whatever their names, are ignored.
+order of their ids. With a vocabulary that lower-cases and parts text as the given one does, long texts are read in pieces that
+end at white space, which no chunk crosses, so their ids are those of the whole text; with any other, texts are read whole,
+each by itself. No documents give no pieces. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import json
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -136,18 +138,33 @@ _SIGN[list(b".,;:!?")] = True
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 
 
+#: The rules of vocabularies whose text may be lower-cased and parted before they see it.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+
+
+def parts_text(rules: dict) -> bool:
+    """Whether a vocabulary's rules are those that `Ids` may go ahead of."""
+    before = rules.get("pre_tokenizer") or {}
+    first = (before.get("pretokenizers") or [None])[0] if before.get("type") == "Sequence" else None
+    return rules.get("normalizer") == _NORMALIZER and first == _SPLIT and not any(not t["special"] for t in rules.get("added_tokens") or [])
+
+
 class Ids:
     """Ids of texts by the vocabulary, remembered for chunks between ASCII white space.
 
-    The vocabulary's own rules part all text at white space, and between a letter of A-Z and a sign such as a full stop,
-    so a text's ids are those of its chunks in order; each distinct chunk, told apart by its bytes, goes through the
-    tokenizer itself. Ids are held in 16 bits where the vocabulary allows it, else in 32.
+    The given vocabulary's own rules part all text at white space, and between a letter of A-Z and a sign such as a full
+    stop, so a text's ids are those of its chunks in order; each distinct chunk, told apart by its bytes, goes through the
+    tokenizer itself. Where the rules are others (`parted` is false), a chunk is a whole text as it is, and nothing is
+    remembered. Ids are held in 16 bits where the vocabulary allows it, else in 32.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self.parted = parts_text(json.load(f))
         self.kind, self.code = (np.uint16, "H") if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else (np.uint32, "I")
         self.clear()
 
@@ -177,6 +194,10 @@ class Ids:
 
     def block(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a block, and where each row's begin."""
+        if not self.parted:
+            raw = data.tobytes()
+            rows = [self.tokenizer.encode(raw[a:b].decode("utf-8", "replace"), add_special_tokens=False).ids for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            return np.array([i for r in rows for i in r], self.kind), np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int64)
         low = data if b"<|" in data.tobytes() else C.LOWER[data]  # special tokens are told by their case
         start, end, _ = C.words(low, at)
         sign = np.flatnonzero(_SIGN[low[1:]] & _LETTER[low[:-1]]) + 1
@@ -224,7 +245,7 @@ def _pieces(path: str | None, length: int, end: int):
         for batch in batches:
             data, at = C.text_bytes(batch.column(1))
             held: list[np.ndarray] = []  # of a row that comes in pieces
-            for lo, hi, part, starts, more in C.pieces(data, at, READ):
+            for lo, hi, part, starts, more in C.pieces(data, at, READ) if know.parted else ((*b, False) for b in C.blocks(data, at, READ)):
                 ids, cut = know.block(part, starts)
                 if more:
                     held.append(ids)
@@ -293,7 +314,7 @@ def pack_documents(docs: DataFrame, *, length: int = LENGTH, end: int = END, gro
     n, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     groups = max(1, round(n / group), (size or 0) // GROUP_BYTES)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    docs = docs.withColumn("grp", F.pmod(F.xxhash64(F.lit(seed), "doc_id", F.crc32(F.col("text").cast("binary"))), F.lit(groups)))
+    docs = docs.withColumn("grp", F.pmod(F.xxhash64(F.lit(seed), "doc_id", F.crc32(F.col("text").cast("binary")), F.monotonically_increasing_id()), F.lit(groups)))
     docs = docs.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "text", "grp", F.col("doc_id").isNull().alias("no_id"))
     pieces = docs.mapInArrow(C.lean(_pieces(vocabulary_path, length, end), "ids"), "doc_id long, grp long, no_id boolean, start long, length long, doc_tokens long, ids binary")
     packed = pieces.groupBy("grp").applyInPandas(_place(length), SCHEMA)
