@@ -7,7 +7,7 @@ sample (SAMPLE vectors, by hash; all vectors are then placed in them), and their
 
 Equal vectors form a class and are compared once: copies count in n_links and share the component. A pair is counted
 in the first leaf that it shares, so a leaf gives only sums for each vector and a star for each component, never its
-pairs. A leaf that holds more than LEAF vectors is dealt in blocks of half of that, and each two blocks are compared in
+pairs. A leaf that holds more than LEAF vectors, or LEAF_BYTES of them, is dealt in blocks of half of that, and each two blocks are compared in
 a task of their own, so no pair in it is missed: the sample bounds the depth of the trees, and so the work grows with
 the square of such leaves.
 
@@ -34,8 +34,8 @@ from . import common as C
 
 THRESHOLD = 0.9
 TREES, SPILL, SAMPLE, LEAF = 10, 0.12, 20_000, 20_000
-#: Bytes of a sample, which bounds its rows where vectors are wide.
-SAMPLE_BYTES = 64 << 20
+#: Bytes of a sample, and of what a task compares, which bound their rows where vectors are wide.
+SAMPLE_BYTES, LEAF_BYTES = 64 << 20, 512 << 20
 #: Vectors for each leaf of the trees that deal them over the cluster.
 DEAL = 600
 MAX_DEPTH = 10
@@ -338,7 +338,7 @@ def _found(classes: DataFrame, n: int, kind: str, threshold: float, scratch: C.S
     sample = _matrix(drawn.select("v").toArrow().column("v").combine_chunks())
     deal = Deal(unit(sample), n, threshold)
     vectors = classes.select("cls", "v", "size")
-    deal.divide(vectors.mapInArrow(C.lean(deal.sizes), "leaf int, core boolean, n long").groupBy("leaf", "core").agg(F.sum("n")).collect(), LEAF)
+    deal.divide(vectors.mapInArrow(C.lean(deal.sizes), "leaf int, core boolean, n long").groupBy("leaf", "core").agg(F.sum("n")).collect(), max(2, min(LEAF, LEAF_BYTES // (24 * width))))  # three copies of doubles
     placed = vectors.mapInArrow(C.lean(deal.place), f"leaf int, one int, two int, block int, cls long, size long, v array<{kind}>, leaves binary")
     return scratch.table(placed.groupBy("leaf", "one", "two").applyInPandas(_compare(threshold, deal.regions), FOUND))
 
