@@ -243,7 +243,7 @@ def _counts(order: list[bytes]):
 
 
 def _scan(index: Index):
-    phrase = np.array([t.phrase for t in index.templates])
+    phrase = np.array([t.phrase for t in index.templates], bool)
     kind = pa.struct([("template", pa.int32()), ("first_word", pa.int64()), ("shared", pa.int32()), ("size", pa.int32())])
     spot = pa.struct([("template", pa.int32()), ("word", pa.int64())])
 
