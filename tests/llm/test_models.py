@@ -191,6 +191,19 @@ def test_language_long_texts_in_pieces(monkeypatch):
     assert (whole[0] == pieces[0]).all() and (whole[1] == pieces[1]).all()
 
 
+@pytest.mark.parametrize("gap", ["\n", "\t", "1", "", "\u3000"])
+def test_language_long_texts_whatever_parts_words(monkeypatch, gap):
+    """Texts without a blank are cut too: no piece is over twice PIECE."""
+    text = gap.join(prose(1, 3000).split())
+    whole, seen = language.trigrams(text), []
+    monkeypatch.setattr(language, "PIECE", 300)
+    plain = language.raw_codes
+    monkeypatch.setattr(language, "raw_codes", lambda t: seen.append(len(t)) or plain(t))
+    pieces = language.trigrams(text)
+    assert (whole[0] == pieces[0]).all() and (whole[1] == pieces[1]).all()
+    assert max(seen) <= 600 and sum(seen) == len(text)
+
+
 def test_language_odd_rows(spark, odd, empty):
     learnt = language.prototypes(table(spark, [(1, "aaa bbb"), (2, None), (3, "12")]).withColumn("lang", F.when(F.col("doc_id") < 3, F.lit("x"))))
     assert learnt[0] == ["x"]
@@ -447,6 +460,33 @@ def test_embeddings_sql(spark, duck):
     assert rows_of(embedding_dedup.query(spark, SMALL)) == duck_rows(duck, embedding_dedup.sql())
 
 
+def test_embeddings_sql_of_a_table_with_links(spark, tmp_path):
+    """More vectors than a leaf is dealt, with links and groups: the query goes through its trees and equals the SQL."""
+    import duckdb
+
+    from ..compare import duck_rows, rows_of
+
+    x = vectors(11, 400, 64)
+    assert len(x) > 2 * embedding_dedup.DEAL
+    rows = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    rows.coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = duck_rows(con, embedding_dedup.sql())
+    assert sum(n for r, n in want[1].items() if int(r[want[0].index("n_links")]) > 0) > 500
+    assert rows_of(embedding_dedup.query(spark, str(tmp_path))) == want
+
+
+def test_embeddings_wide_vectors_are_dealt_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "DEAL", 60)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors(2, 100, 200))], "vec_id long, embedding array<float>")
+    want, seen = sorted(embedding_dedup.near_vectors(rows).collect()), []
+    monkeypatch.setattr(embedding_dedup, "LEAF_BYTES", 24 * 200 * 30)
+    divide = embedding_dedup.Deal.divide
+    monkeypatch.setattr(embedding_dedup.Deal, "divide", lambda self, sizes, most: seen.append(most) or divide(self, sizes, most))
+    assert sorted(embedding_dedup.near_vectors(rows).collect()) == want and seen == [30]
+
+
 def test_embeddings_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [1.0, None]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [1.0]), (9, []), (10, [0.0, 1.0]), (None, [1.0, 0.1]), (11, [1e-30, 0.0])]

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tarnwell.llm import common as C
 from tarnwell.llm import ngram_join, packing, suffix_dedup
@@ -240,6 +241,17 @@ def test_suffix_dedup_is_exact_for_any_anchor_hash(spark, patched):
     assert digest(spark, rows) == cut(rows)
 
 
+def test_suffix_dedup_tells_texts_of_one_hash_apart(spark, monkeypatch):
+    """All texts have one short hash; each class still has all its anchors, and copies are still copies."""
+    x, y = prose(9, 60), prose(10, 80)
+    rows = [(1, x + prose(1, 30)), (2, y + x), (3, prose(2, 20) + y), (4, y + x), (5, prose(3, 50)), (6, None), (7, x)]
+    want = cut(rows)
+    assert sum(r[2] * n for r, n in want.items()) > 500
+    for same in (lambda t: F.lit(5).cast("long"), lambda t: F.length(t).cast("long") % 2):
+        monkeypatch.setattr(suffix_dedup, "half_key", same)
+        assert digest(spark, rows) == want
+
+
 def test_anchors_are_dealt_evenly():
     """The least hashes of windows crowd at 0; the fullest of 211 partitions of them still has little over the mean."""
     data, at = C.text_bytes(pa.array([prose(i, 4000, 2000) for i in range(200)]))
@@ -342,6 +354,27 @@ def test_packing_long_texts_in_pieces(spark, patched):
     assert {i: sum((p for _, p in sorted(x.items())), []) for i, x in whole.items()} == {i: [*tok.encode(t or "", add_special_tokens=False).ids, 2] for i, t in rows}
 
 
+def test_packing_with_a_cased_vocabulary(spark, tmp_path):
+    """A vocabulary with other rules gets texts as they are."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    book = {"[UNK]": 0, "The": 1, "the": 2, "x.": 3, "x": 4, ".": 5}
+    tokenizer = Tokenizer(models.WordLevel(book, "[UNK]"))
+    tokenizer.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    path = str(tmp_path / "cased.json")
+    tokenizer.save(path)
+    rows = [(1, "The the x."), (2, ""), (3, None), (4, "the\nThe . x")]
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in packing.pack_documents(table(spark, rows), vocabulary_path=path, end=9).collect()}
+    assert got == {1: [1, 2, 3, 9], 2: [9], 3: [9], 4: [2, 1, 5, 4, 9]}
+
+
+def test_packing_deals_repeated_rows(spark):
+    """Rows that are equal in all go to many groups, not to one."""
+    rows = spark.range(0, 20_000, 1, 4).select(F.lit(7).cast("long").alias("doc_id"), F.lit("one text").alias("text"))
+    got = packing.pack_documents(rows, group=1000).groupBy((F.col("sequence_id") / 2**32).cast("int").alias("g")).count().collect()
+    assert sum(r["count"] for r in got) >= 20_000 and len(got) == 20 and max(r["count"] for r in got) < 1500
+
+
 def test_packing_query_has_checksums(spark, monkeypatch):
     docs = table(spark, [(1, "hello world"), (2, None)])
     monkeypatch.setattr(packing.C, "load", lambda *a: docs)
