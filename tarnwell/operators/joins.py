@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+
 
 def asof_join(left: DataFrame, right: DataFrame, *, by: list[str], left_time: str, right_time: str, values: list[str]) -> DataFrame:
     """For each left row the values of the latest right row of the same keys at or before its time, else null.
@@ -76,3 +78,25 @@ def nearest_vectors(queries: DataFrame, vectors: DataFrame, *, id_col: str, vect
 def top_per_group(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
     """The first n rows of each group; Spark limits each group before the shuffle."""
     return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_rank") <= n).drop("_rank")
+
+
+#: A key with fewer rows needs no join of its own.
+HOT_ROWS = 1000
+
+
+def spread_join(rows: DataFrame, other: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with `other`, which has one row for a key, without bringing a hot key's rows together.
+
+    A key is hot if it has over HOT_ROWS rows and over one in 4p of all, p being the shuffle partitions; so under 4p keys
+    are hot, whatever the size of the input. Their rows of `other` are broadcast, and `rows` stay where they are; all
+    others are joined by shuffle. Nulls in keys match nothing. `rows` is read several times: a written table, or a cheap
+    view of one. how: inner, left or left_anti.
+    """
+    p = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = rows.groupBy(*on).count()
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    hot = written(counts.where(F.col("count") > max(HOT_ROWS, total // (4 * p))).select(*on).dropna(), "hot-keys") if total > HOT_ROWS else None
+    if hot is None or hot.isEmpty():
+        return rows.join(other, on, how)
+    wide = rows.join(F.broadcast(hot), on, "left_semi").join(F.broadcast(other.join(F.broadcast(hot), on, "left_semi")), on, how)
+    return wide.unionByName(rows.join(F.broadcast(hot), on, "left_anti").join(other, on, how))

@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _all() -> None:
-    from . import expressions, relational, timed  # noqa: F401
+    from . import corpus, expressions, relational, timed  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -6,6 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -18,6 +19,22 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ready(spark: SparkSession) -> SparkSession:
+    """Gives the executors this package, for Python functions that use it."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_tarnwell_base_sent", False):
+        top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+        path = os.path.join(tempfile.mkdtemp(prefix="tarnwell-"), "tarnwell-base.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for folder, _, names in os.walk(os.path.join(top, "tarnwell")):
+                for x in names:
+                    if x.endswith(".py"):
+                        z.write(os.path.join(folder, x), os.path.relpath(os.path.join(folder, x), top))
+        sc.addPyFile(path)
+        sc._tarnwell_base_sent = True
+    return spark
+
+
 def register(spark: SparkSession, sf_dir: str, *names: str) -> None:
     """Makes tables visible to SQL as temporary views."""
     for name in names or TABLES:
@@ -68,3 +85,10 @@ def read_jdbc(spark: SparkSession, url: str, table: str, *, column: str, lower:
 
 def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "errorifexists", **properties: str) -> None:
     df.write.jdbc(url, table, mode=mode, properties=properties)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The table, written to the shared folder and read back: lineage ends there, and any executor can read it again."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
