@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import joins
-from ..sources.tables import load
+from ..operators import blocks, joins, quantiles, sketches
+from ..sources.tables import load, written
 from .registry import query
 
 
@@ -398,3 +398,77 @@ def q45_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rounded = lambda a, b: F.round(text.cosine(a, b), 9)
     found = joins.nearest_vectors(e.where("vec_id % 50 = 0"), e, id_col="vec_id", vector_col="embedding", k=5, cosine=rounded)
     return found.select("query_id", "found_id", F.round("score", 6).alias("score"))
+
+
+@query("""
+SELECT event_type, q AS fraction, count(*) AS n, round(CASE q WHEN 0.0 THEN percentile_cont(0.0) WITHIN GROUP (ORDER BY value) WHEN 0.25 THEN percentile_cont(0.25) WITHIN GROUP (ORDER BY value)
+  WHEN 0.5 THEN percentile_cont(0.5) WITHIN GROUP (ORDER BY value) WHEN 0.99 THEN percentile_cont(0.99) WITHIN GROUP (ORDER BY value) ELSE percentile_cont(1.0) WITHIN GROUP (ORDER BY value) END, 6) AS percentile
+FROM events, (VALUES (0.0::DOUBLE), (0.25), (0.5), (0.99), (1.0)) t(q) GROUP BY event_type, q
+""")
+def q46_exact_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact percentiles by narrowing ranges; `few` is small, so that several rounds run."""
+    found = quantiles.exact_percentiles(load(spark, sf_dir, "events"), by=["event_type"], value="value", fractions=[0.0, 0.25, 0.5, 0.99, 1.0], few=100)
+    return found.withColumn("percentile", F.round("percentile", 6))
+
+
+#: Events of which one user has half; the driver's own users have about as many each.
+_HOT = "WITH e AS (SELECT event_id, ts, event_type, value, CASE WHEN event_id % 2 = 0 THEN 0 ELSE user_id END AS user_id FROM events)"
+
+
+def _hot_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "events").withColumn("user_id", F.when(F.col("event_id") % 2 == 0, F.lit(0)).otherwise(F.col("user_id")).cast("long"))
+
+
+@query(_HOT + "SELECT event_id, user_id, round(sum(value) OVER w, 4) AS running_sum, count(value) OVER w AS running_count FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
+def q47_hot_running(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running sums over a key that has half of all rows, in blocks with carried sums."""
+    out = blocks.running(_hot_events(spark, sf_dir).select("event_id", "user_id", "ts", "value"), by=["user_id"], order=["ts", "event_id"], value="value", rows=1000)
+    return out.select("event_id", "user_id", F.round("running_sum", 4).alias("running_sum"), "running_count")
+
+
+@query(_HOT + """,
+a AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 5 MINUTES THEN 1 ELSE 0 END AS new FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts))
+SELECT event_id, user_id, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM a
+""")
+def q48_hot_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Session numbers over a key that has half of all rows."""
+    out = blocks.sessions(_hot_events(spark, sf_dir).select("event_id", "user_id", "ts"), by=["user_id"], time="ts", gap_seconds=300, rows=1000)
+    return out.select("event_id", "user_id", F.col("session").cast("long").alias("session"))
+
+
+@query(_HOT + """
+SELECT p.event_id, p.user_id, v.event_id AS view_id FROM (SELECT * FROM e WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM e WHERE event_type = 'view') v ON p.user_id = v.user_id AND p.ts >= v.ts
+""")
+def q49_hot_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last view before each purchase, where one user has half of all rows."""
+    e = _hot_events(spark, sf_dir)
+    left = e.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    right = e.where("event_type = 'view'").select("user_id", F.col("ts").alias("view_ts"), F.col("event_id").alias("view_id"))
+    return blocks.asof(left, right, by=["user_id"], left_time="ts", right_time="view_ts", values=["view_id"], rows=1000).select("event_id", "user_id", "view_id")
+
+
+@query("""
+WITH u AS (SELECT DISTINCT time_bucket(INTERVAL 1 DAY, ts) AS day, user_id FROM events),
+c AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, user_id, count(*) AS n FROM events GROUP BY ALL),
+t AS (SELECT day, list(n ORDER BY n DESC)[1:3] AS top_counts FROM c GROUP BY day)
+SELECT e.day, e.n, e.users, true AS users_within, (SELECT count(*) FROM u JOIN u b ON b.day = u.day - INTERVAL 1 DAY AND b.user_id = u.user_id WHERE u.day = e.day) AS returning, true AS returning_within, t.top_counts, true AS median_within
+FROM (SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY ALL) e JOIN t USING (day)
+""")
+def q50_sketch_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days from hourly sketches that are written; next to what they say, the exact values, and whether they are within bounds."""
+    events = load(spark, sf_dir, "events")
+    hourly = written(sketches.sketched(events, time="ts", width="1 hour", by=[], item="user_id", value="value"), "sketches")
+    days = sketches.with_returning(sketches.merged(hourly, width="1 day", by=[]), width="1 day", by=[])
+    days = days.select(F.col("bucket").alias("day"), "n", F.theta_sketch_estimate("items").alias("about"), F.coalesce(F.theta_sketch_estimate("returning"), F.lit(0)).alias("about_returning"), F.kll_sketch_get_quantile_double("values", F.lit(0.5)).alias("median"), F.expr("transform(approx_top_k_estimate(top, 3), x -> x.count)").alias("top_counts"))
+    days = written(days, "days")
+    rows = events.select(F.window("ts", "1 day")["start"].cast("timestamp_ntz").alias("day"), "user_id", "value")
+    users = rows.select("day", "user_id").distinct()
+    again = users.join(users.select((F.col("day") + F.expr("INTERVAL 1 DAY")).alias("day"), "user_id"), ["day", "user_id"], "left_semi").groupBy("day").agg(F.count("*").alias("returning"))
+    ranks = rows.join(days.select("day", "median"), "day").groupBy("day").agg(F.avg((F.col("value") < F.col("median")).cast("double")).alias("under"), F.avg((F.col("value") <= F.col("median")).cast("double")).alias("upto"))
+    exact = users.groupBy("day").agg(F.count("*").alias("users")).join(again, "day", "left").join(ranks, "day").withColumn("returning", F.coalesce("returning", F.lit(0)))
+    near = lambda about, real: F.abs(F.col(about) - F.col(real)) <= 0.05 * F.col("users")  # noqa: E731  three standard errors of the larger set
+    error = sketches.RANK_ERROR
+    return days.join(exact, "day").select(
+        "day", "n", "users", near("about", "users").alias("users_within"), "returning", near("about_returning", "returning").alias("returning_within"), "top_counts",
+        ((F.col("under") <= 0.5 + error) & (F.col("upto") >= 0.5 - error)).alias("median_within"),
+    )

@@ -98,6 +98,44 @@ def t11_stream_custom_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.finished(spark, windows.longest_runs(windows.stream(spark, sf_dir)), "update", ["user_id"])
 
 
+#: Events in the order in which they come: one in ten is 30 hours late, and each batch has what comes in ten days.
+_ARRIVALS = """
+WITH a AS (SELECT *, CAST(floor((epoch_us(ts) + CASE WHEN event_id % 10 = 3 THEN 108000000000 ELSE 0 END) / 864000000000) AS INT) AS arrival FROM events),
+m AS (SELECT arrival, max(ts) AS last FROM a GROUP BY arrival),
+w AS (SELECT arrival, date_trunc('milliseconds', max(last) OVER (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) - INTERVAL 6 HOURS AS mark FROM m)
+"""
+
+
+def _arriving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    late = F.when(F.col("event_id") % 10 == 3, 108_000_000_000).otherwise(0)
+    return load(spark, sf_dir, "events").withColumn("arrival", F.floor((F.unix_micros(F.col("ts").cast("timestamp")) + late) / 864_000_000_000).cast("int"))
+
+
+@query(_ARRIVALS + """
+SELECT time_bucket(INTERVAL 1 DAY, ts) AS bucket, event_type, count(*) AS n, round(sum(value), 4) AS total
+FROM a JOIN w USING (arrival) WHERE mark IS NULL OR time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY > mark GROUP BY ALL
+""")
+def t12_stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days as a stream of several batches sees them: a row that comes after the watermark has passed its day is left out."""
+    build = lambda rows: windows.timely(rows, delay="6 hours", width="1 day", by=["event_type"], value="value")
+    out = windows.in_arrivals(spark, _arriving(spark, sf_dir), "arrival", build, mode="update", keys=["bucket", "event_type"])
+    return out.select(F.col("bucket").cast("timestamp_ntz").alias("bucket"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query(_ARRIVALS + """,
+k AS (SELECT a.* FROM a JOIN w USING (arrival) WHERE mark IS NULL OR ts > mark),
+g AS (SELECT *, CASE WHEN lag(ts) OVER u IS NULL OR ts - lag(ts) OVER u >= INTERVAL 6 HOURS THEN 1 ELSE 0 END AS new FROM k WINDOW u AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM g),
+e AS (SELECT user_id, session, min(ts) AS began, max(ts) AS ended, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, session)
+SELECT user_id, began, ended, n, total FROM e WHERE ended + INTERVAL 6 HOURS <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 6 HOURS FROM events)
+""")
+def t13_stream_timers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions by custom state whose timers give them out; those still open at the end are not there."""
+    build = lambda rows: windows.timed_sessions(rows, delay="6 hours", gap_seconds=21_600)
+    out = windows.in_arrivals(spark, _arriving(spark, sf_dir), "arrival", build, mode="append")
+    return out.select("user_id", F.col("began").cast("timestamp_ntz").alias("began"), F.col("ended").cast("timestamp_ntz").alias("ended"), "n", F.round("total", 4).alias("total"))
+
+
 def _round_trip(spark: SparkSession, df: DataFrame, fmt: str, schema: str | None, **options: str) -> DataFrame:
     path = tables.shared_path(spark, fmt)
     tables.write(df, path, fmt, **options)
@@ -134,3 +172,32 @@ def s05_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def s06_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round_trip(spark, load(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"), "xml", "n_nationkey int, n_name string, n_regionkey int", rowTag="nation", rootTag="nations")
+
+
+@query("""
+SELECT o_orderpriority, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderpriority
+""")
+def s07_bucketed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tables saved in buckets by the order's key, joined where they lie."""
+    orders, lines = _bucketed(spark, sf_dir)
+    return orders.join(lines.hint("merge"), F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+
+
+def _bucketed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    orders = tables.save_bucketed(load(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), "orders", ["o_orderkey"], 8)
+    return orders, tables.save_bucketed(load(spark, sf_dir, "lineitem").select("l_orderkey", "l_extendedprice", "l_discount"), "lineitem", ["l_orderkey"], 8)
+
+
+@query("""
+SELECT o_orderstatus, year(o_orderdate) AS year, count(*) AS n, round(sum(CASE WHEN o_orderstatus = 'F' AND year(o_orderdate) = 1996 THEN 2 * o_totalprice ELSE o_totalprice END), 2) AS total FROM orders GROUP BY ALL
+""")
+def s08_dynamic_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table in folders by status and year, of which one year's finished orders are written again, twice, with other prices."""
+    path = tables.shared_path(spark, "replaced")
+    orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", F.year("o_orderdate").alias("year"))
+    tables.replace_partitions(orders, path, ("o_orderstatus", "year"))
+    again = orders.where("o_orderstatus = 'F' and year = 1996").withColumn("o_totalprice", 2 * F.col("o_totalprice"))
+    for _ in range(2):
+        tables.replace_partitions(again, path, ("o_orderstatus", "year"))
+    rows = spark.read.schema("o_orderkey long, o_totalprice double, o_orderstatus string, year int").parquet(path)
+    return rows.groupBy("o_orderstatus", F.col("year").cast("long").alias("year")).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))

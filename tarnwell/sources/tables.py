@@ -55,6 +55,34 @@ def write(df: DataFrame, path: str, fmt: str, mode: str = "errorifexists", parti
     (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
 
 
+def save_bucketed(df: DataFrame, name: str, keys: list[str], buckets: int) -> DataFrame:
+    """Saves a table whose rows lie in buckets by `keys`, sorted within, and returns it: joins on the keys of tables with as many buckets need no exchange.
+
+    The files are in the shared folder; the table's name goes from the catalog when Python ends. The rows are dealt by the
+    keys first, so each bucket is one file.
+    """
+    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
+    table = f"{name}_{uuid.uuid4().hex}"
+    df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).format("parquet").saveAsTable(table)
+
+    def drop() -> None:
+        try:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        except Exception:  # the session has ended
+            pass
+
+    atexit.register(drop)
+    return spark.table(table)
+
+
+def replace_partitions(df: DataFrame, path: str, partition_by: tuple[str, ...]) -> None:
+    """Writes rows into folders by the values of partition_by; folders that get rows are replaced whole, all others stay.
+
+    So a run that is repeated, after a failure or with corrected rows, leaves no rows twice.
+    """
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new folder that all executors share, under spark.checkpoint.dir; it goes when Python ends.
 

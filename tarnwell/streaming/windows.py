@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -80,3 +80,126 @@ def longest_runs(events: DataFrame) -> DataFrame:
 
     rows = events.select("user_id", "ts", "event_id", "value")
     return rows.groupBy("user_id").applyInPandasWithState(run, "user_id long, n long, longest long", "n long, now long, best long, last double", "update", GroupStateTimeout.NoTimeout)
+
+
+# --- streams that arrive in several batches -------------------------------------------------------------------------
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def in_arrivals(spark: SparkSession, rows: DataFrame, arrival: str, build: Callable[[DataFrame], DataFrame], *, mode: str, time: str = "ts", keys: list[str] | None = None) -> DataFrame:
+    """Runs a stream over rows that arrive in several batches, the numbers in `arrival` in order, and returns its result.
+
+    For each number its rows are added to a folder, and the stream is started anew from its checkpoint and run over what
+    has come, so all it knows of earlier batches is its state, which RocksDB keeps in the shared folder. build: from the
+    stream of rows (times zoned, no watermark yet) to the streaming result. The result is read as `finished` does.
+    """
+    top = shared_path(spark, "arrivals")
+    rows = rows.withColumn(time, F.col(time).cast("timestamp"))
+    numbers = [r[0] for r in rows.select(arrival).distinct().orderBy(arrival).collect()]  # few, by the caller's rule
+    if not numbers:
+        raise ValueError("nothing arrives, so there is nothing to start a stream for")
+    rows.write.partitionBy(arrival).parquet(f"{top}/rows")
+    schema = rows.drop(arrival).schema
+    conf, name = spark.conf, "spark.sql.streaming.stateStore.providerClass"
+    old = conf.get(name, None)
+    conf.set(name, ROCKS)
+    try:
+        for n in numbers:
+            spark.read.schema(schema).parquet(f"{top}/rows/{arrival}={n}").write.mode("append").parquet(f"{top}/in")
+            source = spark.readStream.schema(schema).parquet(f"{top}/in")
+            _run(build(source), mode, top)
+    finally:
+        conf.set(name, old) if old is not None else conf.unset(name)
+    return _result(spark, build(spark.readStream.schema(schema).parquet(f"{top}/in")), mode, top, keys)
+
+
+def _run(df: DataFrame, mode: str, top: str) -> None:
+    """One start of a stream over all that has come; each of its batches has a folder that a second try overwrites."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{top}/out/batch={0 if mode == 'complete' else number}")
+
+    query = df.writeStream.outputMode(mode).option("checkpointLocation", f"{top}/checkpoint").trigger(availableNow=True).foreachBatch(put).start()
+    try:
+        query.awaitTermination()
+    finally:
+        query.stop()
+
+
+def _result(spark: SparkSession, df: DataFrame, mode: str, top: str, keys: list[str] | None) -> DataFrame:
+    """What a stream has written. In update mode the last row of each key counts."""
+    out = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(f"{top}/out")
+    if mode == "update":
+        others = [c for c in df.columns if c not in keys]
+        return out.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("_last")).select(*keys, "_last.*").select(df.columns)
+    return out.select(df.columns)
+
+
+def timely(events: DataFrame, *, delay: str, width: str, by: list[str], value: str) -> DataFrame:
+    """Count and sum for each window and key of the rows that come before the watermark has passed their window's end."""
+    rows = events.withWatermark("ts", delay).groupBy(F.window("ts", width), *by).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
+    return rows.select(F.col("window.start").alias("bucket"), *by, "n", "total")
+
+
+def timed_sessions(events: DataFrame, *, delay: str, gap_seconds: int) -> DataFrame:
+    """user_id, began, ended, n and total of each user's sessions, by state and event-time timers of our own.
+
+    State is a user's open sessions. Rows may come in any order within the watermark: each opens a session, prolongs one, or
+    joins two that it lies between. A session that ended `gap_seconds` before the watermark can get no more rows: its timer
+    goes off, it is given out, and its state is dropped. Rows behind the watermark are dropped by Spark.
+    """
+    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+    class Sessions(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            # began and ended in microseconds, rows and sum of each open session, as four lists.
+            self.open = handle.getValueState("open", "began array<long>, ended array<long>, n array<long>, total array<double>")
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            held = [list(x) for x in zip(*self.open.get(), strict=True)] if self.open.exists() else []
+            timers = {e for _, e, _, _ in held}
+            for batch in rows:
+                times = batch["ts"].dt.tz_localize(None).astype("datetime64[us]").astype("int64")
+                held += [[t, t, 1, v] for t, v in zip(times.tolist(), batch["value"].tolist(), strict=True)]
+            held.sort()
+            merged: list[list] = []
+            for began, ended, n, total in held:
+                if merged and began - merged[-1][1] < gap_seconds * 1_000_000:
+                    last = merged[-1]
+                    last[1], last[2], last[3] = max(last[1], ended), last[2] + n, last[3] + total
+                else:
+                    merged.append([began, ended, n, total])
+            self.keep(merged)
+            ends = {e for _, e, _, _ in merged}
+            for e in timers - ends:
+                self.handle.deleteTimer(self.due(e))
+            for e in ends - timers:
+                self.handle.registerTimer(self.due(e))
+            yield from ()
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            now = expiredTimerInfo.getExpiryTimeInMs()
+            held = [list(x) for x in zip(*self.open.get(), strict=True)] if self.open.exists() else []
+            done = [x for x in held if self.due(x[1]) <= now]
+            self.keep([x for x in held if self.due(x[1]) > now])
+            if done:
+                at = lambda i: pd.to_datetime([x[i] for x in done], unit="us", utc=True)
+                yield pd.DataFrame({"user_id": [key[0]] * len(done), "began": at(0), "ended": at(1), "n": [x[2] for x in done], "total": [x[3] for x in done]})
+
+        def keep(self, held: list[list]) -> None:
+            if held:
+                self.open.update(tuple([x[i] for x in held] for i in range(4)))
+            else:
+                self.open.clear()
+
+        def due(self, ended: int) -> int:
+            """Milliseconds, rounded up: no sooner than the gap is over."""
+            return -(-(ended + gap_seconds * 1_000_000) // 1000)
+
+        def close(self) -> None:
+            pass
+
+    rows = events.withWatermark("ts", delay).select("user_id", "ts", "value")
+    return rows.groupBy("user_id").transformWithStateInPandas(Sessions(), "user_id long, began timestamp, ended timestamp, n long, total double", "Append", "EventTime")
