@@ -26,7 +26,7 @@ from . import common as C
 from . import linear as L
 
 PER_CLASS, MOST_BYTES = 5000, 1 << 18
-FEATURES = 12_000
+FEATURES = 2_000
 #: Terms that name groups of people, by kind; terms of a kind are swapped for one another.
 IDENTITY_TERMS = (
     ("women", "men"),
