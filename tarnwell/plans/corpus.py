@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import personal
 from ..operators import near_text, passages
-from ..sources.tables import load
+from ..sources.tables import load, ready
 from .registry import query
 
 
@@ -51,3 +53,26 @@ FROM s JOIN c USING (doc_id, item_id)
 def c03_benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where documents have runs of eight words of a benchmark item, and how much of the item that is."""
     return passages.item_overlap(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), doc_id="doc_id", item_id="item_id", text_col="text", n=8)
+
+
+@query(r"""
+WITH c AS (
+  SELECT doc_id, 'card' AS kind, unnest(regexp_extract_all(text, '[0-9]+')) AS v FROM documents
+  UNION ALL SELECT doc_id, 'iban', unnest(regexp_extract_all(text, '[A-Za-z0-9]+')) FROM documents
+  UNION ALL SELECT doc_id, 'ip', unnest(regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)+')) FROM documents
+  UNION ALL SELECT doc_id, 'mail', unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*')) FROM documents
+  UNION ALL SELECT doc_id, 'secret', unnest(regexp_extract_all(text, '(?:token|secret|password|api_key) *[=:] *["'']([A-Za-z0-9+/=_-]*)["'']', 1)) FROM documents),
+d AS (SELECT *, list_reverse(string_split(v, '')) AS r, list_distinct(string_split(v, '')) AS u FROM c),
+k AS (SELECT doc_id, kind, v FROM d WHERE CASE kind
+  WHEN 'card' THEN len(v) BETWEEN 13 AND 19 AND list_sum(list_transform(r, lambda x, i: CASE WHEN i % 2 = 1 THEN x::INT ELSE (2 * x::INT) // 10 + (2 * x::INT) % 10 END)) % 10 = 0
+  WHEN 'iban' THEN CASE WHEN regexp_full_match(v, '[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}') THEN list_reduce(list_prepend(0, list_transform(string_split(v[5:] || v[1:4], ''), lambda x: CASE WHEN x <= '9' THEN ascii(x) - 48 ELSE ascii(x) - 55 END)), lambda s, x: (s * CASE WHEN x < 10 THEN 10 ELSE 100 END + x) % 97) = 1 ELSE false END
+  WHEN 'ip' THEN regexp_full_match(v, '(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(\.(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])){3}')
+  WHEN 'mail' THEN regexp_full_match(v, '[A-Za-z0-9_%+-]+(\.[A-Za-z0-9_%+-]+)*@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+')
+  ELSE len(v) >= 16 AND -list_sum(list_transform(u, lambda y: len(list_filter(r, lambda z: z = y)) / len(v) * log2(len(list_filter(r, lambda z: z = y)) / len(v)))) >= 3.0 END)
+SELECT doc_id, kind, v AS value, count(*) AS n FROM k GROUP BY ALL
+""")
+def c04_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards, account numbers, addresses, mail names and secrets that pass their checks, by document."""
+    docs = load(ready(spark), sf_dir, "documents")
+    spans = docs.select("doc_id", F.inline(personal.checked()("text")["spans"]))
+    return spans.groupBy("doc_id", "kind", "value").agg(F.count("*").alias("n"))
