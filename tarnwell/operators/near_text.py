@@ -18,11 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import runs as R
-from ..sources.tables import ready, written
+from ..sources.tables import dropped, ready, written
 from .graph import connected_components
 from .joins import spread_join
 
 BANDS, ROWS, SEED = 20, 4, 29
+#: Rows of one number each that are broadcast at the most.
+SMALL = 500_000
 
 
 def runs(text: str, n: int) -> set[tuple[bytes, ...]]:
@@ -105,7 +107,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str, text_col: str, n: int = 5,
     shared = buckets.groupBy("band", "key").agg(F.min(F.struct("cls", "n")).alias("head"), F.count("*").alias("members")).where("members > 1").select("band", "key", F.col("head.cls").alias("head"), F.col("head.n").alias("head_n"))
     buckets = written(buckets, "buckets")
     near = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent  # noqa: E731  sets of such sizes can be that similar
-    members = written(spread_join(buckets, written(shared, "bucket-heads"), ["band", "key"]), "members")
+    shared = written(shared, "bucket-heads")
+    members = written(spread_join(buckets, shared, ["band", "key"]), "members")
+    dropped(buckets, shared)
     heads = members.where("cls <> head").where(near(F.col("n"), F.col("head_n"))).select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct()
     linked = written(_verified(heads, texts, n, percent), "links")
     # What did not link with its bucket's head meets the bucket's other members.
@@ -113,6 +117,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str, text_col: str, n: int = 5,
     pairs = rest.join(members.where("cls <> head").select("band", "key", F.col("cls").alias("a"), "n"), ["band", "key"]).where("a <> b").where(near(F.col("n"), F.col("m")))
     pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     found = linked if pairs.isEmpty() else linked.unionByName(written(_verified(pairs, texts, n, percent), "links"))
+    dropped(texts, members)
     root = classes.select("cls", "key", "first").join(sizes, "cls")
     if not found.isEmpty():
         root = root.join(connected_components(found).withColumnRenamed("node", "cls"), "cls", "left")
@@ -128,6 +133,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str, text_col: str, n: int = 5,
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose texts are as similar as asked."""
     pairs = written(pairs, "candidates")
+    # Only texts that are in a pair move. Their classes are broadcast up to SMALL rows of a number each, else joined by shuffle.
+    need = written(pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct(), "candidate-classes")
+    texts = texts.join(F.broadcast(need) if need.count() <= SMALL else need, "cls", "left_semi")
     # A class that heads very many pairs is joined where they are.
     one = spread_join(pairs, texts.select(F.col("cls").alias("a"), F.col("text").alias("one")), ["a"])
     both = one.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("two")), "b")

@@ -115,8 +115,30 @@ def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "errorifexists",
     df.write.jdbc(url, table, mode=mode, properties=properties)
 
 
+#: Spark's own setting that removes an execution's shuffle files at its end.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The table, written to the shared folder and read back: lineage ends there, and any executor can read it again."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """The table, written to the shared folder and read back: lineage ends there, and any executor can read it again.
+
+    Shuffle files behind it go once it is written; `dropped` removes it when nothing reads it any more.
+    """
+    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
+    old = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, old)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes the files of tables that `written` gave."""
+    for t in tables:
+        spark = t.sparkSession
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t._written_path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -6,6 +6,7 @@ from collections import Counter
 
 import pytest
 
+from tarnwell.functions import personal
 from tarnwell.functions import runs as R
 from tarnwell.operators import graph, joins, near_text, passages
 
@@ -168,3 +169,20 @@ def test_run_hashes_follow_the_words():
     words = R.words_of(["a b c d", None, "b c d e", "a"])
     x = R.run_hashes(words, 3)
     assert [len(v) for v in x] == [2, 0, 2, 0] and x[0][1] == x[2][0] and x[0][0] != x[2][1]
+
+
+def test_personal_data_passes_its_checks(spark):
+    good = [("card", "4111111111111111"), ("iban", "DE89370400440532013000"), ("iban", "GB82WEST12345698765432"), ("ip", "192.168.0.1"), ("ip", "255.255.255.0"), ("mail", "a.b@c-d.example"), ("secret", "04dbebab91ab85687d33eeaaf9ac699e")]
+    bad = ["4111111111111112", "411111111111", "41111111111111111111", "DE89370400440532013001", "de89370400440532013000", "256.1.1.1", "1.2.3", "1.2.3.4.5", "01.2.3.4", "a..b@c.d", "a@b", "@c.d", 'token = "aaaaaaaaaaaaaaaaaaaa"', 'token = "short1"', 'x = "04dbebab91ab85687d33eeaaf9ac699e"']
+    text = "é " + " , ".join(f'token = "{v}"' if k == "secret" else v for k, v in good) + " | " + " | ".join(bad)
+    rows = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "9" * 200_000 + " 4111111111111111")], "id int, text string")
+    got = {r.id: r for r in rows.select("id", personal.checked()("text").alias("s")).select("id", "s.*").collect()}
+    assert Counter((s.kind, s.value) for s in got[1].spans) == Counter(good)
+    assert all(text[s.start : s.end] == s.value for s in got[1].spans) and [s.start for s in got[1].spans] == sorted(s.start for s in got[1].spans)
+    assert got[1].masked.startswith("é <card> , <iban> , <iban> , <ip>") and all(b in got[1].masked for b in bad) and not any(v in got[1].masked for _, v in good[:-1])
+    assert got[2].spans is None and got[2].masked is None and got[3].spans == [] and got[3].masked == ""
+    assert [(s.start, s.end) for s in got[4].spans] == [(200_001, 200_017)]
+
+
+def test_masks_of_spans_that_overlap():
+    assert personal.masked("abcdef", [("x", 0, 3, ""), ("y", 2, 5, ""), ("z", 0, 2, "")]) == "<x>def"
