@@ -15,7 +15,7 @@ def scaled(x: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.DoubleType())
 def spread(x: pd.Series) -> float:
-    """An aggregate: greatest less least."""
+    """An aggregate: greatest less least. It shows the form; a group's values are one task's, and max - min of Spark has no such bound."""
     return float(x.max() - x.min())
 
 

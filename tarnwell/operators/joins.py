@@ -65,14 +65,22 @@ def interval_join(left: DataFrame, right: DataFrame, *, by: str, left_time: str,
     return a.join(b, [by, "_bucket"]).where((ahead > 0) & (ahead <= seconds * 1_000_000)).drop("_bucket")
 
 
-def nearest_vectors(queries: DataFrame, vectors: DataFrame, *, id_col: str, vector_col: str, k: int, cosine) -> DataFrame:
-    """For each row of a stated, bounded query set the k nearest other rows by cosine; ties go to the smaller id.
+def nearest_vectors(queries: DataFrame, vectors: DataFrame, *, id_col: str, vector_col: str, k: int, cosine, most: int = 10_000) -> DataFrame:
+    """For each row of a stated query set the k nearest other rows by cosine; ties go to the smaller id.
 
-    Each task keeps k rows a query, so what is shuffled is queries times k for each task, never all pairs.
+    Queries are broadcast in slices of about `most` rows, dealt by a hash of their ids, and the vectors are read once for each
+    slice; so what is broadcast does not grow with the query set. Each task keeps k rows a query: what is shuffled is queries
+    times k for each task, never all pairs.
     """
     q = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("_query"))
-    pairs = vectors.join(F.broadcast(q), F.col("query_id") != F.col(id_col)).select("query_id", F.col(id_col).alias("found_id"), cosine(F.col("_query"), F.col(vector_col)).alias("score"))
-    return top_per_group(pairs.where("score is not null"), ["query_id"], [F.desc("score"), F.asc("found_id")], k)
+    slices = max(1, -(-q.count() // most))
+    found = None
+    for i in range(slices):
+        part = q if slices == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == i)
+        pairs = vectors.join(F.broadcast(part), F.col("query_id") != F.col(id_col)).select("query_id", F.col(id_col).alias("found_id"), cosine(F.col("_query"), F.col(vector_col)).alias("score"))
+        best = top_per_group(pairs.where("score is not null"), ["query_id"], [F.desc("score"), F.asc("found_id")], k)
+        found = best if found is None else found.unionByName(best)
+    return found
 
 
 def top_per_group(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:

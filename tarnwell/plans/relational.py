@@ -344,7 +344,7 @@ def q39_sets_and_min_by(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT event_type, count(*) AS n, true AS median_near, true AS distinct_near, true AS histogram_whole FROM events GROUP BY event_type
+SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS true_users, true AS median_near, true AS distinct_near, true AS histogram_whole FROM events GROUP BY event_type
 """)
 def q40_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sketches against exact figures: the rank of the approximate median, the distinct count, the histogram's mass."""
@@ -357,7 +357,7 @@ def q40_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     exact = e.join(F.broadcast(drawn.select("event_type", "median")), "event_type").groupBy("event_type").agg(F.count_if(F.col("value") <= F.col("median")).alias("below"), F.count_if(F.col("value") < F.col("median")).alias("under"), F.countDistinct("user_id").alias("true_users"))
     near = (F.col("below") >= F.col("n") * 0.499 - 1) & (F.col("under") <= F.col("n") * 0.501 + 1)
-    return drawn.join(exact, "event_type").select("event_type", "n", near.alias("median_near"), (F.abs(F.col("users") - F.col("true_users")) <= 0.05 * F.col("true_users") + 1).alias("distinct_near"), (F.abs(F.col("mass") - F.col("n")) < 1e-6 * F.col("n")).alias("histogram_whole"))
+    return drawn.join(exact, "event_type").select("event_type", "n", "true_users", near.alias("median_near"), (F.abs(F.col("users") - F.col("true_users")) <= 0.05 * F.col("true_users") + 1).alias("distinct_near"), (F.abs(F.col("mass") - F.col("n")) < 1e-6 * F.col("n")).alias("histogram_whole"))
 
 
 @query("SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 5000 INTERSECT SELECT s_nationkey FROM supplier")
@@ -365,9 +365,9 @@ def q41_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "customer").where("c_acctbal > 5000").select(F.col("c_nationkey").alias("k")).intersect(load(spark, sf_dir, "supplier").select("s_nationkey"))
 
 
-@query("SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 0")
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'")
 def q42_except(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k")).subtract(load(spark, sf_dir, "supplier").where("s_acctbal > 0").select("s_nationkey"))
+    return load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).subtract(load(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select("o_custkey"))
 
 
 @query("SELECT c_name AS name, c_acctbal AS balance, c_mktsegment AS segment FROM customer UNION ALL SELECT s_name, s_acctbal, NULL FROM supplier")

@@ -68,7 +68,11 @@ def followed(left: DataFrame, right: DataFrame, *, by: str, seconds: int) -> Dat
 
 
 def longest_runs(events: DataFrame) -> DataFrame:
-    """For each user the number of events and the longest run of growing values, by state of our own kept from batch to batch."""
+    """For each user the number of events and the longest run of growing values, by state of our own kept from batch to batch.
+
+    Rows are sorted within a batch only: a row that comes in a later batch than one behind it in time counts as if it were
+    newer. `timed_sessions` shows state that does not depend on the order.
+    """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, now, best, last = state.get if state.exists else (0, 0, 0, float("-inf"))

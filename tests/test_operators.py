@@ -82,6 +82,13 @@ def test_nearest_vectors_ties_and_nulls(spark):
     assert sorted(got) == [(1, 2), (1, 3)]
 
 
+def test_nearest_vectors_in_slices(spark):
+    df = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)], "id int, v array<double>")
+    args = dict(id_col="id", vector_col="v", k=3, cosine=lambda a, b: F.round(text.cosine(a, b), 9))
+    whole, sliced = (joins.nearest_vectors(df.where("id < 20"), df, **args, most=m).collect() for m in (1000, 4))
+    assert sorted(whole) == sorted(sliced) and len(whole) == 60
+
+
 def test_jdbc_round_trip(spark, tmp_path):
     try:
         spark.sparkContext._jvm.java.lang.Class.forName("org.apache.derby.iapi.jdbc.AutoloadedDriver")
