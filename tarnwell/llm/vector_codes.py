@@ -86,35 +86,40 @@ class Annuli:
     def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index of the nearest entry, squared distance) of each row."""
         n = len(x)
-        norm = np.sqrt((x.astype(np.float64) ** 2).sum(1))
+        norm = np.sqrt(np.einsum("ij,ij->i", x.astype(np.float64), x.astype(np.float64)))
         right = np.minimum(np.searchsorted(self.norm, norm), len(self.norm) - 1)
         left = np.maximum(right - 1, 0)
-        near = np.where(norm - self.norm[left] <= self.norm[right] - norm, left, right)
-        best, index = self._squares(x, self.order[near]), self.order[near]
+        first = np.where(norm - self.norm[left] <= self.norm[right] - norm, left, right)
+        columns = np.ascontiguousarray(x.T)
+        index, best = self.order[first], np.zeros(n, np.int64)
+        for k in np.unique(first).tolist():
+            rows = np.flatnonzero(first == k)
+            best[rows] = self._squares(columns, rows, self.order[k])
         reach = np.sqrt(best.astype(np.float64))
         margin = 1e-9 * (1 + norm + reach)
         low, high = np.searchsorted(self.norm, norm - reach - margin, "left"), np.searchsorted(self.norm, norm + reach + margin, "right")
-        # All entries of a row's annulus, row by row. The entry that gave the bound is in it.
-        many = high - low
-        row = np.repeat(np.arange(n), many)
-        entry = self.order[np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + low[row]]
-        square = self._squares(x[row], entry)
-        begin = np.cumsum(many) - many
-        if n:
-            best = np.minimum.reduceat(square, begin)
-            index = np.minimum.reduceat(np.where(square == best[row], entry, len(self.norm)), begin)
-        self.evaluated += n + len(row)
+        # The entries in order of their norms, each with the rows in whose annulus it is; the one that gave the bound is done.
+        for k, entry in enumerate(self.order.tolist()):
+            rows = np.flatnonzero((low <= k) & (k < high) & (first != k))
+            square = self._squares(columns, rows, entry)
+            nearer = (square < best[rows]) | ((square == best[rows]) & (entry < index[rows]))
+            rows = rows[nearer]
+            best[rows], index[rows] = square[nearer], entry
         return index, best
 
-    def _squares(self, x: np.ndarray, entry: np.ndarray) -> np.ndarray:
-        gap = x - self.entries[entry]
-        return np.einsum("ij,ij->i", gap, gap)
+    def _squares(self, columns: np.ndarray, rows: np.ndarray, entry: int) -> np.ndarray:
+        self.evaluated += len(rows)
+        out = np.zeros(len(rows), np.int64)
+        for x, c in zip(columns, self.entries[entry].tolist(), strict=True):
+            gap = (x if len(rows) == len(x) else x[rows]) - c
+            out += gap * gap
+        return out
 
 
 def assigned(x: np.ndarray, books: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(entries, squared distances), both (rows, PARTS), of parts (rows, PARTS, width) by books (PARTS, entries, width)."""
     code, square = np.zeros(x.shape[:2], np.int64), np.zeros(x.shape[:2], np.int64)
-    step = max(1, CHUNK // max(1, x.shape[2] * books.shape[1]))
+    step = max(1, CHUNK // max(1, x.shape[2]))
     for p in range(x.shape[1]):
         find = Annuli(books[p])
         for lo in range(0, len(x), step):
