@@ -33,3 +33,22 @@ def mask_emails(text: Column) -> Column:
 
 def tags_stripped(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(html, r"<[^>]*>", " "), r"[ \t\r\n]+", " "))
+
+
+#: A URL's scheme, authority, path, query with its mark, and query.
+_URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?([^#]*))?"
+
+
+def normal_url(url: Column) -> Column:
+    """One spelling of a URL: scheme and host in lower case, no default port, no fragment, `/` for no path, parameters in order and none empty.
+
+    Null for null; what has no `://` behind a scheme stays as it is.
+    """
+    part = lambda i: F.regexp_extract(url, _URL, i)
+    scheme, path = F.lower(part(1)), part(3)
+    port = F.when(scheme == "http", ":80").when(scheme == "https", ":443").otherwise(":")
+    host = F.lower(part(2))
+    host = F.when(host.endswith(port), F.left(host, F.length(host) - F.length(port))).otherwise(host)
+    query = F.array_join(F.array_sort(F.filter(F.split(part(5), "&"), lambda x: x != "")), "&")
+    whole = F.concat(scheme, F.lit("://"), host, F.when(path == "", "/").otherwise(path), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
+    return F.when(url.rlike(_URL), whole).otherwise(url)

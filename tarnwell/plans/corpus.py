@@ -76,3 +76,9 @@ def c04_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(ready(spark), sf_dir, "documents")
     spans = docs.select("doc_id", F.inline(personal.checked()("text")["spans"]))
     return spans.groupBy("doc_id", "kind", "value").agg(F.count("*").alias("n"))
+
+
+@query("SELECT md5(text) AS digest, min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY md5(text)")
+def c05_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts by MD5; copies are summed up before the shuffle."""
+    return load(spark, sf_dir, "documents").groupBy(F.md5("text").alias("digest")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))

@@ -172,3 +172,18 @@ def f21_maps_more(spark: SparkSession, sf_dir: str) -> DataFrame:
 def f22_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No SQL: DuckDB lacks these functions; a test compares with zlib and xxhash."""
     return load(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", F.crc32(F.col("p_name").cast("binary")).alias("crc"), F.xxhash64("p_name").alias("xx"), F.soundex("p_type").alias("sound"))
+
+
+@query(r"""
+WITH u AS (SELECT page_id, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path,
+  array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '')), '&') AS q FROM pages)
+SELECT page_id, scheme || '://' || regexp_replace(host, CASE scheme WHEN 'http' THEN ':80$' WHEN 'https' THEN ':443$' ELSE ':$' END, '') || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN q = '' THEN '' ELSE '?' || q END AS url FROM u
+""")
+def f23_url_normal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "pages").select("page_id", text.normal_url(F.col("url")).alias("url"))
+
+
+@query("""SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS links, CAST(len(regexp_extract_all(html, '<[a-z]+')) AS INT) AS tags FROM pages""")
+def f24_extract_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))
+    return load(spark, sf_dir, "pages").select("page_id", links.alias("links"), F.size(F.regexp_extract_all("html", F.lit("<[a-z]+"), F.lit(0))).alias("tags"))

@@ -45,6 +45,15 @@ def test_functions(spark):
     assert got.g == ["a b", "b c"] and got.none == [] and abs(got.c - 0.5**0.5) < 1e-12 and got.n is None
 
 
+def test_normal_urls(spark):
+    cases = {
+        "HTTP://Ex.Com:80": "http://ex.com/", "https://a.b:443/x?b=2&&a=1#top": "https://a.b/x?a=1&b=2", "https://a.b:80/": "https://a.b:80/", "http://a?": "http://a/",
+        "ftp://U@H:/P?q": "ftp://u@h/P?q", "no scheme": "no scheme", "": "", "http://": "http:///", "http://a/é?x#": "http://a/é?x", None: None,
+    }
+    rows = spark.createDataFrame([(i, u) for i, u in enumerate(cases)], "i int, u string")
+    assert {r.u: r.n for r in rows.select("u", text.normal_url(F.col("u")).alias("n")).collect()} == cases
+
+
 def test_sources_ask_for_schemas(spark, tmp_path):
     df = spark.createDataFrame([(1, None), (2, "x")], "a int, b string")
     for fmt in ("json", "parquet", "orc"):
