@@ -47,6 +47,8 @@ CHUNK = 1 << 14
 WORD = rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Bytes that part words, after A-Z are lower-cased.
 GAP = np.array([re.fullmatch(WORD, bytes([b])) is None for b in range(256)])
+#: The same before they are.
+RAW_GAP = GAP[C.LOWER]
 
 
 class Template(NamedTuple):
@@ -106,7 +108,7 @@ def read(column: pa.Array, book: dict[bytes, int]) -> Iterator[tuple[int, Hits]]
     data, at = C.text_bytes(column)
     held: list[tuple[np.ndarray, np.ndarray]] = []
     before = 0
-    for lo, hi, part, starts, more in C.pieces(data, at, gap=GAP):
+    for lo, hi, part, starts, more in C.pieces(data, at, gap=RAW_GAP):
         low = C.LOWER[part]
         start, end, first = C.words(low, starts, GAP)
         ids, names = C.numbered(low, start, end)

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark import cloudpickle
 
-from tarnwell.llm import common, embedding_dedup, language, linear, mixing, mpeg_audio, ngram_join, packing, quality, suffix_dedup, toxicity
+from tarnwell.llm import common, embedding_dedup, fill_in_middle, language, license_scan, linear, mixing, mpeg_audio, ngram_join, packing, quality, suffix_dedup, toxicity, vector_codes
 
 #: Names that operators use for their own columns or results.
 EXTRA = ("cls", "grp", "_row", "_key", "score", "component_id", "_chance", "n", "root", "token", "start", "kept")
@@ -47,7 +47,7 @@ def empty(spark):
 @pytest.fixture
 def patched(monkeypatch):
     """patched(module, NAME=value, ...): constants that hold in the workers too, which else import the modules anew."""
-    modules = (common, embedding_dedup, language, linear, mixing, mpeg_audio, ngram_join, packing, quality, suffix_dedup, toxicity)
+    modules = (common, embedding_dedup, fill_in_middle, language, license_scan, linear, mixing, mpeg_audio, ngram_join, packing, quality, suffix_dedup, toxicity, vector_codes)
     for m in modules:
         cloudpickle.register_pickle_by_value(m)
     yield lambda module, **values: [monkeypatch.setattr(module, k, v) for k, v in values.items()]
