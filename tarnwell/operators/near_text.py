@@ -3,7 +3,8 @@
 Texts are sets of runs of `n` words. Equal texts form a class, and one text stands for it. A class's signature is cut into
 bands; classes that agree in a band share a bucket. Pairs are never made within a whole bucket: each member is compared
 with the bucket's smallest class, and only members that do not link with it are compared with the others. A pair of which
-both link with that class is connected by it, so the components are those of comparing all pairs of all buckets. The work
+both link with that class is connected by it, and pairs that other links connect by then are left out too, so the components
+are those of comparing all pairs of all buckets. The work
 is linear in a bucket of near copies, however large; it grows with the square only of what does not link with the first.
 
 A pair at similarity s is in a common bucket with probability 1 - (1 - s**rows)**bands, 0.99997 at 0.8 by default; it is
@@ -112,9 +113,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str, text_col: str, n: int = 5,
     dropped(buckets, shared)
     heads = members.where("cls <> head").where(near(F.col("n"), F.col("head_n"))).select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct()
     linked = written(_verified(heads, texts, n, percent), "links")
-    # What did not link with its bucket's head meets the bucket's other members.
-    rest = members.where("cls <> head").join(linked.select(F.col("a").alias("head"), F.col("b").alias("cls")), ["head", "cls"], "left_anti").select("band", "key", F.col("cls").alias("b"), F.col("n").alias("m"))
-    pairs = rest.join(members.where("cls <> head").select("band", "key", F.col("cls").alias("a"), "n"), ["band", "key"]).where("a <> b").where(near(F.col("n"), F.col("m")))
+    # What did not link with its bucket's head meets the bucket's other members, unless other links connect the two by now.
+    if linked.isEmpty():
+        parts = members.withColumn("part", F.col("cls"))
+    else:
+        reached = written(connected_components(linked), "first-components").withColumnRenamed("node", "cls")
+        parts = spread_join(members, reached, ["cls"], "left").withColumn("part", F.coalesce("root", "cls")).drop("root")
+    whole, members = members, written(parts, "members")
+    dropped(whole)
+    rest = members.where("cls <> head").join(linked.select(F.col("a").alias("head"), F.col("b").alias("cls")), ["head", "cls"], "left_anti").select("band", "key", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("part").alias("other"))
+    pairs = rest.join(members.where("cls <> head").select("band", "key", F.col("cls").alias("a"), "n", "part"), ["band", "key"]).where("part <> other").where(near(F.col("n"), F.col("m")))
     pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     found = linked if pairs.isEmpty() else linked.unionByName(written(_verified(pairs, texts, n, percent), "links"))
     dropped(texts, members)
