@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import written
+from ..sources.tables import ready, written
+
+#: Vectors of a block, and how far the cosines by which candidates are chosen may be from those that count.
+BLOCK, SLACK = 5_000, 2e-6
 
 
 def asof_join(left: DataFrame, right: DataFrame, *, by: list[str], left_time: str, right_time: str, values: list[str]) -> DataFrame:
@@ -65,22 +72,79 @@ def interval_join(left: DataFrame, right: DataFrame, *, by: str, left_time: str,
     return a.join(b, [by, "_bucket"]).where((ahead > 0) & (ahead <= seconds * 1_000_000)).drop("_bucket")
 
 
-def nearest_vectors(queries: DataFrame, vectors: DataFrame, *, id_col: str, vector_col: str, k: int, cosine, most: int = 10_000) -> DataFrame:
+def nearest_vectors(queries: DataFrame, vectors: DataFrame, *, id_col: str, vector_col: str, k: int, cosine: Callable[[Column, Column], Column], most: int = 10_000) -> DataFrame:
     """For each row of a stated query set the k nearest other rows by cosine; ties go to the smaller id.
 
-    Queries are broadcast in slices of about `most` rows, dealt by a hash of their ids, and the vectors are read once for each
-    slice; so what is broadcast does not grow with the query set. Each task keeps k rows a query: what is shuffled is queries
-    times k for each task, never all pairs.
+    Slices of about `most` queries meet blocks of about BLOCK vectors, each two in a task that multiplies them as matrices
+    and keeps k a query, with all that are within SLACK of the last. What is so near to the k best of all blocks is
+    compared anew by `cosine`, an expression that may round to no less than six digits, and ranked by that. All pairs are
+    compared, and none but these few are shuffled. Null, zero and incomplete vectors and null ids find nothing and are not found;
+    vectors of unequal length don't meet.
     """
-    q = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("_query"))
-    slices = max(1, -(-q.count() // most))
-    found = None
-    for i in range(slices):
-        part = q if slices == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == i)
-        pairs = vectors.join(F.broadcast(part), F.col("query_id") != F.col(id_col)).select("query_id", F.col(id_col).alias("found_id"), cosine(F.col("_query"), F.col(vector_col)).alias("score"))
-        best = top_per_group(pairs.where("score is not null"), ["query_id"], [F.desc("score"), F.asc("found_id")], k)
-        found = best if found is None else found.unionByName(best)
-    return found
+    spark = ready(vectors.sparkSession)
+
+    def whole(df: DataFrame, row: str, key: str) -> DataFrame:
+        found = df.select(F.col(id_col).alias("_id"), F.col(vector_col).cast("array<double>").alias("_vector"))
+        found = found.where(F.col("_id").isNotNull() & F.col("_vector").isNotNull() & ~F.exists("_vector", lambda x: x.isNull()))
+        return written(found.select("*", F.xxhash64("_id").alias(key), F.monotonically_increasing_id().alias(row)), "vectors")
+
+    q, v = whole(queries, "_query", "_query_key"), whole(vectors, "_found", "_found_key")
+    slices, blocks = max(1, -(-q.count() // most)), max(1, -(-v.count() // BLOCK))
+    each = lambda name, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    by = ["_slice", "_block"]
+    a = q.select("_query", "_query_key", "_vector", F.pmod("_query", F.lit(slices)).cast("int").alias("_slice"), each("_block", blocks)).repartition(slices * blocks, *by)
+    b = v.select("_found", "_found_key", "_vector", "_id", F.pmod(F.xxhash64("_found"), F.lit(blocks)).cast("int").alias("_block"), each("_slice", slices)).repartition(slices * blocks, *by)
+    near = written(a.groupBy(*by).cogroup(b.groupBy(*by)).applyInPandas(_near(k), "_query long, _found long, about double"), "near-vectors")
+    last = top_per_group(near.where(~F.isnan("about")), ["_query"], [F.desc("about")], k).groupBy("_query").agg(F.min("about").alias("last"))
+    near = near.join(last, "_query", "left").where(F.isnan("about") | (F.col("about") >= F.col("last") - SLACK)).select("_query", "_found")
+    near = near.join(q.select("_query", F.col("_id").alias("query_id"), F.col("_vector").alias("_one")), "_query")
+    near = near.join(v.select("_found", F.col("_id").alias("found_id"), F.col("_vector").alias("_two")), "_found").where("query_id <> found_id")
+    pairs = near.select("query_id", "found_id", cosine(F.col("_one"), F.col("_two")).alias("score"))
+    return top_per_group(pairs.where("score is not null"), ["query_id"], [F.desc("score"), F.asc("found_id")], k)
+
+
+def _near(k: int):
+    """Of a slice of queries and a block of vectors the pairs that can be among the k nearest, by cosines that rounding may move.
+
+    Rows whose ids have one hash don't count among the k; they are given too, with NaN for their cosine, and the ids
+    themselves tell later whether they are one. Of equal vectors no more than the k of smallest ids are given.
+    """
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.sort_values("_id", kind="stable", ignore_index=True)
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        size = [x["_vector"].map(len).to_numpy(np.int64) for x in (left, right)]
+        for n in np.intersect1d(*size).tolist():
+            a, b = left[size[0] == n], right[size[1] == n]
+            if not n:
+                continue
+            x, y = np.stack(a["_vector"].to_numpy()), np.stack(b["_vector"].to_numpy())
+            with np.errstate(all="ignore"):
+                one, two = np.sqrt((x * x).sum(1)), np.sqrt((y * y).sum(1))
+                kind = np.unique(y + 0.0, axis=0, return_inverse=True)[1].reshape(-1)
+                at, to, keys = a["_query"].to_numpy(), b["_found"].to_numpy(), b["_found_key"].to_numpy()
+                for lo in range(0, len(x), 256):
+                    length = one[lo : lo + 256, None] * two
+                    c = x[lo : lo + 256] @ y.T / length
+                    c[np.isnan(c)] = np.inf
+                    c[length == 0] = -np.inf
+                    same = a["_query_key"].to_numpy()[lo : lo + 256, None] == keys
+                    c[same] = -np.inf
+                    i, j = np.nonzero(same)
+                    out.append((at[lo + i], to[j], np.full(len(i), np.nan)))
+                    last = np.partition(c, -min(k, len(y)), 1)[:, -min(k, len(y))]
+                    i, j = np.nonzero((c >= last[:, None] - SLACK) & (c > -np.inf))
+                    order = np.lexsort((j, kind[j], i))
+                    i, j = i[order], j[order]
+                    first = np.ones(len(i), bool)
+                    first[1:] = (i[1:] != i[:-1]) | (kind[j[1:]] != kind[j[:-1]])
+                    begin = np.flatnonzero(first)
+                    keep = np.arange(len(i)) - np.repeat(begin, np.diff(np.append(begin, len(i)))) < k
+                    i, j = i[keep], j[keep]
+                    out.append((at[lo + i], to[j], c[i, j]))
+        return pd.DataFrame(dict(zip(("_query", "_found", "about"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+
+    return run
 
 
 def top_per_group(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
