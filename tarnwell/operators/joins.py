@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import ready, written
 
+#: Pairs that a task of a range join compares, about.
+PAIRS = 4_000_000
 #: Vectors of a block, and how far the cosines by which candidates are chosen may be from those that count.
 BLOCK, SLACK = 5_000, 2e-6
 
@@ -33,13 +35,24 @@ def range_join(left: DataFrame, right: DataFrame, *, value: str, low: str, high:
     """Rows of left whose value is in [low, high] of a right row, by equality of buckets of `width`.
 
     A right row is repeated for each bucket it touches; a left row is in one. So it is a hash or merge join, which
-    Spark can shuffle and split, rather than a nested loop.
+    Spark can shuffle and split, rather than a nested loop. Where buckets make over PAIRS pairs, a bucket's left rows are
+    dealt and its right rows repeated for each deal, over as many tasks as the pairs ask for, whatever the rows' bytes.
     """
     bucket = lambda c: F.floor(F.col(c) / F.lit(width)).cast("long")
     points = left.withColumn("_bucket", bucket(value))
     spans = right.withColumn("_span", F.explode(F.sequence(bucket(low), bucket(high))))
     on = (F.col("_bucket") == F.col("_span")) & F.col(value).between(F.col(low), F.col(high))
-    return points.join(spans, on, how).drop("_bucket", "_span")
+    sizes = points.groupBy("_bucket").agg(F.count("*").alias("_a")).join(spans.groupBy("_span").agg(F.count("*").alias("_b")), F.col("_bucket") == F.col("_span"))
+    total = sizes.agg(F.sum(F.col("_a") * F.col("_b"))).first()[0] or 0
+    if total > PAIRS:  # rows are few for the pairs they make, so their bytes don't tell how many tasks are needed
+        deals = written(sizes.select("_bucket", F.ceil(F.col("_a") * F.col("_b") / PAIRS).cast("int").alias("_deals")), "range-deals")
+        n = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-2 * total // PAIRS))
+        points = points.withColumn("_row", F.monotonically_increasing_id()).join(deals, "_bucket", "left")
+        points = points.withColumn("_deal", F.pmod("_row", F.coalesce("_deals", F.lit(1))).cast("int")).drop("_row", "_deals").repartition(n, "_bucket", "_deal")
+        spans = spans.join(deals.withColumnRenamed("_bucket", "_span"), "_span").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_deals") - 1))).drop("_deals").repartition(n, "_span", "_copy")
+        on = on & (F.col("_deal") == F.col("_copy"))
+    out = points.join(spans, on, how)
+    return out.select(left.columns if how in ("left_semi", "left_anti") else [*left.columns, *right.columns])
 
 
 def salted_join(big: DataFrame, small: DataFrame, on: str, salts: int, share: float = 0.05) -> DataFrame:

@@ -19,6 +19,19 @@ from .conftest import SMALL
 START = datetime(2024, 1, 1)
 
 
+@pytest.mark.parametrize("how", ["inner", "left_semi", "left_anti"])
+def test_range_join_deals_a_bucket_by_its_pairs(spark, monkeypatch, how):
+    monkeypatch.setattr(joins, "PAIRS", 500, raising=False)
+    left = spark.range(2000).select("id", (F.col("id") % 10).cast("double").alias("x")).union(spark.createDataFrame([(5000, 99.0), (5001, None)], "id long, x double"))
+    right = spark.createDataFrame([(r, r / 10, r / 10 + 3) for r in range(20)], "r int, lo double, hi double")
+    got = joins.range_join(left, right, value="x", low="lo", high="hi", width=50.0, how=how)
+    plain = left.join(right, F.col("x").between(F.col("lo"), F.col("hi")), how)
+    assert got.columns == plain.columns and sorted(map(repr, got.collect())) == sorted(map(repr, plain.collect()))
+    if how == "inner":
+        most = [r["count"] for r in got.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert max(most) < sum(most) / 10
+
+
 @pytest.mark.parametrize("block", [7, 5000])
 def test_nearest_vectors_equal_all_pairs(spark, monkeypatch, block):
     """Copies, zero and incomplete vectors, other lengths, ids that repeat: as by comparing all pairs; no nested loop."""
