@@ -119,7 +119,9 @@ def f15_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT count(DISTINCT l_partkey) AS n, true AS near FROM lineitem")
 def f16_approximate_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The exact count, and whether the estimate is within five of its standard errors of 1 %."""
-    rows = load(spark, sf_dir, "lineitem").agg(F.countDistinct("l_partkey").alias("n"), F.approx_count_distinct("l_partkey", 0.01).alias("est"))
+    # Each by itself: in one aggregation Spark keeps a sketch for every distinct key that it counts.
+    keys = load(spark, sf_dir, "lineitem").select("l_partkey")
+    rows = keys.distinct().agg(F.count("l_partkey").alias("n")).crossJoin(keys.agg(F.approx_count_distinct("l_partkey", 0.01).alias("est")))
     return rows.select("n", (F.abs(F.col("est") - F.col("n")) <= 0.05 * F.col("n") + 1).alias("near"))
 
 

@@ -19,6 +19,11 @@ from .conftest import SMALL
 START = datetime(2024, 1, 1)
 
 
+def test_no_sketch_for_every_distinct_key(spark):
+    plan = registry.queries()["f16_approximate_distinct"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "approx_count_distinct" in plan and not [x for x in plan.split("\n") if "keys=[l_partkey" in x and "approx_count_distinct" in x]
+
+
 @pytest.mark.parametrize("how", ["inner", "left_semi", "left_anti"])
 def test_range_join_deals_a_bucket_by_its_pairs(spark, monkeypatch, how):
     monkeypatch.setattr(joins, "PAIRS", 500, raising=False)
