@@ -146,64 +146,75 @@ def timely(events: DataFrame, *, delay: str, width: str, by: list[str], value: s
     return rows.select(F.col("window.start").alias("bucket"), *by, "n", "total")
 
 
-def timed_sessions(events: DataFrame, *, delay: str, gap_seconds: int) -> DataFrame:
+def timed_sessions(events: DataFrame, *, delay: str, gap_seconds: int, buckets: int = 1024) -> DataFrame:
     """user_id, began, ended, n and total of each user's sessions, by state and event-time timers of our own.
 
-    State is a user's open sessions. Rows may come in any order within the watermark: each opens a session, prolongs one, or
-    joins two that it lies between. A session that ended `gap_seconds` before the watermark can get no more rows: its timer
-    goes off, it is given out, and its state is dropped. Rows behind the watermark are dropped by Spark.
+    Users are dealt into buckets, and state is a bucket's open sessions; so calls and timers are as many as buckets, not as
+    sessions or users. Rows may come in any order within the watermark: each opens a session, prolongs one, or
+    joins two that it lies between. A session that ended `gap_seconds` before the watermark can get no more rows: the
+    bucket's timer, set for the first of them, goes off, and all that the watermark has passed are given out and dropped. Rows
+    behind the watermark are dropped by Spark.
     """
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+    names = ["user", "none", "began", "ended", "n", "total"]
+    gap = gap_seconds * 1_000_000
+
     class Sessions(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
-            # began and ended in microseconds, rows and sum of each open session, as four lists.
-            self.open = handle.getValueState("open", "began array<long>, ended array<long>, n array<long>, total array<double>")
+            # Of each open session its user (none: null), began and ended in microseconds, rows and sum, as lists.
+            self.open = handle.getValueState("open", "user array<long>, none array<boolean>, began array<long>, ended array<long>, n array<long>, total array<double>")
+
+        def held(self) -> pd.DataFrame | None:
+            return pd.DataFrame(dict(zip(names, (list(x) for x in self.open.get()), strict=True))) if self.open.exists() else None
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-            held = [list(x) for x in zip(*self.open.get(), strict=True)] if self.open.exists() else []
-            timers = {e for _, e, _, _ in held}
+            held = self.held()
+            timer = None if held is None else self.due(held)
             for batch in rows:
-                times = batch["ts"].dt.tz_localize(None).astype("datetime64[us]").astype("int64")
-                held += [[t, t, 1, v] for t, v in zip(times.tolist(), batch["value"].tolist(), strict=True)]
-            held.sort()
-            merged: list[list] = []
-            for began, ended, n, total in held:
-                if merged and began - merged[-1][1] < gap_seconds * 1_000_000:
-                    last = merged[-1]
-                    last[1], last[2], last[3] = max(last[1], ended), last[2] + n, last[3] + total
-                else:
-                    merged.append([began, ended, n, total])
-            self.keep(merged)
-            ends = {e for _, e, _, _ in merged}
-            for e in timers - ends:
-                self.handle.deleteTimer(self.due(e))
-            for e in ends - timers:
-                self.handle.registerTimer(self.due(e))
+                new = pd.DataFrame({"user": batch["user"], "none": batch["none"], "began": batch["us"], "ended": batch["us"], "n": 1, "total": batch["value"]})
+                held = self.merged(new if held is None else pd.concat([held, new], ignore_index=True))
+            self.keep(held, timer)
             yield from ()
 
+        def merged(self, x: pd.DataFrame) -> pd.DataFrame:
+            x = x.sort_values(["none", "user", "began", "ended"], kind="stable", ignore_index=True)
+            last = x.groupby(["none", "user"])["ended"].cummax().shift(fill_value=0)
+            other = (x["user"] != x["user"].shift()) | (x["none"] != x["none"].shift())
+            return x.groupby((other | (x["began"] - last >= gap)).cumsum()).agg({"user": "first", "none": "first", "began": "min", "ended": "max", "n": "sum", "total": "sum"})
+
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            now = expiredTimerInfo.getExpiryTimeInMs()
-            held = [list(x) for x in zip(*self.open.get(), strict=True)] if self.open.exists() else []
-            done = [x for x in held if self.due(x[1]) <= now]
-            self.keep([x for x in held if self.due(x[1]) > now])
-            if done:
-                at = lambda i: pd.to_datetime([x[i] for x in done], unit="us", utc=True)
-                yield pd.DataFrame({"user_id": [key[0]] * len(done), "began": at(0), "ended": at(1), "n": [x[2] for x in done], "total": [x[3] for x in done]})
-
-        def keep(self, held: list[list]) -> None:
-            if held:
-                self.open.update(tuple([x[i] for x in held] for i in range(4)))
+            now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+            held = self.held()
+            if held is None:
+                return
+            over = held["ended"] + gap <= now * 1000
+            self.keep(held[~over], None)
+            done = held[over]
+            if len(done):
+                at = lambda c: pd.to_datetime(done[c], unit="us", utc=True)
+                yield pd.DataFrame({"user_id": done["user"].astype("Int64").mask(done["none"].astype(bool)), "began": at("began"), "ended": at("ended"), "n": done["n"], "total": done["total"]})
+
+        def keep(self, held: pd.DataFrame, timer: int | None) -> None:
+            """timer: the one that is set."""
+            due = self.due(held) if len(held) else None
+            if len(held):
+                self.open.update(tuple(held[c].tolist() for c in names))
             else:
                 self.open.clear()
+            if due != timer:
+                if timer is not None:
+                    self.handle.deleteTimer(timer)
+                if due is not None:
+                    self.handle.registerTimer(due)
 
-        def due(self, ended: int) -> int:
-            """Milliseconds, rounded up: no sooner than the gap is over."""
-            return -(-(ended + gap_seconds * 1_000_000) // 1000)
+        def due(self, held: pd.DataFrame) -> int:
+            """When the first ends, in milliseconds, rounded up: no sooner than the gap is over."""
+            return -(-(int(held["ended"].min()) + gap) // 1000)
 
         def close(self) -> None:
             pass
 
-    rows = events.withWatermark("ts", delay).select("user_id", "ts", "value")
-    return rows.groupBy("user_id").transformWithStateInPandas(Sessions(), "user_id long, began timestamp, ended timestamp, n long, total double", "Append", "EventTime")
+    rows = events.withWatermark("ts", delay).select("ts", F.coalesce("user_id", F.lit(0)).cast("long").alias("user"), F.col("user_id").isNull().alias("none"), F.unix_micros("ts").alias("us"), F.col("value").cast("double").alias("value"), F.pmod(F.xxhash64("user_id"), F.lit(buckets)).alias("bucket"))
+    return rows.groupBy("bucket").transformWithStateInPandas(Sessions(), "user_id long, began timestamp, ended timestamp, n long, total double", "Append", "EventTime")

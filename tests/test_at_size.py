@@ -62,3 +62,20 @@ def test_nearest_vectors_equal_all_pairs(spark, monkeypatch, block):
     plain = joins.top_per_group(pairs, ["query_id"], [F.desc("score"), F.asc("found_id")], 4)
     assert rows_of(found) == rows_of(plain)
     assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sessions_of_many_users_in_few_buckets(spark):
+    rng = random.Random(6)
+    rows = [(a, START + timedelta(hours=10 * a, seconds=rng.randrange(36_000)), rng.choice([None, *range(40)]), 1.0) for a in range(3) for _ in range(500)]
+    rows.append((3, START + timedelta(hours=100), 99, 1.0))
+    table = spark.createDataFrame(rows, "arrival int, ts timestamp_ntz, user_id long, value double")
+    build = lambda x: windows.timed_sessions(x, delay="11 hours", gap_seconds=1800, buckets=2)
+    got = windows.in_arrivals(spark, table, "arrival", build, mode="append").select("user_id", F.col("began").cast("timestamp_ntz").alias("b"), F.col("ended").cast("timestamp_ntz").alias("e"), "n", "total")
+    want = []
+    for u in {r[2] for r in rows} - {99}:
+        for t in sorted(r[1] for r in rows if r[2] == u):
+            if want and want[-1][0] == u and t - want[-1][2] < timedelta(seconds=1800):
+                want[-1][2:] = [t, want[-1][3] + 1, want[-1][4] + 1.0]
+            else:
+                want.append([u, t, t, 1, 1.0])
+    assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(map(repr, map(tuple, want)))
