@@ -79,3 +79,16 @@ def test_sessions_of_many_users_in_few_buckets(spark):
             else:
                 want.append([u, t, t, 1, 1.0])
     assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(map(repr, map(tuple, want)))
+
+
+def test_python_gets_bounded_batches(spark):
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    old = [spark.conf.get(n) for n in names]
+    for n in names:
+        spark.conf.unset(n)
+    df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    passages.without_repeated_lines(df, id_col="doc_id", text_col="text", documents=2)
+    got = [spark.conf.get(n) for n in names]
+    for n, x in zip(names, old, strict=True):
+        spark.conf.set(n, x)
+    assert got == ["500", "16m"]
