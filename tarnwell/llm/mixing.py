@@ -66,6 +66,8 @@ def fit(texts: list[bytes], domain: np.ndarray, weight: np.ndarray) -> tuple[L.M
 def trained(docs: DataFrame, labelled: DataFrame) -> tuple[L.Model, list[str]]:
     """The classifier from documents and labelled (doc_id, domain)."""
     C.ready(docs.sparkSession)
+    # Labels of documents that are not there, as those that earlier stages took out, don't use up the sample.
+    labelled = labelled.join(docs.select("doc_id"), "doc_id", "left_semi")
     return L.fitted(L.labelled_sample(docs, labelled.select("doc_id", F.col("domain").cast("string").alias("domain")), "domain", PER_DOMAIN, MOST_BYTES), fit, ["domain", "weight"])
 
 

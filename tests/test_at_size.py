@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnwell.functions import text
+from tarnwell.llm import linear, mixing
 from tarnwell.operators import joins, passages
 from tarnwell.plans import registry
 from tarnwell.streaming import windows
@@ -92,3 +93,13 @@ def test_python_gets_bounded_batches(spark):
     for n, x in zip(names, old, strict=True):
         spark.conf.set(n, x)
     assert got == ["500", "16m"]
+
+
+def test_labels_of_absent_documents_leave_the_sample_whole(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(mixing, "PER_DOMAIN", 50)
+    monkeypatch.setattr(linear, "fitted", lambda sample, *_: seen.append(sample.groupBy("domain").count().collect()))
+    docs = spark.range(100).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    labelled = spark.range(10_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("domain"))
+    mixing.trained(docs, labelled)
+    assert {r.domain: r["count"] for r in seen[0]} == {"a": 50, "b": 50}
