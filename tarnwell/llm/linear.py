@@ -168,7 +168,7 @@ class Sparse:
 def choose(texts: list[bytes], y: np.ndarray, most: int, least: int = 4) -> np.ndarray:
     """The features whose presence goes most with some class of y (0, 1, ...), by their deviation from chance."""
     k = int(y.max()) + 1
-    found = []
+    df = np.zeros((k, 1 << BITS), np.int32)  # texts of each class that have a feature, counted block by block
     for lo, data, at in _blocks(texts):
         b = read(data, at)
         if len(b.ids):
@@ -176,16 +176,16 @@ def choose(texts: list[bytes], y: np.ndarray, most: int, least: int = 4) -> np.n
             pair = np.unique(b.row * np.int64(len(b.book)) + b.ids)
             row, ids = pair // len(b.book), word_features(b.book)[pair % len(b.book)]
             one = np.unique((row[:, None] << BITS) + ids)
-            found.append(np.stack((y[lo + (one >> BITS)], one & (1 << BITS) - 1)))
-    cls, ids = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
-    total = np.bincount(ids, minlength=1 << BITS)
+            cls = y[lo + (one >> BITS)]
+            for c in range(k):
+                np.add.at(df[c], one[cls == c] & (1 << BITS) - 1, 1)
+    total = df.sum(0)
     live = np.flatnonzero(total >= least)
     best = np.zeros(len(live))
     for c in range(k):
         p = total[live] / len(texts)
         n = (y == c).sum()
-        df = np.bincount(ids[cls == c], minlength=1 << BITS)[live]
-        best = np.maximum(best, np.abs(df - n * p) / np.sqrt(n * p * np.maximum(1 - p, 1e-3) * max(1 - n / len(texts), 1e-3) + 1))
+        best = np.maximum(best, np.abs(df[c, live] - n * p) / np.sqrt(n * p * np.maximum(1 - p, 1e-3) * max(1 - n / len(texts), 1e-3) + 1))
     return np.sort(live[np.argsort(-best, kind="stable")[:most]])
 
 

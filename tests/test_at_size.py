@@ -1,6 +1,7 @@
 """Steps whose work or memory once grew faster than the input, on small tables that show it."""
 
 import random
+import tracemalloc
 from datetime import datetime, timedelta
 
 import duckdb
@@ -103,3 +104,17 @@ def test_labels_of_absent_documents_leave_the_sample_whole(spark, monkeypatch):
     labelled = spark.range(10_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("domain"))
     mixing.trained(docs, labelled)
     assert {r.domain: r["count"] for r in seen[0]} == {"a": 50, "b": 50}
+
+
+def test_choice_of_features_holds_counts_not_texts():
+    """Its memory over that of 1 MB of texts must not grow with the texts."""
+    rng = np.random.default_rng(5)
+    book = ["".join(map(chr, rng.integers(97, 123, rng.integers(3, 11)))) for _ in range(20_000)]
+    texts = [" ".join(rng.choice(book, 1500)).encode() for _ in range(400)]
+    peaks = []
+    for some in (texts[:100], texts):
+        tracemalloc.start()
+        linear.choose(some, np.arange(len(some)) % 2, 2_000)
+        peaks.append(tracemalloc.get_traced_memory()[1] / 1e6)
+        tracemalloc.stop()
+    assert peaks[1] < peaks[0] + 10
