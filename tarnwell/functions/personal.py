@@ -1,6 +1,8 @@
 """Personal data and secrets in texts: candidates by pattern, kept only if a check of their own says so, with their places.
 
-Patterns take whole runs of the characters that a value may have, so nothing is found inside a longer run. Texts are read
+Patterns take whole runs of the characters that a value may have, so nothing is found inside a longer run. What must follow
+a run is optional in them, so a run without it is passed over at once, not tried again from each of its characters; the
+check then turns it down. Texts are read
 in Arrow batches, one at a time and whole.
 """
 
@@ -57,8 +59,8 @@ def mail(x: str) -> bool:
 KINDS: dict[str, tuple[str, Callable[[str], bool]]] = {
     "card": (r"([0-9]+)", card),
     "iban": (r"([A-Za-z0-9]+)", iban),
-    "ip": (r"([0-9]+(?:\.[0-9]+)+)", address),
-    "mail": (r"([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*)", mail),
+    "ip": (r"([0-9]++(?:\.[0-9]++)*+)", address),
+    "mail": (r"([A-Za-z0-9._%+-]++(?:@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+)?+)", mail),
     "secret": (r"(?:token|secret|password|api_key) *[=:] *[\"']([A-Za-z0-9+/=_-]*)[\"']", secret),
 }
 SPANS = "array<struct<kind: string, start: int, end: int, value: string>>"

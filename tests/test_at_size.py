@@ -1,6 +1,7 @@
 """Steps whose work or memory once grew faster than the input, on small tables that show it."""
 
 import random
+import time
 import tracemalloc
 from datetime import datetime, timedelta
 
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tarnwell.functions import text
+from tarnwell.functions import personal, text
 from tarnwell.llm import linear, mixing
 from tarnwell.operators import joins, passages
 from tarnwell.plans import registry
@@ -118,3 +119,10 @@ def test_choice_of_features_holds_counts_not_texts():
         peaks.append(tracemalloc.get_traced_memory()[1] / 1e6)
         tracemalloc.stop()
     assert peaks[1] < peaks[0] + 10
+
+
+@pytest.mark.parametrize("text", ["9" * 300_000, "a" * 300_000, "1.2 " * 40 + "a.b" * 100_000])
+def test_long_runs_are_read_once_for_personal_data(text):
+    began = time.process_time()
+    spans = personal.found(text + " a@b_c@d.e 1.2.3.4.x")
+    assert [s[::3] for s in spans] == [("mail", "_c@d.e"), ("ip", "1.2.3.4")] and time.process_time() - began < 5
