@@ -7,12 +7,19 @@ both link with that class is connected by it, and pairs that other links connect
 are those of comparing all pairs of all buckets. The work
 is linear in a bucket of near copies, however large; it grows with the square only of what does not link with the first.
 
+Of such pairs few are compared by their texts. A class has a parity map: each bit tells whether an odd number of its runs
+falls on it. Where two maps differ, one set has a run that the other lacks, so a pair whose maps differ in more places than
+sets that similar can is left out, exactly.
+
 A pair at similarity s is in a common bucket with probability 1 - (1 - s**rows)**bands, 0.99997 at 0.8 by default; it is
 then compared exactly, by the words themselves, so no pair below the threshold links.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,6 +31,8 @@ from .graph import connected_components
 from .joins import spread_join
 
 BANDS, ROWS, SEED = 20, 4, 29
+#: Numbers of 64 bits in a parity map.
+LONGS = 16
 #: Rows of one number each that are broadcast at the most.
 SMALL = 500_000
 
@@ -34,8 +43,8 @@ def runs(text: str, n: int) -> set[tuple[bytes, ...]]:
     return set(zip(*(words[i:] for i in range(n)), strict=False))
 
 
-def signer(n: int, bands: int, rows: int):
-    """A function from lower-cased texts to (number of distinct runs, a key for each band or null) of each.
+def signer(n: int, bands: int, rows: int, maps: bool = False):
+    """A function from lower-cased texts to (number of distinct runs, a key for each band or null) of each; with maps also its parity map.
 
     Runs are numbered by 64-bit hashes, of which 32 bits choose the candidates; they say nothing about equality of texts.
     """
@@ -45,7 +54,6 @@ def signer(n: int, bands: int, rows: int):
     def keys(x: np.ndarray) -> tuple[int, list[int] | None]:
         if not len(x):
             return 0, None
-        x = np.unique(x)
         high = (x >> np.uint64(32)).astype(np.uint32)
         least = np.full(bands * rows, np.iinfo(np.uint32).max, np.uint32)
         for at in range(0, len(high), 2048):
@@ -55,20 +63,32 @@ def signer(n: int, bands: int, rows: int):
             key = R.mixed(key, part.astype(np.uint64))
         return len(x), key.view(np.int64).tolist()
 
-    return lambda texts: [keys(x) for x in R.run_hashes(R.words_of(texts), n)]
+    def parity(x: np.ndarray) -> list[int]:
+        odd = np.bincount((x & np.uint64(64 * LONGS - 1)).astype(np.int64), minlength=64 * LONGS) & 1
+        return np.packbits(odd.astype(bool)).view(np.int64).tolist()
+
+    of = lambda x: (*keys(x), parity(x)) if maps else keys(x)
+
+    return lambda texts: [of(np.unique(x)) for x in R.run_hashes(R.words_of(texts), n)]
 
 
 def signed(n: int, bands: int, rows: int):
     """The same as a function of columns."""
-    of = signer(n, bands, rows)
+    of = signer(n, bands, rows, maps=True)
 
-    @F.pandas_udf("n int, keys array<long>")
+    @F.pandas_udf("n int, keys array<long>, bits array<long>")
     def sign(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([x for group in R.grouped(texts) for x in of(group)], columns=["n", "keys"])
+        return pd.DataFrame([x for group in R.grouped(texts) for x in of(group)], columns=["n", "keys", "bits"])
 
     return sign
 
 
+def may_link(n: F.Column, bits: F.Column, m: F.Column, other: F.Column, percent: int) -> F.Column:
+    """Whether sets of n and m runs with such parity maps can have that Jaccard similarity."""
+    differ = reduce(add, [F.bit_count(bits[i].bitwiseXOR(other[i])) for i in range(LONGS)])
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (differ * (100 + percent) <= (n + m) * (100 - percent))
+
+
 def alike(n: int, percent: int):
     """A function from two lower-cased texts to whether their runs have at least that Jaccard similarity, exactly, by their words."""
 
@@ -104,28 +124,35 @@ def near_duplicates(docs: DataFrame, *, id_col: str, text_col: str, n: int = 5,
     texts = written(of.select("cls", F.lower("text").alias("text")), "class-texts")
     signatures = written(texts.select("cls", signed(n, bands, rows)("text").alias("s")).select("cls", "s.*"), "signatures")
     sizes = signatures.groupBy("cls").agg(F.first("n").alias("n"))
-    buckets = signatures.where("keys is not null").select("cls", "n", F.posexplode("keys").alias("band", "key")).dropDuplicates(["cls", "band"])
-    shared = buckets.groupBy("band", "key").agg(F.min(F.struct("cls", "n")).alias("head"), F.count("*").alias("members")).where("members > 1").select("band", "key", F.col("head.cls").alias("head"), F.col("head.n").alias("head_n"))
+    buckets = signatures.where("keys is not null").select("cls", F.posexplode("keys").alias("band", "key")).dropDuplicates(["cls", "band"])
+    maps = signatures.where("keys is not null").dropDuplicates(["cls"])
+    shared = buckets.groupBy("band", "key").agg(F.min("cls").alias("head"), F.count("*").alias("members")).where("members > 1").drop("members")
     buckets = written(buckets, "buckets")
-    near = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent  # noqa: E731  sets of such sizes can be that similar
     shared = written(shared, "bucket-heads")
     members = written(spread_join(buckets, shared, ["band", "key"]), "members")
     dropped(buckets, shared)
-    heads = members.where("cls <> head").where(near(F.col("n"), F.col("head_n"))).select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct()
-    linked = written(_verified(heads, texts, n, percent), "links")
+    heads = members.where("cls <> head").select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct()
+    # A class that heads very many pairs is joined where they are.
+    heads = spread_join(written(heads, "head-pairs"), maps.select(F.col("cls").alias("a"), F.col("n").alias("n"), F.col("bits").alias("x")), ["a"])
+    heads = heads.join(maps.select(F.col("cls").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y")), "b")
+    linked = written(_verified(heads.where(may_link(F.col("n"), F.col("x"), F.col("m"), F.col("y"), percent)).select("a", "b"), texts, n, percent), "links")
     # What did not link with its bucket's head meets the bucket's other members, unless other links connect the two by now.
     if linked.isEmpty():
         parts = members.withColumn("part", F.col("cls"))
     else:
         reached = written(connected_components(linked), "first-components").withColumnRenamed("node", "cls")
         parts = spread_join(members, reached, ["cls"], "left").withColumn("part", F.coalesce("root", "cls")).drop("root")
-    whole, members = members, written(parts, "members")
+    whole, members = members, written(parts.where("cls <> head"), "members")
     dropped(whole)
-    rest = members.where("cls <> head").join(linked.select(F.col("a").alias("head"), F.col("b").alias("cls")), ["head", "cls"], "left_anti").select("band", "key", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("part").alias("other"))
-    pairs = rest.join(members.where("cls <> head").select("band", "key", F.col("cls").alias("a"), "n", "part"), ["band", "key"]).where("part <> other").where(near(F.col("n"), F.col("m")))
+    rest = members.join(linked.select(F.col("a").alias("head"), F.col("b").alias("cls")), ["head", "cls"], "left_anti")
+    # Only buckets with a rest are read on, with the maps of their members.
+    members = members.join(written(rest.select("band", "key").distinct(), "rest-buckets"), ["band", "key"], "left_semi")
+    mapped = lambda df, c, n, bits, part: df.join(maps.select("cls", "n", "bits"), "cls").select("band", "key", F.col("cls").alias(c), F.col("n").alias(n), F.col("bits").alias(bits), F.col("part").alias(part))
+    pairs = mapped(rest, "b", "m", "y", "other").join(mapped(members, "a", "n", "x", "part"), ["band", "key"]).where("part <> other")
+    pairs = pairs.where(may_link(F.col("n"), F.col("x"), F.col("m"), F.col("y"), percent))
     pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     found = linked if pairs.isEmpty() else linked.unionByName(written(_verified(pairs, texts, n, percent), "links"))
-    dropped(texts, members)
+    dropped(texts)
     root = classes.select("cls", "key", "first").join(sizes, "cls")
     if not found.isEmpty():
         root = root.join(connected_components(found).withColumnRenamed("node", "cls"), "cls", "left")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tarnwell.functions import personal, text
 from tarnwell.llm import linear, mixing
-from tarnwell.operators import joins, passages
+from tarnwell.operators import joins, near_text, passages
 from tarnwell.plans import registry
 from tarnwell.streaming import windows
 
@@ -121,6 +121,31 @@ def test_choice_of_features_holds_counts_not_texts():
     assert peaks[1] < peaks[0] + 10
 
 
+def test_pairs_of_a_loose_group_are_not_compared_by_their_texts(spark, monkeypatch):
+    """With 60 bands of one row all texts of the group share buckets, and no two of them are near 0.8."""
+    rng = random.Random(4)
+    words = lambda k: " ".join(f"w{rng.randrange(10**6)}" for _ in range(k))
+    common, seen, verified = words(60), [], near_text._verified
+    monkeypatch.setattr(near_text, "_verified", lambda pairs, *a: (seen.append(pairs.count()), verified(pairs, *a))[1])
+    rows = [(i, f"{common} {words(60)}") for i in range(60)] + [(60, f"{common} same"), (61, f"{common} other")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_text.near_duplicates(df, id_col="doc_id", text_col="text", bands=60, rows=1).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: min(i, 60) for i in range(62)}
+    assert sum(seen) < 60
+
+
+def test_parity_maps_leave_out_no_pair_that_links(spark):
+    rng = random.Random(9)
+    sign, texts = near_text.signer(1, 1, 1, maps=True), []
+    for size in (1, 4, 9, 60, 600, 6000):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(size)]
+        texts += [" ".join(base[k:] + [f"v{rng.randrange(10**6)}" for _ in range(k)]) for k in range(0, size // 5 + 1, max(1, size // 30))]
+    df = spark.createDataFrame([(i, n, bits, t) for i, (t, (n, _, bits)) in enumerate(zip(texts, sign(texts), strict=True))], "i int, n int, bits array<long>, t string")
+    both = df.join(df.select(*(F.col(c).alias(f"{c}_") for c in df.columns)), F.col("i") < F.col("i_"))
+    got = both.select("i", "i_", near_text.alike(1, 80)("t", "t_").alias("close"), near_text.may_link(F.col("n"), F.col("bits"), F.col("n_"), F.col("bits_"), 80).alias("may")).collect()
+    assert sum(r.close for r in got) > 15 and sum(not r.may for r in got) > 100 and all(r.may for r in got if r.close)
+
+
 @pytest.mark.parametrize("text", ["9" * 300_000, "a" * 300_000, "1.2 " * 40 + "a.b" * 100_000])
 def test_long_runs_are_read_once_for_personal_data(text):
     began = time.process_time()
